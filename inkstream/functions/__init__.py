@@ -1 +1 @@
-
+"""Scalar functions over dates, URLs, text, HTML and bytes."""

@@ -1 +1 @@
-
+"""Archive operators: order, scopes, queue, statistics, scheduling, merging, snapshots."""

@@ -1 +1 @@
-
+"""Registered queries over views of the test tables, with their SQL twins."""

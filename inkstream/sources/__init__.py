@@ -1 +1 @@
-
+"""Readers and writers: feeds, sitemaps, REST pages, books, plug-ins, sinks."""
