@@ -42,30 +42,41 @@ def _features(w: W.Words) -> list[np.ndarray]:
 
 @dataclass
 class Model:
+    """numbers (ascending) and weights of the features used; the bias; the class prior (0: untrained)."""
+
+    numbers: np.ndarray
     weights: np.ndarray
     bias: float
     prior: float
 
+    def __post_init__(self):
+        # Most features of a text aren't used; their low bits tell, in a table that fits the cache.
+        self.seen = np.zeros(1 << 16, dtype=bool)
+        self.seen[self.numbers & 0xFFFF] = True
+
     def scores(self, w: W.Words) -> np.ndarray:
         n = len(w.offsets) - 1
         if self.prior <= 0:
             return np.zeros(n)
-        doc = np.repeat(np.arange(n), w.counts())
-        pairs = []
-        for f in _features(w):
-            hit = np.flatnonzero(self.weights[f])
-            pairs.append(doc[hit] << BITS | f[hit])
-        found = np.unique(np.concatenate(pairs))
-        z = self.bias + np.bincount(found >> BITS, self.weights[found & ((1 << BITS) - 1)], n)
+        z = np.full(n, self.bias)
+        if len(self.numbers):
+            pairs = []
+            for f in _features(w):
+                at = np.flatnonzero(self.seen[f & 0xFFFF])
+                place = np.minimum(np.searchsorted(self.numbers, f[at]), len(self.numbers) - 1)
+                hit = self.numbers[place] == f[at]
+                doc = np.searchsorted(w.offsets, at[hit], "right") - 1
+                pairs.append(doc * len(self.numbers) + place[hit])
+            found = np.unique(np.concatenate(pairs))
+            z += np.bincount(found // len(self.numbers), self.weights[found % len(self.numbers)], n)
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, l2: float = 1e-5, rate: float = 0.1) -> Model:
     """``positive`` and ``unlabelled``: the distinct feature numbers of each document."""
     size = 1 << BITS
-    weights = np.zeros(size, dtype=np.float32)
     if not positive or not unlabelled or prior <= 0:
-        return Model(weights, 0.0, 0.0)
+        return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, 0.0)
     n_p, n_u = len(positive), len(unlabelled)
     p, u = (np.bincount(np.concatenate(x), minlength=size) for x in (positive, unlabelled))
     pool = (p + u) / (n_p + n_u)
@@ -98,8 +109,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    weights[used] = w
-    return Model(weights, float(b), prior)
+    return Model(used, w, float(b), prior)
 
 
 def _distinct_features(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ _rng = np.random.default_rng(20240131)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = int(_rng.integers(1, 2**62)) * 2 + 1
 _STEP = np.uint64(int(_rng.integers(1, 2**62)) * 2 + 1)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
