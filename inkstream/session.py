@@ -33,5 +33,5 @@ def ship(spark: SparkSession) -> None:
 def configure(spark: SparkSession) -> None:
     """Timestamps without zones, UTC, and small Arrow batches: Python workers then need little memory."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
