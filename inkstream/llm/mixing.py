@@ -27,7 +27,7 @@ from .store import materialise, maybe_broadcast
 
 #: Target weights of the registered query; other sources have weight 1.
 WEIGHTS = {"src0": 4, "src1": 3, "src2": 2}
-BLOCK_CHARS, BUCKET_ROWS, MOST_SLOTS = 65_536, 50_000, 200_000
+BLOCK_CHARS, BUCKET_ROWS, MOST_SLOTS = 65_536, 2_048, 200_000
 
 
 def schedule(weights: dict[str, int]) -> list[str]:
