@@ -63,14 +63,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 
 
-def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
-    return edges[::2], edges[1::2]
+def _runs(inside: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of True begin and end; a run ends where a text does."""
+    around = np.concatenate([[False], inside, [False]])
+    return np.flatnonzero(inside & (~around[:-2] | edge[:-1])), np.flatnonzero(inside & (~around[2:] | edge[1:])) + 1
 
 
 def suspicious(w: W.Words, sizes: np.ndarray) -> np.ndarray:
     """Which texts may hold a base match or a token that can be tagged; ``w.data`` is lower-cased."""
     where = np.concatenate([[0], np.cumsum(sizes)])
+    edge = np.zeros(len(w.data) + 1, dtype=bool)
+    edge[where] = True
     marks = []
     data = w.data.tobytes()
     for key in _KEYS:
@@ -78,22 +81,13 @@ def suspicious(w: W.Words, sizes: np.ndarray) -> np.ndarray:
         while at >= 0:
             marks.append(at)
             at = data.find(key, at + 1)
-    a, b = _runs(_HEXES[w.data])
+    a, b = _runs(_HEXES[w.data], edge)
     marks += a[b - a >= 16].tolist()
-    a, b = _runs(_CLASS[w.data])
-    long = b - a >= LEAST
-    a, b = a[long], b[long]
+    a, b = _runs(_CLASS[w.data], edge)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[w.data])])
-    hit = digits[b] > digits[a]
-    # A run may cross from one text into the next; both ends count.
-    marks += a[hit].tolist() + (b[hit] - 1).tolist()
+    marks += a[(b - a >= LEAST) & (digits[b] > digits[a])].tolist()
     out = np.zeros(len(sizes), dtype=bool)
-    if marks:
-        own = np.searchsorted(where, np.array(marks), "right") - 1
-        out[own] = True
-        crossing = np.searchsorted(where, b[hit] - 1, "right") - np.searchsorted(where, a[hit], "right") > 0
-        for lo, hi in zip(a[hit][crossing], b[hit][crossing], strict=True):
-            out[np.searchsorted(where, lo, "right") - 1 : np.searchsorted(where, hi - 1, "right")] = True
+    out[np.searchsorted(where, np.array(marks, dtype=np.int64), "right") - 1] = True
     return out
 
 
