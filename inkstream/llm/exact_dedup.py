@@ -92,7 +92,7 @@ def kept(docs: DataFrame) -> DataFrame:
     gone = duplicates(docs).where("NOT kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("text_sha256").alias("gone_texts"))
     gone = maybe_broadcast(materialise(gone))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left")
-    stays = F.col("gone_texts").isNull() | ~F.array_contains("gone_texts", F.sha2(normalised(docs["text"]), 256))
+    stays = gone["gone_texts"].isNull() | ~F.array_contains(gone["gone_texts"], F.sha2(normalised(docs["text"]), 256))
     return joined.where(stays).select(*(docs[c] for c in docs.columns))
 
 

@@ -111,4 +111,4 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     place = plan(docs, **how).groupBy(F.col("doc_id").alias("mix_id")).agg(F.min(F.struct("slot", "seq", "block")).alias("place"))
     place = maybe_broadcast(materialise(place))
     joined = docs.join(place, docs["doc_id"].eqNullSafe(place["mix_id"]))
-    return joined.select(*(docs[c] for c in docs.columns), F.col("place.block").alias("mix_block"), F.col("place.slot").alias("mix_slot"), F.col("place.seq").alias("mix_seq"))
+    return joined.select(*(docs[c] for c in docs.columns), place["place"]["block"].alias("mix_block"), place["place"]["slot"].alias("mix_slot"), place["place"]["seq"].alias("mix_seq"))
