@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,11 +62,10 @@ TITLE_MARKS = ("|", "·", "–", "—", "-", "•")
 def clean_title(title: Column, *sites: str) -> Column:
     """A page title without the site's name."""
     out = collapse(title)
+    marks = "[" + "".join(re.escape(m) for m in TITLE_MARKS) + "]"
     for site in filter(None, sites):
-        for mark in TITLE_MARKS:
-            for affix in (f" {mark} {site}", f"{site} {mark} "):
-                n = len(affix)
-                out = F.when(F.endswith(out, F.lit(affix)), F.trim(F.substring(out, F.lit(1), F.length(out) - n))).when(F.startswith(out, F.lit(affix)), F.trim(F.substring(out, n + 1, 10_000))).otherwise(out)
+        affix = rf"(?: {marks} {re.escape(site)}|{re.escape(site)} {marks} )"
+        out = F.trim(F.regexp_replace(out, rf"^{affix}|{affix}$", ""))
     parts = F.filter(F.transform(F.split(out, r"\s*[|·•»]\s*"), lambda x: F.trim(x)), lambda x: x != "")
     head, tail = F.array_join(F.slice(parts, 1, F.size(parts) - 1), " | "), F.try_element_at(parts, F.lit(-1))
     site_like = (F.length(head) >= 8) & (F.length(tail) <= 40) & (F.size(F.split(tail, " ")) <= 5)
