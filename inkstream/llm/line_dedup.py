@@ -30,7 +30,7 @@ def _lines(text: Column) -> Column:
 
 
 def _text_key(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def windows(docs: DataFrame, min_words: int) -> DataFrame:
@@ -81,10 +81,12 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with the columns of ``docs``, their text without later repeated runs, and removed_runs."""
     gone = materialise(deletions(docs, min_words)).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "runs")
     gone = maybe_broadcast(gone)
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (_text_key(docs["text"]) == F.col("gone_key")), "left")
-    stays = F.filter(_lines(docs["text"]), lambda x, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
-    text = F.when(F.col("runs").isNotNull(), F.array_join(stays, "\n")).otherwise(F.coalesce(docs["text"], F.lit("")))
-    return joined.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns), F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")).alias("removed_runs"))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (_text_key(docs["text"]) == gone["gone_key"]), "left")
+    runs = gone["runs"]
+    stays = F.filter(_lines(docs["text"]), lambda x, i: ~F.exists(runs, lambda r: i.between(r["first"], r["last"])))
+    text = F.when(runs.isNotNull(), F.array_join(stays, "\n")).otherwise(F.coalesce(docs["text"], F.lit("")))
+    removed = F.coalesce(runs, F.array().cast("array<struct<first:int,last:int>>"))
+    return joined.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns), removed.alias("removed_runs"))
 
 
 def digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
