@@ -83,7 +83,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
 def with_injection(rows: DataFrame) -> DataFrame:
     """``rows`` and conversation -1, whose texts look like the template."""
-    more = rows.sparkSession.createDataFrame([(-1, 0, "user", INJECTION), (-1, 1, "assistant", INJECTION)], "conv_id long, turn long, role string, text string")
+    turn = F.col("id")
+    role = F.when(turn == 0, "user").otherwise("assistant")
+    more = rows.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), turn.alias("turn"), role.alias("role"), F.lit(INJECTION).alias("text"))
     return rows.select("conv_id", "turn", "role", "text").unionByName(more)
 
 
