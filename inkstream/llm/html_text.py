@@ -43,6 +43,11 @@ NOISE_WORDS = frozenset(
     "respond share sharing sharebar sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert paywall contentinfo complementary search".split()
 )
 
+#: Of these, what an ``article`` element may be instead of the article.
+ASIDE_WORDS = frozenset("ad advert comment comments promo related reply replies recommended sponsored".split())
+
+#: Layout that an element has or lacks says nothing about the element.
+_WITHOUT = re.compile(r"\b(?:has|have|no|not|with|without|hide|is)[-_]\w+", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
@@ -52,8 +57,9 @@ _SPACE = re.compile(r"\s+")
 def _is_noise(tag: str, attributes: str) -> bool:
     if tag in NOISE:
         return True
-    if not attributes or tag in MAIN or tag in ("body", "html"):
+    if not attributes or tag in ("body", "html"):
         return False
+    words = ASIDE_WORDS if tag in MAIN else NOISE_WORDS
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -61,7 +67,7 @@ def _is_noise(tag: str, attributes: str) -> bool:
         if name == "style":
             if "display:none" in value.replace(" ", "").lower():
                 return True
-        elif any(word.lower() in NOISE_WORDS for word in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))):
+        elif any(word.lower() in words for word in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", _WITHOUT.sub(" ", value)))):
             return True
     return False
 
@@ -119,8 +125,6 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                     if stack[k][0] in BLOCK:
                         break
             if tag not in VOID and not m[3].rstrip().endswith("/"):
-                if tag in MAIN and not any(x[1] for x in stack if x[0] not in BLOCK):
-                    pass
                 bad = bool(stack and stack[-1][1]) or _is_noise(tag, m[3])
                 if tag in NOISE and tag in ("header", "label") and stack and stack[-1][2] and not stack[-1][1]:
                     bad = _in_article(page, at, tag)
