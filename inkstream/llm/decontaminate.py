@@ -196,9 +196,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents in which no window occurs, with the columns of ``docs``."""
-    hit = materialise(overlaps(docs, benchmark, **how).where("size(spans) > 0").select("doc_id").distinct())
-    return docs.join(maybe_broadcast(hit), "doc_id", "left_anti").select(docs.columns)
+    """The documents in which no window occurs, with the columns of ``docs``; rows that share an id (or have none) go together."""
+    hit = materialise(overlaps(docs, benchmark, **how).where("size(spans) > 0").select(F.col("doc_id").alias("hit_id")).distinct())
+    hit = maybe_broadcast(hit)
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti").select(docs.columns)
 
 
 SQL = r"""
