@@ -165,6 +165,7 @@ PAGES = [
     ("<body><div id=header>Site name</div><div><h1>Title</h1><p>" + "word " * 30 + "</p></div><ul class='menu'><li><a href=x>one</a></ul><div class=comments><p>" + "noise " * 30 + "</p></div>", "Title\n" + ("word " * 30).strip()),
     ("<article><p>kept</p><form><p>mail</p></form><aside>side</aside><div class='cookie-notice'>we use</div><p>last &lt;p&gt;</p></article>", "kept\nlast <p>"),
     ("<article><p>cut &am", "cut &am"),
+    ("<main class='content has-sidebar'><p>Text.</p><article class='comment'><p>No.</p></article><!-- c --><p>More</p></main>", "Text.\nMore"),
     ("<p>" + "x" * 300_000, "x" * 300_000),
 ]
 
