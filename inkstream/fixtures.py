@@ -48,7 +48,7 @@ VIEWS = {
     CASE WHEN b.item_id % 3 = 0 THEN 'marked' ELSE '' END AS note,
     CAST(instr(d.text, b.text) - 1 AS INT) AS start_offset,
     CAST(NULL AS TIMESTAMP) AS orphaned_at
-  FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+  FROM (SELECT /*+ REPARTITION(32) */ doc_id, text FROM documents) d JOIN benchmark b ON contains(d.text, b.text)
   UNION ALL SELECT conv_id * 1000 + 900 + turn AS highlight_id,
     conv_id AS article_id,
     text AS quote,
