@@ -116,6 +116,14 @@ def elide(url: Column, most: int = 96) -> Column:
     return F.when(F.length(url) <= most, url).otherwise(F.concat(cut, F.lit("…")))
 
 
+def ascii_safe(url: Column) -> Column:
+    """Path and query with every non-ASCII character percent-encoded; the rest as it is."""
+    head = F.regexp_extract(url, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?)", 1)
+    rest = F.substring(url, F.length(head) + 1, F.length(url))
+    coded = F.array_join(F.transform(F.split(rest, ""), lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.url_encode(c)).otherwise(c)), "")
+    return F.when(url.rlike(r"[^\x00-\x7F]"), F.concat(head, coded)).otherwise(url)
+
+
 def absolutise(base: str | None, link: str | None) -> str | None:
     """A link as seen from a page; as it is if that can't be told."""
     from urllib.parse import urljoin

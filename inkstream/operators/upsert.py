@@ -182,3 +182,11 @@ def first_of_digest(images: DataFrame, stored: DataFrame, by: str) -> DataFrame:
     """Images to store: one row per digest, the first, unless it is held."""
     over = Window.partitionBy("digest").orderBy(by)
     return images.withColumn("k", F.row_number().over(over)).where("k = 1").drop("k").join(stored.select("digest"), "digest", "left_anti")
+
+
+def images_wanted(articles: DataFrame, stored: DataFrame) -> DataFrame:
+    """article_id, url of images that bodies show and that aren't held (stored: url); each address once."""
+    from ..functions.text import image_urls
+
+    shown = articles.select("article_id", F.explode(image_urls(F.col("content_html"))).alias("url"))
+    return shown.groupBy("url").agg(F.min("article_id").alias("article_id")).join(stored.select("url"), "url", "left_anti")

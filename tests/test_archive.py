@@ -119,3 +119,23 @@ def test_views_and_stats_on_empty_tables(spark):
     a = fixtures.view(spark, SF, "fx_articles").limit(0)
     assert stats.skip_rates(a, fixtures.view(spark, SF, "fx_reading_state")).count() == 0
     assert stats.library(a, fixtures.view(spark, SF, "fx_images").limit(0)).first().bytes == 0
+
+
+def test_command_line(spark, tmp_path):
+    from inkstream import cli
+
+    for name in ("articles", "sources", "reading_state", "highlights", "notes", "images"):
+        fixtures.view(spark, SF, f"fx_{name}").write.parquet(f"{tmp_path}/a/{name}")
+    at = ["--data", f"{tmp_path}/a"]
+    assert cli.run(spark, [*at, "queue", "--limit", "7"]).count() == 7
+    assert cli.run(spark, [*at, "sources"]).count() == 20 and cli.run(spark, [*at, "stats"]).count() == 20
+    assert cli.run(spark, [*at, "export", "--to", f"{tmp_path}/x", "--limit", "all"]).count() > 50
+    cli.run(spark, [*at, "remove", "3", "--to", f"{tmp_path}/b"])
+    assert spark.read.parquet(f"{tmp_path}/b/articles").where("source_id = 3").count() == 0
+    assert cli.run(spark, [*at, "rename", "4", "Four", "--to", f"{tmp_path}/c"]).where("source_name = 'Four'").count() == 1
+
+
+def test_images_wanted(spark):
+    a = spark.createDataFrame([(1, '<img src="a"><img src="b">'), (2, "<img src='a'>"), (3, None)], "article_id long, content_html string")
+    got = upsert.images_wanted(a, spark.createDataFrame([("b",)], "url string")).collect()
+    assert [(r.article_id, r.url) for r in got] == [(1, "a")]

@@ -66,6 +66,11 @@ def test_classify_url(spark, url, want):
     assert one(spark, url, lambda c: urls.classify_url(c, NOW)) == want
 
 
+def test_ascii_safe(spark):
+    assert one(spark, "https://e.com/é b?q=ü&x=%20", urls.ascii_safe) == "https://e.com/%C3%A9 b?q=%C3%BC&x=%20"
+    assert one(spark, "https://e.com/a", urls.ascii_safe) == "https://e.com/a"
+
+
 def test_text(spark):
     assert one(spark, "a" * 300, text.make_excerpt) == "a" * 260 + "…"
     assert one(spark, "it\x92s", text.repair_c1) == "it’s" and one(spark, "\x81", text.repair_c1) == "\x81"
