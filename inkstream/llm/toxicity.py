@@ -1,6 +1,6 @@
 """Toxic text by non-negative positive-unlabelled learning.
 
-A linear classifier over hashed words and word beginnings (4 and 5 bytes) is trained in numpy from
+A linear classifier over hashed words and word beginnings (4, 5 and 8 bytes) is trained in numpy from
 confirmed toxic documents and unlabelled ones.  With class prior p, the risk is
 ``p * mean_P loss(+) + max(0, mean_U loss(-) - p * mean_P loss(-))``; where the bracket turns negative, the step
 goes back along its gradient.  The prior is the share of toxic rows among the labels that may be learnt
@@ -27,8 +27,9 @@ from . import words as W
 BITS = 22
 THRESHOLD = 0.7
 POSITIVES, UNLABELLED = 3_000, 9_000
-#: A feature is used if it is this many standard errors commoner in toxic documents, and in this many of them.
-Z, LEAST = 4, 4
+#: A feature is used if it is commoner in toxic documents, at odds of e to this power against chance (a bound on
+#: the Poisson tail), and in at least this many of them.
+ODDS, LEAST = 10, 4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -36,8 +37,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(w: W.Words) -> list[np.ndarray]:
-    """For each word its features' numbers: the word, and its first 4 and 5 bytes."""
-    return [(h >> np.uint64(64 - BITS)).astype(np.int64) for h in (w.hashes, w.prefix(4), w.prefix(5))]
+    """For each word its features' numbers: the word, and its first 4, 5 and 8 bytes."""
+    return [(h >> np.uint64(64 - BITS)).astype(np.int64) for h in (w.hashes, w.prefix(4), w.prefix(5), w.prefix(8))]
 
 
 @dataclass
@@ -72,23 +73,52 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _distinct(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Without near copies of earlier documents: their words would count as often as they were copied.
+
+    Four min-hashes of the features are equal in one of three draws.
+    """
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(1, 2**31, 12) * 2 + 1, rng.integers(0, 2**31, 12)
+    seen: set[tuple] = set()
+    out = []
+    for own in docs:
+        low = ((own[:, None].astype(np.int64) * a + b) & 0xFFFFFFFF).min(axis=0) if len(own) else a
+        keys = {(k, *low[4 * k : 4 * k + 4].tolist()) for k in range(3)}
+        if not keys & seen:
+            out.append(own)
+        seen |= keys
+    return out
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, l2: float = 1e-5, rate: float = 0.1) -> Model:
     """``positive`` and ``unlabelled``: the distinct feature numbers of each document."""
-    size = 1 << BITS
+    positive, unlabelled = _distinct(positive), _distinct(unlabelled)
     if not positive or not unlabelled or prior <= 0:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, 0.0)
     n_p, n_u = len(positive), len(unlabelled)
-    p, u = (np.bincount(np.concatenate(x), minlength=size) for x in (positive, unlabelled))
-    pool = (p + u) / (n_p + n_u)
-    z = (p / n_p - u / n_u) / np.sqrt(np.maximum(pool * (1 - pool) * (1 / n_p + 1 / n_u), 1e-12))
-    used = np.flatnonzero((z > Z) & (p >= LEAST))
-    number = np.full(size, -1)
-    number[used] = np.arange(len(used))
+
+    def counts(docs: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(1 << BITS, dtype=np.int32)
+        for own in docs:
+            out[own] += 1
+        return out
+
+    p, u = counts(positive), counts(unlabelled)
+    used = np.flatnonzero(p >= LEAST)
+    p, u = p[used].astype(float), u[used]
+    chance = n_p * (u + 1) / n_u  # how often it should be in as many unlabelled documents
+    odds = np.where(p > chance, p * np.log(p / chance) - p + chance, 0)
+    used = used[odds > ODDS]
 
     def rows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
-        col = number[np.concatenate(docs)]
-        return row[col >= 0], col[col >= 0]
+        row, col = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, own in enumerate(docs if len(used) else []):
+            at = np.minimum(np.searchsorted(used, own), len(used) - 1)
+            at = at[used[at] == own]
+            row.append(np.full(len(at), k))
+            col.append(at)
+        return np.concatenate(row), np.concatenate(col)
 
     (p_row, p_col), (u_row, u_col) = rows(positive), rows(unlabelled)
     w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior))) if prior < 1 else 0.0
