@@ -127,7 +127,7 @@ def body_lines(html: Column) -> Column:
 
 def dateline(lines: Column) -> Column:
     """A line among the first 14 that begins with a month and a year."""
-    return F.get(F.filter(F.slice(lines, 1, 14), lambda x: x.rlike(r"(?i)^(january|february|march|april|may|june|july|august|september|october|november|december)\b[^.]{0,12}\b\d{4}\b")), 0)
+    return F.get(F.filter(F.slice(lines, 1, 14), lambda x: x.rlike(r"(?i)^(january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{4}\b")), 0)
 
 
 def heading_title(title: Column, heading: Column, url: Column) -> Column:

@@ -93,6 +93,36 @@ def rejected(candidates: DataFrame, rejects: DataFrame, epoch: int) -> DataFrame
     return candidates.join(rejects.where(F.col("epoch") == epoch).select("guid").distinct(), "guid", "left_anti")
 
 
+def resolved(rows: DataFrame, rejects: DataFrame, epoch: int) -> DataFrame:
+    """``rows`` (guid, published_at, state) and resolved: held with a date, or rejected under the present rules."""
+    bad = rejects.where(F.col("epoch") == epoch).select("guid").distinct().withColumn("bad", F.lit(True))
+    done = no_direct(F.col("published_at").isNotNull(), F.col("state")) | F.col("bad").isNotNull()
+    return rows.join(bad, "guid", "left").withColumn("resolved", F.coalesce(done, F.lit(False))).drop("bad")
+
+
+def admits_members(path_prefix: Column, index: Column) -> Column:
+    """Whether all links of an index belong to the section: only if the index is the section."""
+    return F.coalesce((path_prefix != "") & (F.rtrim(index, F.lit("/")) == path_prefix), F.lit(False))
+
+
+def dates_agree(date: Column) -> Column:
+    """Whether all known dates of a group are one; false if none is known."""
+    return F.coalesce(F.min(date) == F.max(date), F.lit(False))
+
+
+def within_limits(rows: DataFrame, limits: DataFrame, most: int = 100_000) -> DataFrame:
+    """The newest rows of each source up to its limit (limits: source_id, n; null: all), and all known ones.
+
+    Dated by date, then undated by source_order.  ``most`` is the largest limit there can be.
+    """
+    rows = rows.join(limits.select("source_id", "n"), "source_id", "left")
+    over = Window.partitionBy("source_id").orderBy(F.col("published_at").desc_nulls_last(), "source_order", "guid")
+    free = rows.where("n IS NULL OR known").drop("n")
+    # The fixed bound lets each task drop all but its first rows before the shuffle.
+    held = rows.where("n IS NOT NULL").withColumn("rk", F.row_number().over(over)).where((F.col("rk") <= most) & (F.col("rk") <= F.col("n")) & ~F.col("known"))
+    return free.unionByName(held.drop("n", "rk"))
+
+
 def floor_of(newest_known: datetime | None) -> datetime | None:
     """Older unknown posts are dropped in an incremental run; fixed when the run starts."""
     return None if newest_known is None else newest_known - timedelta(days=2)

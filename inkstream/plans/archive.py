@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
 from ..functions import anchors, dates, html, text, urls
-from ..operators import merge, queue, schedule, scopes, sequence, stats, upsert
+from ..operators import lookup, merge, queue, schedule, scopes, sequence, stats, upsert
 from ..session import configure
-from ..sources import feeds, sinks
+from ..sources import content, feeds, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -527,3 +527,73 @@ def feed_round_trip(spark, d):
     made = p.groupBy(F.expr("page_id % 10").cast("string").alias("site")).agg(F.concat(F.lit("<rss>"), F.array_join(F.collect_list(entry), ""), F.lit("</rss>")).alias("xml")).withColumn("page", F.lit(1))
     got = feeds.feed_items(made, NOW_PAGES).select(F.col("link").alias("url"))
     return p.join(got, "url", "left_anti").select("page_id", "url", F.lit("").alias("tail"))
+
+
+# Keyed reads.
+
+
+@query("SELECT source_id, source_name FROM fx_sources WHERE enabled")
+def list_sources(spark, d):
+    return lookup.list_sources(view(spark, d, "fx_sources"), True).select("source_id", "source_name")
+
+
+@query("SELECT a.article_id, a.title, a.published_at, s.source_name FROM fx_articles a JOIN fx_sources s ON a.source_id = s.source_id WHERE a.article_id = 123")
+def get_article(spark, d):
+    return lookup.get_article(view(spark, d, "fx_articles"), view(spark, d, "fx_sources"), 123).select("article_id", "title", "published_at", "source_name")
+
+
+@query("SELECT a.source_id, count(*) AS done FROM fx_articles a JOIN fx_reading_state r ON a.article_id = r.article_id WHERE r.read_at IS NOT NULL GROUP BY 1")
+def chapters_read(spark, d):
+    return lookup.chapters_read(view(spark, d, "fx_articles"), view(spark, d, "fx_reading_state"))
+
+
+@query(
+    "SELECT a.article_id, a.source_order, a.article_id IN (SELECT article_id FROM fx_notes WHERE body <> '') OR a.article_id IN (SELECT article_id FROM fx_highlights) "
+    "OR a.article_id IN (SELECT article_id FROM fx_reading_state WHERE read_at IS NOT NULL OR favourite_at IS NOT NULL OR skipped_at IS NOT NULL) AS has_data FROM fx_articles a WHERE a.source_id = 4"
+)
+def chapter_user_data(spark, d):
+    own = lookup.by_key(view(spark, d, "fx_articles"), source_id=4).select("article_id", "source_order")
+    return lookup.with_user_data(own, *(view(spark, d, f"fx_{t}") for t in ("reading_state", "highlights", "notes")))
+
+
+@query("SELECT article_id FROM fx_reading_state UNION SELECT article_id FROM fx_highlights UNION SELECT article_id FROM fx_notes")
+def user_rows(spark, d):
+    return lookup.user_rows(*(view(spark, d, f"fx_{t}") for t in ("reading_state", "highlights", "notes")))
+
+
+_STORED = "CASE doc_id % 4 WHEN 0 THEN '{\"n\": 1}' WHEN 1 THEN '[1]' WHEN 2 THEN '{broken' END"
+
+
+@query(f"SELECT word, payload FROM (SELECT CAST(doc_id AS VARCHAR) AS word, {_STORED} AS payload FROM labels) WHERE json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT'")
+def definition_cache(spark, d):
+    stored = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").cast("string").alias("word"), F.expr(_STORED).alias("payload"))
+    return lookup.cached(stored)
+
+
+@query("SELECT guid, coalesce(count(DISTINCT date_trunc('day', published_at)) = 1, FALSE) AS agree FROM fx_routes GROUP BY 1")
+def dates_agree(spark, d):
+    return view(spark, d, "fx_routes").groupBy("guid").agg(merge.dates_agree(F.date_trunc("day", "published_at")).alias("agree"))
+
+
+@query("SELECT DISTINCT r.guid, r.pos, r.published_at IS NOT NULL AND r.pos % 2 = 0 OR x.guid IS NOT NULL AS resolved FROM fx_routes r LEFT JOIN (SELECT DISTINCT guid FROM fx_rejects WHERE epoch = 1) x ON r.guid = x.guid")
+def resolved_pages(spark, d):
+    rows = view(spark, d, "fx_routes").select("guid", "pos", "published_at", F.when(F.col("pos") % 2 == 0, "ok").otherwise("missing").alias("state"))
+    return merge.resolved(rows, view(spark, d, "fx_rejects"), 1).select("guid", "pos", "resolved")
+
+
+_LIMITED = "row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC NULLS LAST, source_order, guid)"
+
+
+@query(f"SELECT article_id FROM (SELECT article_id, source_id, {_LIMITED} AS k FROM fx_articles) WHERE source_id % 3 = 0 OR k <= source_id OR article_id % 10 = 3")
+def source_limits(spark, d):
+    rows = view(spark, d, "fx_articles").withColumn("known", F.col("article_id") % 10 == 3)
+    limits = view(spark, d, "fx_sources").select("source_id", F.when(F.col("source_id") % 3 != 0, F.col("source_id")).alias("n"))
+    return merge.within_limits(rows, limits).select("article_id")
+
+
+@query()
+def platform_content(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    kind = F.element_at(F.array(*map(F.lit, ("generic", "wordpress", "ghost", "essay", "epub"))), (F.col("page_id") % 5 + 1).cast("int"))
+    found = content.content(kind, F.when(F.col("page_id") % 2 == 0, F.col("html")), F.col("html"), F.col("url"))
+    return pages.select("page_id", found.alias("x")).select("page_id", "x.*")
