@@ -66,5 +66,6 @@ def orphan_images(images: DataFrame, references: DataFrame) -> DataFrame:
 
 def image_references(articles: DataFrame) -> DataFrame:
     """Stored images that bodies name."""
-    found = F.regexp_extract_all("content_html", F.lit(r'src="(img/[^"]+)"'), 1)
+    body = "content_html" if "content_html" in articles.columns else "body"
+    found = F.regexp_extract_all(body, F.lit(r'src="(img/[^"]+)"'), 1)
     return articles.select(F.explode(found).alias("relpath")).distinct()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import merge, upsert
+from ..sources.plugins import MOST_LIMIT
 from ..streaming.incremental import floors, fresh_candidates
 
 
@@ -37,15 +38,24 @@ def wanted(sources: DataFrame, source_ids: list[int] | None = None) -> DataFrame
     return rows.where(F.col("source_id").isin(source_ids)) if source_ids else rows
 
 
-def limits(sources: DataFrame, default: int = 50) -> DataFrame:
-    """source_id, n from stored options: none stored is the default, junk or an explicit null is no limit."""
+def limits(sources: DataFrame) -> DataFrame:
+    """source_id, n from stored options; null (no limit) where there is none or it is unusable."""
     if "config" not in sources.columns:
         return sources.select("source_id", F.lit(None).cast("int").alias("n"))
     options = F.try_parse_json("config")
-    given = F.coalesce(F.array_contains(F.json_object_keys("config"), "limit"), F.lit(False))
     whole = F.schema_of_variant(F.try_variant_get(options, "$.limit", "variant")) == "BIGINT"
     n = F.when(whole, F.try_variant_get(options, "$.limit", "int"))
-    return sources.select("source_id", F.when(given, F.when(n > 0, n)).otherwise(default).alias("n"))
+    return sources.select("source_id", F.when(n.between(1, MOST_LIMIT), n).alias("n"))
+
+
+def with_limit(config: Column, limit: int | None) -> Column:
+    """Stored options with another limit; None takes it out.  Junk counts as no options."""
+    kind = "map<string,variant>"
+    old = F.when(F.try_parse_json(config).isNotNull(), F.from_json(config, kind))
+    rest = F.map_filter(F.coalesce(old, F.create_map().cast(kind)), lambda k, _: k != "limit")
+    if limit is None:
+        return F.to_json(rest)
+    return F.to_json(F.map_concat(rest, F.create_map(F.lit("limit"), F.parse_json(F.lit(str(int(limit)))))))
 
 
 def redetected(stored: Column, found: Column, detected: Column) -> Column:
@@ -133,7 +143,7 @@ class Run:
                 rows = fresh_candidates(rows, articles, floors(articles))
             known = articles.select("source_id", "guid", F.lit(True).alias("known"))
             rows = rows.join(known, ["source_id", "guid"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-            rows = merge.within_limits(rows, limits(own))
+            rows = merge.within_limits(rows, limits(own), MOST_LIMIT)
             if not self._stop.is_set():
                 self._say(message="Recording articles", fraction=0.3)
                 rows = save("candidates", rows)

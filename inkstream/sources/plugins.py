@@ -137,21 +137,24 @@ def install(spark: SparkSession) -> None:
     spark.dataSource.register(StubSource)
 
 
+#: Fixed value: the largest limit.
+MOST_LIMIT = 100_000
+
+
 def parse_limit(text: str) -> int | None:
     """``all`` or 1 to 100,000."""
     if str(text).strip().lower() == "all":
         return None
     n = int(text)
-    if not 1 <= n <= 100_000:
+    if not 1 <= n <= MOST_LIMIT:
         raise ValueError("a limit is 'all' or 1 to 100000")
     return n
 
 
-def stored_limit(value: object, default: int = 50) -> int | None:
-    """A limit from stored options: none stored is the default, junk is no limit."""
-    if value is None:
-        return default
-    return value if isinstance(value, int) and not isinstance(value, bool) and value > 0 else None
+def stored_limit(value: object) -> int | None:
+    """A limit from stored options; none stored, or junk, is no limit."""
+    whole = isinstance(value, int) and not isinstance(value, bool)
+    return value if whole and 1 <= value <= MOST_LIMIT else None
 
 
 def ordered_map(rows, fn: Callable, schema: str, key: str, partitions: int):

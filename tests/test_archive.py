@@ -133,6 +133,35 @@ def test_command_line(spark, tmp_path):
     cli.run(spark, [*at, "remove", "3", "--to", f"{tmp_path}/b"])
     assert spark.read.parquet(f"{tmp_path}/b/articles").where("source_id = 3").count() == 0
     assert cli.run(spark, [*at, "rename", "4", "Four", "--to", f"{tmp_path}/c"]).where("source_name = 'Four'").count() == 1
+    add = [*at, "add", "--homepage", "https://www.new.example/x", "--name", "New", "--plugin", "generic", "--detected", "feed", "--limit", "9", "--to", f"{tmp_path}/d"]
+    new = cli.run(spark, add).where("slug = 'new-example'").first()
+    assert new.source_id == 20 and new.enabled and '"limit": 9' in new.config
+    at = ["--data", f"{tmp_path}/d"]
+    got = cli.run(spark, [*at, "set-limit", "20", "--limit", "all", "--to", f"{tmp_path}/e"]).where("source_id = 20").first()
+    assert "limit" not in got.config and "detected" in got.config
+    cli.run(spark, [*at, "prune", "--to", f"{tmp_path}/f"])
+    assert spark.read.parquet(f"{tmp_path}/f/images").count() == 0
+    late = spark.createDataFrame([(20, "g", "Late")], "source_id long, guid string, title string")
+    late.selectExpr("*", "timestamp_ntz'2024-02-02 00:00:00' AS published_at", "0 AS source_order").write.parquet(f"{tmp_path}/late")
+    cli.run(spark, [*at, "sync", "--candidates", f"{tmp_path}/late", "--to", f"{tmp_path}/g"])
+    assert spark.read.parquet(f"{tmp_path}/g/articles").where("guid = 'g'").first().title == "Late"
+    assert spark.read.parquet(f"{tmp_path}/g/sources").count() == 21
+
+
+def test_command_line_adds_books(spark, tmp_path):
+    from inkstream import cli
+
+    from .test_functions import book
+
+    (tmp_path / "b.epub").write_bytes(book())
+    sources = spark.createDataFrame([(4, "S")], "source_id long, source_name string").withColumn("enabled", F.lit(True))
+    one = cli.add_book(spark, cli.migrate_columns(sources), str(tmp_path / "b.epub"), None)
+    row = one.where("source_id = 5").first()
+    assert row.plugin == "epub" and row.slug.startswith("book-") and "chapters" in row.config
+    assert cli.add_book(spark, one, str(tmp_path / "b.epub"), None).count() == 2
+    (tmp_path / "bad.epub").write_bytes(b"no book")
+    with pytest.raises(SystemExit):
+        cli.add_book(spark, one, str(tmp_path / "bad.epub"), None)
 
 
 def test_images_wanted(spark):

@@ -157,7 +157,7 @@ def test_plugin_source(spark, tmp_path):
     plugins.install(spark)
     df = spark.read.format("stubs").option("plugin", "json_folder").option("path", str(tmp_path)).load()
     assert df.count() == 4 and df.where(F.col("published_at") >= datetime(2020, 1, 8)).count() == 2
-    assert plugins.parse_limit("all") is None and plugins.stored_limit(True) is None and plugins.stored_limit(None) == 50
+    assert plugins.parse_limit("all") is None and plugins.stored_limit(True) is None and plugins.stored_limit(None) is None and plugins.stored_limit(7) == 7 and plugins.stored_limit(100_001) is None
     with pytest.raises(ValueError):
         plugins.parse_limit("0")
 

@@ -51,7 +51,13 @@ def test_run_is_cancelled(spark, tmp_path):
 def test_limits_of_options(spark):
     rows = [(1, '{"limit": 7}'), (2, None), (3, '{"limit": null}'), (4, '{"limit": "9"}'), (5, '{"limit": true}'), (6, "{}"), (7, "junk")]
     got = {r.source_id: r.n for r in sync.limits(spark.createDataFrame(rows, "source_id long, config string")).collect()}
-    assert got == {1: 7, 2: 50, 3: None, 4: None, 5: None, 6: 50, 7: 50}
+    assert got == {1: 7, 2: None, 3: None, 4: None, 5: None, 6: None, 7: None}
+
+
+def test_set_limit(spark):
+    rows = spark.createDataFrame([('{"limit": 7, "x": "y"}',), (None,), ("junk",)], "config string")
+    own = lambda n: [json.loads(r[0]) for r in rows.select(sync.with_limit(rows.config, n)).collect()]
+    assert own(5) == [{"limit": 5, "x": "y"}, {"limit": 5}, {"limit": 5}] and own(None) == [{"x": "y"}, {}, {}]
 
 
 def test_redetect(spark):
