@@ -82,21 +82,22 @@ def _queue_sql(scope: str = "all", newest: bool = False, limit: int = 40, offset
     return f"WITH {_JOINED} SELECT {', '.join(SHOWN)} FROM j WHERE {_where(scope, **how)} ORDER BY {_order(newest)} LIMIT {limit} OFFSET {offset}"
 
 
-def _register_queue(name: str, sql: str, limit: int = 40, **how) -> None:
+def _register_queue(name: str, sql: str, limit: int | None = 40, **how) -> None:
     query(sql, name)(lambda spark, d: queue.queue(archive(spark, d), limit=limit, **how).select(SHOWN))
 
 
+# Whole scopes have no limit; the one in their SQL bites only on tables of more than 10,000 articles.
 _register_queue("queue_all_oldest", _queue_sql())
 _register_queue("queue_all_newest", _queue_sql(newest=True), newest_first=True)
 for _scope in ("unread", "read", "favourites", "skipped", "annotated", "highlighted"):
-    _register_queue(f"queue_{_scope}", _queue_sql(_scope, limit=10_000), limit=10_000, scope=_scope)
-_register_queue("queue_hide_read", _queue_sql(hide=True, limit=10_000), limit=10_000, hide_read=True)
-_register_queue("queue_by_source", _queue_sql(extra=" AND source_id = 4", limit=10_000), limit=10_000, source_id=4)
+    _register_queue(f"queue_{_scope}", _queue_sql(_scope, limit=10_000), limit=None, scope=_scope)
+_register_queue("queue_hide_read", _queue_sql(hide=True, limit=10_000), limit=None, hide_read=True)
+_register_queue("queue_by_source", _queue_sql(extra=" AND source_id = 4", limit=10_000), limit=None, source_id=4)
 _register_queue("queue_page2", _queue_sql(offset=40), offset=40)
 _register_queue(
     "queue_search_prefix",
     _queue_sql(extra=" AND regexp_matches(lower(title || ' ' || body[61:260]), '(^|[^\\p{L}\\p{N}])th') AND regexp_matches(lower(title || ' ' || body[61:260]), '(^|[^\\p{L}\\p{N}])an')", limit=10_000),
-    limit=10_000,
+    limit=None,
     search="th an",
 )
 
