@@ -452,12 +452,22 @@ def iso_dates(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", dates.parse_iso(stamp, NOW_PAGES)["iso"].alias("at"))
 
 
-@query("WITH e AS (SELECT user_id AS site, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS pos FROM events) SELECT CAST(site AS VARCHAR) AS page_url, pos, date_trunc('month', ts) AS published_at FROM e WHERE pos <= 5")
-def listing_dates(spark, d):
+def _listing(spark: SparkSession, d: str) -> DataFrame:
     over = Window.partitionBy("user_id").orderBy(F.desc("ts"))
-    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("pos", F.row_number().over(over).cast("long")).where("pos <= 5")
+    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("pos", F.row_number().over(over).cast("long"))
     hint = F.concat(F.lpad(F.month("ts").cast("string"), 2, "0"), F.lit("/"), F.substring(F.year("ts").cast("string"), 3, 2))
-    return dates.listing_dates(rows.select(F.col("user_id").cast("string").alias("page_url"), "pos", hint.alias("hint")), NOW_PAGES).select("page_url", "pos", "published_at")
+    return rows.select(F.col("user_id").cast("string").alias("page_url"), "pos", hint.alias("hint"))
+
+
+@query("WITH e AS (SELECT user_id AS site, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS pos FROM events) SELECT CAST(site AS VARCHAR) AS page_url, pos, date_trunc('month', ts) AS published_at FROM e WHERE pos <= 5")
+def listing_dates(spark, d):
+    """The newest five entries of each listing, as its SQL says; ``listing_dates_all`` has every entry."""
+    return dates.listing_dates(_listing(spark, d).where("pos <= 5"), NOW_PAGES).select("page_url", "pos", "published_at")
+
+
+@query("WITH e AS (SELECT user_id AS site, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS pos FROM events) SELECT CAST(site AS VARCHAR) AS page_url, pos, date_trunc('month', ts) AS published_at FROM e")
+def listing_dates_all(spark, d):
+    return dates.listing_dates(_listing(spark, d), NOW_PAGES).select("page_url", "pos", "published_at")
 
 
 _INDEX = "x AS (SELECT source_id, article_id, published_at, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC NULLS FIRST, article_id) AS k FROM fx_articles), y AS (SELECT source_id, k * 7919 % 1009 AS pos, article_id, published_at FROM x)"
