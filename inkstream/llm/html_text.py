@@ -5,9 +5,9 @@ stripped with its content: scripts, styles, menus, headers, footers, asides, for
 comments and the like, known by element or by a word of class, id or role.  A line's length is its text
 outside links.  Lengths are summed over a window of lines sliding down the page; the text lies between a
 surge, where the sum rises over a threshold after nothing, and the dive, where it falls back to nothing.  Inside an
-``article`` or ``main`` element the markup vouches for its lines, so any text is a surge there; without one a
-surge takes ``SURGE`` code points, a dive is a whole window of lines that are empty, linked or stripped, and
-stretches with less than ``MINOR`` of the text of the longest one are left out.
+``article`` or ``main`` element the markup vouches for its lines, so all that aren't stripped are kept, linked ones
+too; without one a surge takes ``SURGE`` code points, a dive is a whole window of lines that are empty, linked or
+stripped, and stretches with less than ``MINOR`` of the text of the longest one are left out.
 
 Character references are decoded, white space inside a line becomes one space, lines are joined by a line feed.
 Null or empty pages have an empty text.  Unclosed and crossed elements end with the block that holds them.
@@ -146,27 +146,27 @@ def _in_article(page: str, at: int, tag: str) -> bool:
 
 def main_text(page: str) -> str:
     found = list(lines(page))
-    vouched = any(m and not n for _, _, n, m in found)
-    lengths = [0 if n or vouched and not m else free for _, free, n, m in found]
-    if not vouched:  # a line that is mostly links isn't text
-        lengths = [x if 2 * x >= len(t) else 0 for x, (t, *_) in zip(lengths, found, strict=True)]
+    vouched = [text for text, _, n, m in found if m and not n]
+    if vouched:
+        return "\n".join(vouched)
+    # A line that is mostly links isn't text.
+    lengths = [0 if n or 2 * free < len(t) else free for t, free, n, _ in found]
     n = len(lengths)
     run = [0]
     for x in lengths:
         run.append(run[-1] + x)
     sums = [run[min(n, i + WINDOW)] - run[i] for i in range(n)]
-    surge = 1 if vouched else SURGE
     stretches: list[tuple[int, int]] = []
     begin = None
     for i in range(n):
-        if begin is None and lengths[i] and sums[i] >= surge:
+        if begin is None and lengths[i] and sums[i] >= SURGE:
             begin = i
         if begin is not None and (i + 1 == n or sums[i + 1] == 0):
             stretches.append((begin, i + 1))
             begin = None
     most = max((run[b] - run[a] for a, b in stretches), default=0)
-    kept = [x for a, b in stretches if vouched or run[b] - run[a] >= MINOR * most for x in range(a, b)]
-    return "\n".join(found[i][0] for i in kept if not found[i][2] and (not vouched or found[i][3]))
+    kept = [x for a, b in stretches if run[b] - run[a] >= MINOR * most for x in range(a, b)]
+    return "\n".join(found[i][0] for i in kept if not found[i][2])
 
 
 def extract(pages: DataFrame) -> DataFrame:
