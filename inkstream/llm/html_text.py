@@ -6,8 +6,10 @@ comments and the like, known by element or by a word of class, id or role.  A li
 outside links.  Lengths are summed over a window of lines sliding down the page; the text lies between a
 surge, where the sum rises over a threshold after nothing, and the dive, where it falls back to nothing.  Inside an
 ``article`` or ``main`` element the markup vouches for its lines, so all that aren't stripped are kept, linked ones
-too; without one a surge takes ``SURGE`` code points, a dive is a whole window of lines that are empty, linked or
-stripped, and stretches with less than ``MINOR`` of the text of the longest one are left out.
+too; without one stripped lines are closed up, a surge takes ``SURGE`` code points, a dive is a whole window of
+linked lines, and all between the first surge and the last dive is kept but runs of linked lines as long as a window.
+If nothing reaches the surge, all that isn't stripped is the text; if everything was stripped, what was so only for
+a word of class, id or role.
 
 Character references are decoded, white space inside a line becomes one space, lines are joined by a line feed.
 Null or empty pages have an empty text.  Unclosed and crossed elements end with the block that holds them.
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 
-WINDOW, SURGE, MINOR = 3, 40, 0.2
+WINDOW, SURGE = 3, 40
+#: Why a line is stripped: for a word of class, id or role; for its element, or as it is hidden.
+BY_WORD, BY_ELEMENT = 1, 2
 
 # Elements of the HTML standard by what they mean here.
 NOISE = frozenset("script style noscript template nav header footer aside form button select textarea iframe svg math canvas object dialog menu title head option label fieldset".split())
@@ -48,39 +52,41 @@ ASIDE_WORDS = frozenset("ad advert comment comments promo related reply replies
 
 #: Layout that an element has or lacks says nothing about the element.
 _WITHOUT = re.compile(r"\b(?:has|have|no|not|with|without|hide|is)[-_]\w+", re.I)
+#: Names of an article's own parts, or of any block in a page builder.
+_OWN_PART = re.compile(r"(?<![A-Za-z])(?:elementor-widget|(?:entry|post|article|story)[-_]+header)(?![A-Za-z])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_noise(tag: str, attributes: str) -> bool:
+def _is_noise(tag: str, attributes: str) -> int:
     if tag in NOISE:
-        return True
+        return BY_ELEMENT
     if not attributes or tag in ("body", "html"):
-        return False
-    words = ASIDE_WORDS if tag in MAIN else NOISE_WORDS
+        return 0
+    words, out = ASIDE_WORDS if tag in MAIN else NOISE_WORDS, 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return BY_ELEMENT
         if name == "style":
             if "display:none" in value.replace(" ", "").lower():
-                return True
-        elif any(word.lower() in words for word in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", _WITHOUT.sub(" ", value)))):
-            return True
-    return False
+                return BY_ELEMENT
+        elif any(word.lower() in words for word in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", _OWN_PART.sub(" ", _WITHOUT.sub(" ", value))))):
+            out = BY_WORD
+    return out
 
 
-def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """text, code points outside links, whether it is stripped, whether article or main holds it; for each line."""
-    stack: list[tuple[str, bool, bool]] = []  # element, noise, main
+def lines(page: str) -> Iterator[tuple[str, int, int, bool]]:
+    """text, code points outside links, why it is stripped (0: it isn't), whether article or main holds it; for each line."""
+    stack: list[tuple[str, int, bool]] = []  # element, noise, main
     parts: list[str] = []
     free = at = 0
-    noise = main = False
+    noise, main = 0, False
     links = 0
 
-    def flush() -> Iterator[tuple[str, int, bool, bool]]:
+    def flush() -> Iterator[tuple[str, int, int, bool]]:
         nonlocal parts, free
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
@@ -125,15 +131,15 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                     if stack[k][0] in BLOCK:
                         break
             if tag not in VOID and not m[3].rstrip().endswith("/"):
-                bad = bool(stack and stack[-1][1]) or _is_noise(tag, m[3])
+                bad = max(stack[-1][1] if stack else 0, _is_noise(tag, m[3]))
                 if tag in NOISE and tag in ("header", "label") and stack and stack[-1][2] and not stack[-1][1]:
-                    bad = _in_article(page, at, tag)
+                    bad = BY_ELEMENT if _in_article(page, at, tag) else 0
                 stack.append((tag, bad, bool(stack and stack[-1][2]) or tag in MAIN))
                 if tag in RAW:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                     at = end.end() if end else len(page)
                     stack.pop()
-        noise, main = bool(stack and stack[-1][1]), bool(stack and stack[-1][2])
+        noise, main = stack[-1][1] if stack else 0, bool(stack and stack[-1][2])
         links = sum(x[0] == "a" for x in stack) if tag == "a" or m[1] else links
     yield from flush()
 
@@ -149,24 +155,34 @@ def main_text(page: str) -> str:
     vouched = [text for text, _, n, m in found if m and not n]
     if vouched:
         return "\n".join(vouched)
+    left = [(text, free) for text, free, n, _ in found if not n]
+    if not left:
+        return "\n".join(text for text, _, n, _ in found if n == BY_WORD)
     # A line that is mostly links isn't text.
-    lengths = [0 if n or 2 * free < len(t) else free for t, free, n, _ in found]
+    lengths = [free if 2 * free >= len(text) else 0 for text, free in left]
     n = len(lengths)
     run = [0]
     for x in lengths:
         run.append(run[-1] + x)
     sums = [run[min(n, i + WINDOW)] - run[i] for i in range(n)]
-    stretches: list[tuple[int, int]] = []
-    begin = None
-    for i in range(n):
+    first = next((i for i in range(n) if lengths[i] and sums[i] >= SURGE), None)
+    if first is None:
+        return "\n".join(text for text, _ in left)
+    last = begin = None
+    for i in range(first, n):
         if begin is None and lengths[i] and sums[i] >= SURGE:
             begin = i
         if begin is not None and (i + 1 == n or sums[i + 1] == 0):
-            stretches.append((begin, i + 1))
-            begin = None
-    most = max((run[b] - run[a] for a, b in stretches), default=0)
-    kept = [x for a, b in stretches if run[b] - run[a] >= MINOR * most for x in range(a, b)]
-    return "\n".join(found[i][0] for i in kept if not found[i][2])
+            last, begin = i, None
+    kept, at = [], first
+    while at <= last:
+        end = at + 1
+        while end <= last and (lengths[end] > 0) == (lengths[at] > 0):
+            end += 1
+        if lengths[at] or end - at < WINDOW:
+            kept += [text for text, _ in left[at:end]]
+        at = end
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
