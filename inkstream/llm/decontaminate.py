@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import configure
@@ -88,7 +88,7 @@ def _frequency(docs: DataFrame, sizes: dict[int, np.ndarray]) -> dict[int, int]:
     return {x % 2**64: n for x, n in zip(found["shingle"].to_pylist(), found["n"].to_pylist(), strict=True)}
 
 
-_HITS = "doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+_HITS = "doc_id long, name string, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 
 
 def _probe(docs: DataFrame, index: dict[int, dict], names: list[str]) -> DataFrame:
@@ -132,15 +132,24 @@ def _probe(docs: DataFrame, index: dict[int, dict], names: list[str]) -> DataFra
                             out.append({"first": int(a), "last": int(b)})
                     merged.append(out)
                 yield pa.record_batch(
-                    [rows.column("doc_id"), pa.array(w.counts(), pa.int64()), pa.array(merged, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "spans", "items"],
+                    [rows.column("doc_id"), rows.column("name"), pa.array(w.counts(), pa.int64()), pa.array(merged, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    names=["doc_id", "name", "n_words", "spans", "items"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(probe, _HITS)
+    return docs.select(F.col("doc_id").cast("long"), _name(docs).alias("name"), "text").mapInArrow(probe, _HITS)
+
+
+def _name(docs: DataFrame) -> Column:
+    """128 bits of the text: with the id it tells rows apart, as what a row holds depends on its text alone."""
+    return F.md5(F.coalesce(docs["text"], F.lit("")))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, spans (word ranges inside windows, merged), items (ids as strings)."""
+    return _overlaps(docs, benchmark, window, shingle, block_windows).drop("name")
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     configure(docs.sparkSession)
     names_of: list[DataFrame] = []
     for block in _blocks(benchmark, window, block_windows):
@@ -153,14 +162,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingl
         names_of.append(_probe(docs, _index(windows, frequency), block.column("item_id").to_pylist()))
     if len(names_of) == 1:
         return names_of[0]
-    # More blocks: one row per document and block, put together by a key that tells repeated rows apart.
-    key = F.struct("doc_id", "n_words")
+    # More blocks: one row per document and block, put together by a key that is the same for the same text only.
+    key = F.struct("doc_id", "name")
     out = names_of[0].where("size(spans) > 0")
     for more in names_of[1:]:
         out = out.unionByName(more.where("size(spans) > 0"))
+    out = out.distinct()
     hits = out.groupBy(key.alias("key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     hits = materialise(hits)
-    base = names_of[0].select("doc_id", "n_words", key.alias("key"))
+    base = names_of[0].select("doc_id", "name", "n_words", key.alias("key"))
     empty = "array<struct<first:bigint,last:bigint>>"
     merged = F.aggregate(
         "spans",
@@ -168,7 +178,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingl
         lambda done, x: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["last"] >= x["first"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(done, F.lit(-1))["last"], x["last"]).alias("last"))))).otherwise(F.concat(done, F.array(x))),
     )
     joined = base.join(maybe_broadcast(hits), "key", "left")
-    return joined.select("doc_id", "n_words", F.coalesce(merged, F.array().cast(empty)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return joined.select("doc_id", "name", "n_words", F.coalesce(merged, F.array().cast(empty)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[pa.RecordBatch]:
@@ -196,10 +206,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents in which no window occurs, with the columns of ``docs``; rows that share an id (or have none) go together."""
-    hit = materialise(overlaps(docs, benchmark, **how).where("size(spans) > 0").select(F.col("doc_id").alias("hit_id")).distinct())
+    """The documents in which no window occurs, with the columns of ``docs``; each row is judged by its own text."""
+    hit = materialise(_overlaps(docs, benchmark, **how).where("size(spans) > 0").select(F.col("doc_id").alias("hit_id"), F.col("name").alias("hit_name")).distinct())
     hit = maybe_broadcast(hit)
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti").select(docs.columns)
+    same = docs["doc_id"].eqNullSafe(hit["hit_id"]) & (_name(docs) == hit["hit_name"])
+    return docs.join(hit, same, "left_anti").select(docs.columns)
 
 
 SQL = r"""
