@@ -2,11 +2,14 @@
 
 Base patterns are matched leftmost and without overlap for each kind, on the whole text; matches that are too short are
 dropped.  The field tags tokens (runs of ``[A-Za-z0-9+/_.=-]``) as begin, inside or outside of a secret, from their
-shape, the neighbouring words and features of the document.  Only tokens of at least ``LEAST`` characters with
-a digit can be begin or inside; the others are outside for certain, so the best path is found piece
-by piece between them, which is the best path of the whole chain.  Decoding is by Viterbi.
-
-It is trained in numpy on the base matches of at most ``TRAIN_DOCS`` documents, picked by a hash of the id.  Spans it
+shape, the neighbouring words and features of the document.  Tokens of at least ``LEAST`` characters with
+a digit, the tokens of any kind and length that follow a cue word (``NEAR`` of them, within ``REACH`` characters) and
+those between a colon and an at sign can be begin or inside; the others are outside for certain, so the best path is
+found piece by piece between them, which is the best path of the whole chain.  Decoding is by Viterbi.
+
+It is trained in numpy on the base matches of at most ``TRAIN_DOCS`` documents, picked by a hash of the id.  Near misses
+(matches that are too short, hexadecimal tokens, what stands after a cue word and a colon or equals sign or before an at
+sign) have no label: chains are parted there.  Base matches are also shown cut short, as secrets.  Spans it
 finds are added unless they touch a base span.  Without a base match to learn from nothing is added.
 
 Positions are code points, the end exclusive.  Null texts are empty and have no spans.  Repeated rows give a row each.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log2
@@ -38,9 +42,14 @@ KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 1
 
 LEAST, TRAIN_DOCS, BITS = 8, 20_000, 13
 OUT, BEGIN, INSIDE = 0, 1, 2
-_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
+NEAR, REACH = 2, 24
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: Words that a secret may follow; the userinfo of an address; what stands between a cue and its value.
+_CUE = re.compile(r"pass(?:w(?:or)?d|phrase|code|wd)?|pwd|secret|token|key|auth|login|credentials?|bearer", re.I | re.A)
+_INFO = re.compile(r":([A-Za-z0-9+/_.=-]+)@")
+_ASSIGNED = re.compile(r"[\"']?\x20*[:=]\x20*[\"']?\Z")
 _WORD_BEFORE = re.compile(r"([A-Za-z]{1,32})[^A-Za-z]{0,8}\Z")
-_KEYS = (b"passw", b"secret", b"token", b"api", b"akia")
+_KEYS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"login", b"credential", b"bearer", b"api", b"akia", b"@")
 
 _CLASS = np.zeros(256, dtype=bool)
 _CLASS[list(b"abcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
@@ -95,9 +104,33 @@ def _number(*parts: object) -> int:
     return crc32(repr(parts).encode()) >> (32 - BITS)
 
 
-def pieces(text: str) -> list[list[tuple[int, int, list[int]]]]:
-    """Runs of neighbouring tokens that can be tagged: start, end and features of each."""
-    found = [m for m in _TOKEN.finditer(text) if any(c in "0123456789" for c in m[0])]
+def _candidates(text: str, around: list[tuple[int, int, int]] = []) -> list[re.Match]:  # noqa: B006
+    """The tokens that can be tagged, and those before and after the spans ``around``."""
+    tokens = list(_TOKEN.finditer(text))
+    starts = [m.start() for m in tokens]
+    near = {bisect_left(starts, m.start(1)) for m in _INFO.finditer(text)}
+    near.update(k for lo, _, hi in around for k in (bisect_left(starts, lo) - 1, bisect_left(starts, hi)))
+    for cue in _CUE.finditer(text):
+        at = bisect_left(starts, cue.end())
+        near.update(k for k in range(at, min(at + NEAR, len(tokens))) if starts[k] <= cue.end() + REACH)
+    return [m for k, m in enumerate(tokens) if k in near or m.end() - m.start() >= LEAST and any(c in "0123456789" for c in m[0])]
+
+
+def _near_misses(text: str) -> list[tuple[int, int]]:
+    """Where something like a secret stands that no base pattern takes; no label for training."""
+    out = [(m.start(), m.end()) for _, pattern, group, least in KINDS[:2] for m in pattern.finditer(text) if m.end(group) - m.start(group) < least]
+    out += [m.span() for m in _TOKEN.finditer(text) if LEAST <= m.end() - m.start() < 16 and HEX.fullmatch(m[0]) and not m[0].isdigit() and not m[0].isalpha()]
+    out += [m.span(1) for m in _INFO.finditer(text)]
+    for cue in _CUE.finditer(text):
+        m = _TOKEN.search(text, cue.end(), cue.end() + REACH)
+        if m and _ASSIGNED.fullmatch(text[cue.end() : m.start()]):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def pieces(text: str, around: list[tuple[int, int, int]] = []) -> list[list[tuple[int, int, list[int]]]]:  # noqa: B006
+    """Runs of neighbouring tokens that can be tagged (and of those around spans): start, end and features of each."""
+    found = _candidates(text, around)
     many, long = min(len(found), 4), len(text).bit_length() // 3
     out: list[list] = []
     last = None
@@ -141,6 +174,36 @@ def _truth(piece: list[tuple[int, int, list[int]]], spans: list[tuple[int, int,
     return tags
 
 
+def _labelled(piece: list[tuple[int, int, list[int]]], spans: list[tuple[int, int, int]], misses: list[tuple[int, int]]) -> Iterator[list[tuple[int, int, list[int]]]]:
+    """The piece in parts, without near misses that no base span touches."""
+    part: list = []
+    for x in piece:
+        lo, hi, _ = x
+        if any(a < hi and lo < b for a, b in misses) and not any(s[0] < hi and lo < s[2] for s in spans):
+            if part:
+                yield part
+            part = []
+        else:
+            part.append(x)
+    if part:
+        yield part
+
+
+def _shortened(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[list[tuple[int, int, list[int]]], list[tuple[int, int, int]]]]:
+    """Base matches cut to less than their least length, in their surroundings: a length is no part of what a secret is."""
+    for lo, k, hi in spans:
+        _, pattern, group, least = KINDS[k]
+        value = pattern.match(text, lo).start(group)
+        end = value + least // 2 + crc32(text[value:hi].encode()) % (least - least // 2)
+        if text[value:end].isdigit():
+            continue
+        at = max(0, lo - 80)
+        near, own = text[at:end] + text[hi : hi + 80], (lo - at, k, end - at)
+        for piece in pieces(near, [own]):
+            if any(a < own[2] and own[0] < b for a, b, _ in piece):
+                yield piece, sorted([own, *(s for s in base_spans(near) if s[2] <= own[0] or own[2] <= s[0])])
+
+
 @dataclass
 class Field:
     """emit: feature by tag; move: tag before by tag after; the chain begins after an outside token."""
@@ -229,9 +292,14 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field:
             features, tags = [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text or "")
-                for piece in pieces(text or ""):
-                    features.append([x[2] for x in piece])
-                    tags.append(_truth(piece, spans))
+                misses = _near_misses(text or "")
+                for piece in pieces(text or "", spans):  # with ordinary words beside secrets
+                    for part in _labelled(piece, spans, misses):
+                        features.append([x[2] for x in part])
+                        tags.append(_truth(part, spans))
+                for part, own in _shortened(text or "", spans):
+                    features.append([x[2] for x in part])
+                    tags.append(_truth(part, own))
             yield pa.record_batch([pa.array(features, pa.list_(pa.list_(pa.int32()))), pa.array(tags, pa.list_(pa.int32()))], names=["features", "tags"])
 
     # At most ``most`` ids.
