@@ -13,8 +13,8 @@ Candidates form groups.  Inside a group every pair is then verified on the whole
 blocks of bounded size, blocks are compared two by two in different tasks by matrix products, and each task
 returns a row per set (how many sets it links, and the smallest set it is connected with), never pairs.
 
-Every document gets a row.  Null and empty texts, and null ids, are classes of their own.  Rows that share an
-id are one node; repeated rows give a row each.
+Every document gets a row.  Null and empty texts, and null ids, are classes of their own.  Nodes are sets, so rows
+that share an id but not a text are compared each for itself; repeated rows give a row each.
 """
 
 from __future__ import annotations
@@ -71,6 +71,12 @@ def _signature(elements: np.ndarray) -> bytes:
     return (W.mix(low) >> np.uint64(48)).astype("<u2").tobytes()
 
 
+def _name(own: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    two = (W.mix(own).sum(dtype=np.uint64), W.mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
+    return np.array(two, dtype=np.uint64).tobytes()
+
+
 def _describe(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,12 +84,11 @@ def _describe(docs: DataFrame, shingle: int) -> DataFrame:
                 names, sizes, signatures = [], [], []
                 for own in _sets(w, shingle):
                     sizes.append(len(own))
-                    two = (W.mix(own).sum(dtype=np.uint64), W.mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-                    names.append(np.array(two, dtype=np.uint64).tobytes())
+                    names.append(_name(own))
                     signatures.append(_signature(own) if len(own) else b"")
-                yield pa.record_batch([rows.column("doc_id"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "name", "size", "signature"])
+                yield pa.record_batch([rows.column("doc_id"), rows.column("text_name"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "text_name", "name", "size", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, name binary, size long, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), F.md5("text").alias("text_name"), "text").mapInArrow(run, "doc_id long, text_name string, name binary, size long, signature binary")
 
 
 def _children(path: np.ndarray, signatures: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -180,13 +185,15 @@ def _elements(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, w in W.parts(batch, "text"):
-                yield pa.record_batch([rows.column("node"), rows.column("root"), pa.array([x.tobytes() for x in _sets(w, shingle)], pa.binary())], names=["node", "root", "elements"])
+                own = [x.tobytes() if _name(x) == name else None for x, name in zip(_sets(w, shingle), rows.column("name").to_pylist(), strict=True)]
+                yield pa.record_batch([rows.column("node"), rows.column("root"), pa.array(own, pa.binary())], names=["node", "root", "elements"])
 
-    return docs.select("node", "root", "text").mapInArrow(run, "node long, root long, elements binary")
+    # A row of the id with another set is none of the node.
+    return docs.select("node", "root", "name", "text").mapInArrow(run, "node long, root long, elements binary").where("elements IS NOT NULL")
 
 
-def _linked(own: list[np.ndarray], side: np.ndarray, threshold: float) -> np.ndarray:
-    """Which sets are similar; where there are two sides, only across them."""
+def _linked(own: list[np.ndarray], side: np.ndarray, across: bool, threshold: float) -> np.ndarray:
+    """Which sets are similar; ``across``: only sets of different sides, as others are compared in another task."""
     sizes = np.array([len(x) for x in own])
     _, inverse, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
     row, keep = np.repeat(np.arange(len(own)), sizes), often[inverse] > 1
@@ -201,7 +208,7 @@ def _linked(own: list[np.ndarray], side: np.ndarray, threshold: float) -> np.nda
         common += x @ x.T
     linked = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-3
     np.fill_diagonal(linked, False)
-    return linked & (side[:, None] != side[None, :]) if side.any() else linked
+    return linked & (side[:, None] != side[None, :]) if across else linked
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
@@ -211,7 +218,7 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
         unique = list({node: (block, elements) for node, block, elements in rows}.items())
         node = np.array([x[0] for x in unique])
         side = np.array([x[1][0] != key[1] for x in unique])
-        linked = _linked([np.frombuffer(x[1][1], dtype=np.uint64) for x in unique], side, threshold)
+        linked = _linked([np.frombuffer(x[1][1], dtype=np.uint64) for x in unique], side, key[1] != key[2], threshold)
         low = node.copy()
         while True:
             new = np.minimum(low, np.where(linked, low[None, :], np.iinfo(np.int64).max).min(axis=1))
@@ -246,15 +253,21 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, depth: int = DEPTH, block_sets: int = BLOCK_SETS, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
     """One row per document: doc_id, copy_of (smallest id with the same set), class_id (smallest id of the class), n_links (other sets that its set is similar to)."""
+    return _classes(docs, shingle, threshold, recall, bucket, depth, block_sets, block_elements).drop("text_name")
+
+
+def _classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, depth: int = DEPTH, block_sets: int = BLOCK_SETS, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
     configure(docs.sparkSession)
     described = materialise(_describe(docs, shingle))
     whole = F.col("doc_id").isNotNull() & (F.col("size") > 0)
-    sets = materialise(described.where(whole).groupBy("name").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("signature").alias("signature")))
+    sets = described.where(whole).groupBy("name").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("signature").alias("signature"))
+    sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()))
     groups = materialise(components(candidates(sets.select("node", "signature"), threshold, recall, bucket, depth)))
 
     size = groups.join(sets.select("node", "size"), "node").groupBy("root").agg(F.sum("size").alias("elements"), F.count("*").alias("sets"))
     size = materialise(size.select("root", F.greatest(F.ceil(F.col("elements") / block_elements), F.ceil(F.col("sets") / block_sets)).cast("int").alias("blocks")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(maybe_broadcast(groups), "node")
+    wanted = materialise(groups.join(sets.select("node", "least", "name"), "node"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(maybe_broadcast(wanted), "least")
     cut = _elements(texts, shingle).join(maybe_broadcast(size), "root")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cut = cut.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -269,15 +282,20 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOL
     if size.where("blocks > 1").head(1):
         settled = settled.unionByName(components(pieces).select("node", F.col("root").alias("class_id")))
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
-    found = materialise(settled.groupBy("node").agg(F.min("class_id").alias("class_id")).join(links, "node"))
-
-    members = described.where(whole).select("doc_id", "name").join(sets.select("name", "node"), "name")
-    members = members.join(maybe_broadcast(found), "node", "left").select("doc_id", F.col("node").alias("copy_of"), F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    alone = described.where(~whole).select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    found = settled.groupBy("node").agg(F.min("class_id").alias("class")).join(links, "node")
+    found = materialise(found.join(wanted.select("node", "least"), "node"))
+    named = found.groupBy("class").agg(F.min("least").alias("class_id"))
+    found = materialise(found.join(named, "class").select("node", "class_id", "n_links"))
+
+    members = described.where(whole).select("doc_id", "text_name", "name").join(sets.select("name", "node", "least"), "name")
+    members = members.join(maybe_broadcast(found), "node", "left").select("doc_id", "text_name", F.col("least").alias("copy_of"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    alone = described.where(~whole).select("doc_id", "text_name", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return members.unionByName(alone)
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """One document of each class, the one with the smallest id, with the columns of ``docs``."""
-    gone = materialise(classes(docs, **how).where("doc_id <> class_id").select("doc_id").distinct())
-    return docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(docs.columns)
+    gone = materialise(_classes(docs, **how).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"), F.col("text_name").alias("gone_text")).distinct())
+    gone = maybe_broadcast(gone)
+    same = (docs["doc_id"] == gone["gone_id"]) & (F.md5(docs["text"]) == gone["gone_text"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)

@@ -1,7 +1,7 @@
 """Each row is judged by its own text, whatever its id."""
 
 import pytest
-from inkstream.llm import decontaminate
+from inkstream.llm import decontaminate, jaccard
 
 DOCS = "doc_id long, text string"
 LEAK = "the quick brown fox jumps over the lazy dog again"
@@ -19,3 +19,33 @@ def test_decontaminate_rows_without_an_id_or_with_the_same(spark, block):
     kept = decontaminate.clean(docs, items, block_windows=block)
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(str((i, t)) for i, t in rows if t != LEAK)
     assert kept.columns == docs.columns
+
+
+def test_jaccard_links_of_blocks_and_of_rows_that_share_an_id(spark):
+    import numpy as np
+
+    one = np.arange(100, dtype=np.uint64)
+    same = np.zeros(2, dtype=bool)
+    assert not jaccard._linked([one, one[:99]], same, True, 0.8).any()  # the other block is empty
+    assert jaccard._linked([one, one[:99]], same, False, 0.8).sum() == 2
+    a, b = [" ".join(f"{x}{k}" for k in range(60)) for x in "ab"]
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end")]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    far = [(1, a), (5, b), (5, a + " end"), (9, b + " end")]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(spark.createDataFrame(far, DOCS)).collect())
+    assert got == [(1, 1, 1), (5, 1, 1), (5, 5, 1), (9, 5, 1)]
+
+
+@pytest.mark.parametrize("how", [{"block_elements": 100}, {"block_elements": 60}])
+def test_jaccard_counts_a_link_once_where_a_block_is_empty(spark, how):
+    base = " ".join(f"w{k}" for k in range(80))
+    for first in (0, 2, 4):
+        docs = spark.createDataFrame([(first, base), (first + 1, base + " end")], DOCS)
+        assert [r.n_links for r in jaccard.classes(docs, **how).collect()] == [1, 1]
+
+
+def test_jaccard_keeps_a_row_that_shares_its_id_with_a_copy(spark):
+    a, b = [" ".join(f"{x}{k}" for k in range(60)) for x in "ab"]
+    docs = spark.createDataFrame([(1, a), (5, b), (5, a + " end"), (9, b + " end")], DOCS)
+    assert sorted((r.doc_id, r.text) for r in jaccard.representatives(docs).collect()) == [(1, a), (5, b)]
