@@ -2,14 +2,18 @@
 
 A page is cut into lines at block markup, in page order, without building a tree.  What can't be article text is
 stripped with its content: scripts, styles, menus, headers, footers, asides, forms, adverts, notices,
-comments and the like, known by element or by a word of class, id or role.  A line's length is its text
-outside links.  Lengths are summed over a window of lines sliding down the page; the text lies between a
-surge, where the sum rises over a threshold after nothing, and the dive, where it falls back to nothing.  Inside an
-``article`` or ``main`` element the markup vouches for its lines, so all that aren't stripped are kept, linked ones
-too; without one stripped lines are closed up, a surge takes ``SURGE`` code points, a dive is a whole window of
-linked lines, and all between the first surge and the last dive is kept but runs of linked lines as long as a window.
-If nothing reaches the surge, all that isn't stripped is the text; if everything was stripped, what was so only for
-a word of class, id or role.
+reader comments and the like, known by their element, or by a name (class, id or role) of a container.  Headings,
+paragraphs and list items are never judged by a name.  Inside an ``article`` or ``main`` element a name counts only if
+all its words are such words or layout words (``cookie-notice``, ``related-posts``, but not ``related-work``), and an
+id only if it names reader comments.  A header there is stripped if it is closed and holds no heading.
+
+A line's length is its text outside links; inside an ``article`` or ``main`` a heading counts whole.  Lengths are summed
+over a window of lines sliding down the page; the text lies between a surge and a dive.  Inside ``article`` or ``main``
+the markup vouches for lines, so any sum over nothing is a surge (a whole window of linked lines at the head is a menu),
+and the dive is the element's end: linked lines between and after the text stay.  Without one, stripped lines are closed
+up, a surge takes ``SURGE`` code points or a tenth of the page's largest sum, whichever is less, a dive is a whole window
+of linked lines, and all between the first surge and the last dive is kept but runs of linked lines as long as a window.
+If everything was stripped, what was so only for a name is the text; then what an unclosed element held.
 
 Character references are decoded, white space inside a line becomes one space, lines are joined by a line feed.
 Null or empty pages have an empty text.  Unclosed and crossed elements end with the block that holds them.
@@ -20,7 +24,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,25 +35,37 @@ from pyspark.sql import functions as F
 from ..session import configure
 
 WINDOW, SURGE = 3, 40
-#: Why a line is stripped: for a word of class, id or role; for its element, or as it is hidden.
-BY_WORD, BY_ELEMENT = 1, 2
+#: Why a line is stripped: for a name of a container; for an element, or as it is hidden.
+BY_NAME, BY_ELEMENT = 1, 2
 
 # Elements of the HTML standard by what they mean here.
-NOISE = frozenset("script style noscript template nav header footer aside form button select textarea iframe svg math canvas object dialog menu title head option label fieldset".split())
+NOISE = frozenset("script style noscript template nav header footer aside form button select textarea iframe svg canvas audio video object dialog menu title head option label fieldset annotation annotation-xml".split())
 BLOCK = frozenset(
-    "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
+    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe svg".split())
 MAIN = frozenset(["article", "main"])
-#: Words of a class, id or role that tell what isn't the article.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a name can mark; all others are text of whatever holds them.
+CONTAINERS = frozenset("div section ul ol dl table tbody tr td center details figure blockquote ins dir".split())
+#: Roles that mark what isn't the article, and those that mark it.
+NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+MAIN_ROLES = frozenset("main article".split())
+#: Words of a name that tell what isn't the article.
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments comentarios kommentare commentaires cookie cookies consent disqus discussion "
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle banner breadcrumb breadcrumbs comment comments comentarios kommentare commentaires cookie cookies consent disqus discussion "
     "footer footnav gdpr header masthead menu nav navbar navigation newsletter notice notices overlay pagination pager popup modal promo promoted promotion related recommended replies reply "
-    "respond share sharing sharebar sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert paywall contentinfo complementary search".split()
+    "respond share sharing sharebar sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert paywall search".split()
 )
-
-#: Of these, what an ``article`` element may be instead of the article.
+#: Of these, reader comments; they count as an id inside an article as well.
+COMMENT_WORDS = frozenset("comment comments comentarios kommentare commentaires disqus replies respond".split())
+#: What else a whole name of such a container is made of.
+LAYOUT_WORDS = frozenset(
+    "a and app area article bar block body bottom box btn button buttons card cards col column container content cta entry form global group holder icons inner item items js left links list main media meta "
+    "more outer page panel post posts primary reader readers right row secondary section segment site slot stories story the thread top unit user users vertical wide wrap wrapper".split()
+)
+#: Of the words, what an ``article`` element may be instead of the article.
 ASIDE_WORDS = frozenset("ad advert comment comments promo related reply replies recommended sponsored".split())
 
 #: Layout that an element has or lacks says nothing about the element.
@@ -55,50 +73,100 @@ _WITHOUT = re.compile(r"\b(?:has|have|no|not|with|without|hide|is)[-_]\w+", re.I
 #: Names of an article's own parts, or of any block in a page builder.
 _OWN_PART = re.compile(r"(?<![A-Za-z])(?:elementor-widget|(?:entry|post|article|story)[-_]+header)(?![A-Za-z])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
+_HEADER_OR_END = re.compile(r"<(/?)(header|article|main|h[1-6])(?=[\s/>])", re.I)
+
 
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
 
-def _is_noise(tag: str, attributes: str) -> int:
+
+def _whole(name: str, wanted: frozenset[str]) -> bool:
+    """Whether a name is made of such words and layout words alone."""
+    words = _words(name)
+    return any(w in wanted for w in words) and all(w in NOISE_WORDS or w in LAYOUT_WORDS for w in words)
+
+
+def _is_noise(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
+    """Why an element is stripped (0: it isn't), and whether it is the article."""
+    main = tag in MAIN
     if tag in NOISE:
-        return BY_ELEMENT
-    if not attributes or tag in ("body", "html"):
-        return 0
-    words, out = ASIDE_WORDS if tag in MAIN else NOISE_WORDS, 0
+        return BY_ELEMENT, False
+    if not attributes:
+        return 0, main
+    out = 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return BY_ELEMENT
+            return BY_ELEMENT, False
         if name == "style":
             if "display:none" in value.replace(" ", "").lower():
-                return BY_ELEMENT
-        elif any(word.lower() in words for word in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", _OWN_PART.sub(" ", _WITHOUT.sub(" ", value))))):
-            out = BY_WORD
-    return out
+                return BY_ELEMENT, False
+        elif name == "itemprop":
+            main = main or value == "articleBody"
+        elif name == "role":
+            main = main or value.lower() in MAIN_ROLES
+            if tag in CONTAINERS and value.lower() in NOISE_ROLES:
+                out = BY_NAME
+        elif tag in MAIN:
+            if ASIDE_WORDS.intersection(_words(_WITHOUT.sub(" ", value))):
+                out = BY_NAME
+        elif tag not in CONTAINERS or _OWN_PART.search(value) and not NOISE_WORDS.intersection(_words(_OWN_PART.sub(" ", value))):
+            continue
+        elif not inside:
+            if NOISE_WORDS.intersection(_words(_OWN_PART.sub(" ", _WITHOUT.sub(" ", value)))):
+                out = BY_NAME
+        elif any(_whole(x, NOISE_WORDS if name == "class" else COMMENT_WORDS) for x in value.split()):
+            out = BY_NAME
+    return out, main
+
+
+@dataclass
+class Line:
+    """text; free: its code points outside links; noise: why it is stripped; main: whether the article holds it; opener: the stripped element that holds it."""
+
+    text: str
+    free: int
+    noise: int
+    main: bool
+    heading: bool
+    opener: int
 
 
-def lines(page: str) -> Iterator[tuple[str, int, int, bool]]:
-    """text, code points outside links, why it is stripped (0: it isn't), whether article or main holds it; for each line."""
-    stack: list[tuple[str, int, bool]] = []  # element, noise, main
-    parts: list[str] = []
+def lines(page: str) -> tuple[list[Line], set[int]]:
+    """The lines of a page, and the stripped elements that are never closed."""
+    bottom = ("", 0, False, -1, 0, 0)
+    stack: list[tuple[str, int, bool, int, int, int]] = []  # element, noise, main, opener, links and headings up to here
+    depth: Counter[str] = Counter()
+    out: list[Line] = []
+    open_: set[int] = set()
+    parts: list[tuple[str, int, int]] = []  # text, noise, opener: a button or an annotation may stand inside a line
     free = at = 0
-    noise, main = 0, False
-    links = 0
+    bare: set[int] | None = None
 
-    def flush() -> Iterator[tuple[str, int, int, bool]]:
+    def flush() -> None:
         nonlocal parts, free
-        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        if text:
-            yield text, min(free, len(text)), noise, main
+        _, _, main, _, _, headings = stack[-1] if stack else bottom
+        for stripped in (False, True):
+            part = [x for x in parts if (x[1] > 0) is stripped]
+            text = _SPACE.sub(" ", html.unescape("".join(x[0] for x in part))).strip() if part else ""
+            if text:
+                out.append(Line(text, min(free, len(text)), part[0][1], main, headings > 0, part[0][2]))
         parts, free = [], 0
 
     def add(text: str) -> None:
         nonlocal free
-        parts.append(text)
-        if not links:
+        _, noise, _, opener, links, _ = stack[-1] if stack else bottom
+        parts.append((text, noise, opener))
+        if not links and not noise:
             free += len(text.strip())
 
+    def cut(k: int) -> None:
+        depth.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         if not m:
@@ -110,14 +178,15 @@ def lines(page: str) -> Iterator[tuple[str, int, int, bool]]:
         tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+                add(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
             continue
         if tag in BLOCK:
-            yield from flush()
+            flush()
         if m[1]:  # an end tag closes up to its element, but not beyond the article or page around it
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if depth[tag] > 0 else ():
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    open_.discard(stack[k][3] if not k or stack[k - 1][3] != stack[k][3] else -1)
+                    cut(k)
                     break
                 if stack[k][0] in MAIN and tag not in MAIN and tag not in ("body", "html"):
                     break
@@ -126,61 +195,93 @@ def lines(page: str) -> Iterator[tuple[str, int, int, bool]]:
                 like = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
                 for k in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
                     if stack[k][0] in like:
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] in BLOCK:
                         break
             if tag not in VOID and not m[3].rstrip().endswith("/"):
-                bad = max(stack[-1][1] if stack else 0, _is_noise(tag, m[3]))
-                if tag in NOISE and tag in ("header", "label") and stack and stack[-1][2] and not stack[-1][1]:
-                    bad = BY_ELEMENT if _in_article(page, at, tag) else 0
-                stack.append((tag, bad, bool(stack and stack[-1][2]) or tag in MAIN))
+                _, held, inside, opener, links, headings = stack[-1] if stack else bottom
+                bad, main = _is_noise(tag, m[3], inside)
+                if tag in ("header", "label") and inside and bad and not held:
+                    bare = _bare_headers(page) if bare is None else bare
+                    bad = BY_ELEMENT if m.start() in bare else 0
+                if bad and not held:
+                    opener = at
+                    open_.add(at)
+                stack.append((tag, max(held, bad), inside or main, opener, links + (tag == "a"), headings + (tag in HEADINGS)))
+                depth[tag] += 1
                 if tag in RAW:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                     at = end.end() if end else len(page)
-                    stack.pop()
-        noise, main = stack[-1][1] if stack else 0, bool(stack and stack[-1][2])
-        links = sum(x[0] == "a" for x in stack) if tag == "a" or m[1] else links
-    yield from flush()
+                    open_.discard(opener)
+                    cut(len(stack) - 1)
+    flush()
+    return out, open_
+
+
+def _bare_headers(page: str) -> set[int]:
+    """Where headers begin that are closed before an article is, and hold no heading; in one pass."""
+    waiting: list[tuple[int, bool]] = []  # where it begins, whether it holds a heading
+    out = set()
+    for m in _HEADER_OR_END.finditer(page):
+        name = m[2].lower()
+        if name == "header" and not m[1]:
+            waiting.append((m.start(), False))
+        elif name == "header" and waiting:
+            at, titled = waiting.pop()
+            if not titled:
+                out.add(at)
+            elif waiting:
+                waiting[-1] = (waiting[-1][0], True)
+        elif name[0] == "h" and name != "header" and waiting:
+            waiting[-1] = (waiting[-1][0], True)
+        elif name in MAIN and m[1]:
+            waiting = []
+    return out
 
 
-def _in_article(page: str, at: int, tag: str) -> bool:
-    """Whether a header in an article is to be stripped: not if it holds the article's heading."""
-    end = page.find(f"</{tag}", at)
-    return not re.search(r"<h[1-3][\s>]", page[at : end if end >= 0 else at + 2000], re.I)
+def _run(lengths: list[int], at: int) -> int:
+    """Where the run of equally linked or free lines ends that begins at ``at``."""
+    end = at + 1
+    while end < len(lengths) and (lengths[end] > 0) == (lengths[at] > 0):
+        end += 1
+    return end
 
 
 def main_text(page: str) -> str:
-    found = list(lines(page))
-    vouched = [text for text, _, n, m in found if m and not n]
-    if vouched:
-        return "\n".join(vouched)
-    left = [(text, free) for text, free, n, _ in found if not n]
+    found, unclosed = lines(page)
+    own = [x for x in found if x.main and not x.noise]
+    if own:
+        lengths = [len(x.text) if x.heading else x.free for x in own]
+        head = _run(lengths, 0)
+        begin = head if not lengths[0] and WINDOW <= head < len(own) else 0
+        return "\n".join(x.text for x in own[begin:])
+    left = [x for x in found if not x.noise]
     if not left:
-        return "\n".join(text for text, _, n, _ in found if n == BY_WORD)
+        left = [x for x in found if x.noise == BY_NAME] or [x for x in found if x.opener in unclosed]
+        return "\n".join(x.text for x in left)
     # A line that is mostly links isn't text.
-    lengths = [free if 2 * free >= len(text) else 0 for text, free in left]
+    lengths = [x.free if 2 * x.free >= len(x.text) else 0 for x in left]
     n = len(lengths)
     run = [0]
     for x in lengths:
         run.append(run[-1] + x)
     sums = [run[min(n, i + WINDOW)] - run[i] for i in range(n)]
-    first = next((i for i in range(n) if lengths[i] and sums[i] >= SURGE), None)
+    surge = min(SURGE, max(1, max(sums) // 10))
+    first = next((i for i in range(n) if lengths[i] and sums[i] >= surge), None)
     if first is None:
-        return "\n".join(text for text, _ in left)
+        return "\n".join(x.text for x in left)
     last = begin = None
     for i in range(first, n):
-        if begin is None and lengths[i] and sums[i] >= SURGE:
+        if begin is None and lengths[i] and sums[i] >= surge:
             begin = i
         if begin is not None and (i + 1 == n or sums[i + 1] == 0):
             last, begin = i, None
     kept, at = [], first
     while at <= last:
-        end = at + 1
-        while end <= last and (lengths[end] > 0) == (lengths[at] > 0):
-            end += 1
+        end = min(_run(lengths, at), last + 1)
         if lengths[at] or end - at < WINDOW:
-            kept += [text for text, _ in left[at:end]]
+            kept += [x.text for x in left[at:end]]
         at = end
     return "\n".join(kept)
 
