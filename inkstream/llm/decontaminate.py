@@ -7,11 +7,13 @@ needs a prefix of one shingle in that order, its rarest; documents are probed fo
 the place where the window would have to begin; length and place are bounded by the document's words, then the
 window is compared there, first by identity, then byte for byte.
 
-Items are processed in blocks of at most ``block_windows`` windows, so what is sent to the executors has
-a fixed bound; each block is one more pass over the documents.  Documents never move.
+Items are cut into windows first, and distinct windows are searched in blocks of about ``block_windows``, so what is
+sent to the executors has a fixed bound however long or many items are; each block is two more passes over the
+documents, and its hits are written before the next one is sent.  Documents never move.
 
-Null texts have no words.  Items without words match nothing.  Empty tables: no hits.  Repeated items count
-once; repeated documents give a row each.
+Null texts have no words.  Items without words match nothing; those without an id are the item ''.  Empty tables: no
+hits.  Repeated items count once.  Each row is judged by its own text: repeated documents, and documents that share an
+id, give a row each.
 """
 
 from __future__ import annotations
@@ -30,24 +32,32 @@ from .store import materialise, maybe_broadcast
 WINDOW, SHINGLE, BLOCK_WINDOWS = 10, 3, 200_000
 
 
-def _windows(items: pa.RecordBatch, window: int, shingle: int) -> dict[int, dict[str, np.ndarray | list]]:
+def _cut(benchmark: DataFrame, window: int) -> DataFrame:
+    """item_id, text: the distinct windows of each item, their words joined by single spaces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, w in W.parts(batch, "text"):
+                for row, (lo, hi) in enumerate(zip(w.offsets[:-1], w.offsets[1:], strict=True)):
+                    n = min(window, hi - lo)
+                    for first in range(lo, hi - n + 1 if n else lo, 10_000):
+                        own = [b" ".join(w.data[w.starts[i] : w.ends[i]].tobytes() for i in range(at, at + n)) for at in range(first, min(first + 10_000, hi - n + 1))]
+                        yield pa.record_batch([pa.array([rows.column("item_id")[row].as_py()] * len(own), pa.string()), pa.array(own, pa.binary()).cast(pa.string())], names=["item_id", "text"])
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text IS NOT NULL").distinct()
+    return items.mapInArrow(run, "item_id string, text string").distinct()
+
+
+def _windows(block: pa.Table, shingle: int) -> dict[int, dict[str, np.ndarray | list]]:
     """By length of the window: its words' hashes and text, its item (as a row number), its identity."""
-    w = W.split(items.column("text"))
-    out: dict[int, dict] = {}
-    for row, (lo, hi) in enumerate(zip(w.offsets[:-1], w.offsets[1:], strict=True)):
-        n = min(window, hi - lo)
-        if n:
-            own = out.setdefault(n, {"hashes": [], "text": [], "item": []})
-            for at in range(lo, hi - n + 1):
-                own["hashes"].append(w.hashes[at : at + n])
-                own["text"].append(b" ".join(w.data[w.starts[i] : w.ends[i]].tobytes() for i in range(at, at + n)))
-                own["item"].append(row)
-    for n, own in out.items():
-        size = min(shingle, n)
-        own["hashes"], own["item"], own["size"] = np.array(own["hashes"], dtype=np.uint64), np.array(own["item"]), size
-        flat = W.Words(own["hashes"].ravel(), np.zeros(0), np.zeros(0), np.arange(len(own["text"]) + 1) * n, np.zeros(0))
-        own["id"] = flat.shingles(n)[0][::n]
-        own["shingles"] = flat.shingles(size)[0].reshape(-1, n)[:, : n - size + 1]
+    w = W.split(block.column("text"))
+    counts, out = w.counts(), {}
+    for n in np.unique(counts).tolist():
+        rows, size = np.flatnonzero(counts == n), min(shingle, n)
+        hashes = w.hashes[w.offsets[rows][:, None] + np.arange(n)]
+        flat = W.Words(hashes.ravel(), np.zeros(0), np.zeros(0), np.arange(len(rows) + 1) * n, np.zeros(0))
+        text = [block.column("text")[int(i)].as_py().encode() for i in rows]
+        out[n] = {"text": text, "item": rows, "size": size, "id": flat.shingles(n)[0][::n], "shingles": flat.shingles(size)[0].reshape(-1, n)[:, : n - size + 1]}
     return out
 
 
@@ -61,7 +71,7 @@ def _index(windows: dict[int, dict], frequency: dict[int, int]) -> dict[int, dic
         for k in ("id", "item", "at", "prefix"):
             own[k] = own[k][order]
         own["text"] = [own["text"][i] for i in order]
-        del own["hashes"], own["shingles"]
+        del own["shingles"]
     return windows
 
 
@@ -85,13 +95,15 @@ def _frequency(docs: DataFrame, sizes: dict[int, np.ndarray]) -> dict[int, int]:
             yield pa.record_batch({"size": pa.array(np.full(len(hit), k), pa.int32()), "shingle": pa.array(sent.value[k][hit].view(np.int64)), "n": pa.array(n[hit])})
 
     found = docs.select("text").mapInArrow(count, "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
     return {x % 2**64: n for x, n in zip(found["shingle"].to_pylist(), found["n"].to_pylist(), strict=True)}
 
 
 _HITS = "doc_id long, name string, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 
 
-def _probe(docs: DataFrame, index: dict[int, dict], names: list[str]) -> DataFrame:
+def _probe(docs: DataFrame, index: dict[int, dict], names: list[str], all_rows: bool) -> DataFrame:
+    """The documents with what is found in them, written; without ``all_rows`` only those with a hit."""
     sent = docs.sparkSession.sparkContext.broadcast((index, names))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +148,10 @@ def _probe(docs: DataFrame, index: dict[int, dict], names: list[str]) -> DataFra
                     names=["doc_id", "name", "n_words", "spans", "items"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), _name(docs).alias("name"), "text").mapInArrow(probe, _HITS)
+    found = docs.select(F.col("doc_id").cast("long"), _name(docs).alias("name"), "text").mapInArrow(probe, _HITS)
+    out = materialise(found if all_rows else found.where("size(spans) > 0"))
+    sent.destroy()
+    return out
 
 
 def _name(docs: DataFrame) -> Column:
@@ -153,20 +168,20 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shing
     configure(docs.sparkSession)
     names_of: list[DataFrame] = []
     for block in _blocks(benchmark, window, block_windows):
-        windows = _windows(block, window, shingle)
+        windows = _windows(block, shingle)
         sizes: dict[int, list] = {}
         for own in windows.values():
             sizes.setdefault(own["size"], []).append(own["shingles"].ravel())
         wanted = {k: np.unique(np.concatenate(v)) for k, v in sizes.items()}
         frequency = _frequency(docs, wanted) if wanted else {}
-        names_of.append(_probe(docs, _index(windows, frequency), block.column("item_id").to_pylist()))
+        names_of.append(_probe(docs, _index(windows, frequency), block.column("item_id").to_pylist(), not names_of))
     if len(names_of) == 1:
         return names_of[0]
     # More blocks: one row per document and block, put together by a key that is the same for the same text only.
     key = F.struct("doc_id", "name")
     out = names_of[0].where("size(spans) > 0")
     for more in names_of[1:]:
-        out = out.unionByName(more.where("size(spans) > 0"))
+        out = out.unionByName(more)
     out = out.distinct()
     hits = out.groupBy(key.alias("key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     hits = materialise(hits)
@@ -181,16 +196,14 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shing
     return joined.select("doc_id", "name", "n_words", F.coalesce(merged, F.array().cast(empty)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[pa.RecordBatch]:
-    """The items, in record batches of about ``block_windows`` windows; one empty batch if there are none."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL").distinct()
-    # A word takes two bytes at least, with what parts it from the next.
-    items = items.withColumn("most", F.greatest(F.lit(1), F.octet_length("text") / 2))
-    total = items.agg(F.sum("most")).first()[0] or 0
-    n = max(1, -(-int(total) // block_windows))
+def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[pa.Table]:
+    """The items' windows in tables of about ``block_windows`` rows; one empty table if there are none."""
+    cut = materialise(_cut(benchmark, window))
+    total = cut.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    # Words may be long: a block is bounded in bytes as well.
+    n = max(1, -(-total["rows"] // block_windows), -(-total["bytes"] // (block_windows * 256)))
     for k in range(n):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").toArrow().combine_chunks()
-        yield own.to_batches()[0] if own.num_rows else pa.RecordBatch.from_pylist([], schema=pa.schema([("item_id", pa.string()), ("text", pa.string())]))
+        yield cut.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow().combine_chunks()
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -49,3 +49,15 @@ def test_jaccard_keeps_a_row_that_shares_its_id_with_a_copy(spark):
     a, b = [" ".join(f"{x}{k}" for k in range(60)) for x in "ab"]
     docs = spark.createDataFrame([(1, a), (5, b), (5, a + " end"), (9, b + " end")], DOCS)
     assert sorted((r.doc_id, r.text) for r in jaccard.representatives(docs).collect()) == [(1, a), (5, b)]
+
+
+@pytest.mark.parametrize("block", [200_000, 300])
+def test_decontaminate_cuts_long_items_and_takes_items_without_an_id(spark, block):
+    long = " ".join(f"q{k}" for k in range(500))
+    items = spark.createDataFrame([(1, long), (None, OTHER), (3, long), (4, "")], "item_id long, text string")
+    rows = [(1, " ".join(f"q{k}" for k in range(100, 200))), (2, OTHER), (3, None), (3, "q1 q2 q3"), (1, OTHER)]
+    found = decontaminate.digest(decontaminate.overlaps(spark.createDataFrame(rows, DOCS), items, block_windows=block))
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in found.collect())
+    assert got == [(1, 10, 10, 1), (1, 100, 100, 2), (2, 10, 10, 1), (3, 0, 0, 0), (3, 3, 0, 0)]
+    blocks = list(decontaminate._blocks(items, 10, block))
+    assert max(b.num_rows for b in blocks) <= 2 * block and sum(b.num_rows for b in blocks) == 2 * 491 + 1
