@@ -2,8 +2,8 @@
 
 DataFrame functions only.  Texts are equal when identical after white space (space and 0x09-0x0D) is
 deleted; null counts as empty.  Of equal texts the row with the most code points stays, then the smallest
-id.  Rows that share id and text count each, and stay or go together.  A null id sorts first.  An empty table gives an empty
-result.  Extra columns of the input are ignored.
+id.  Rows that share id and text count each, and are marked alike; ``kept`` leaves one row of each group, of equal ids the
+longest.  A null id sorts first.  An empty table gives an empty result.  Extra columns of the input are ignored.
 
 Only (id, hashes, length) are shuffled for all rows.  Texts move for rows whose hash occurs more than once,
 to compare bytes; that comparison drops equal texts on the map side, so a group of copies of any size costs
@@ -48,7 +48,7 @@ def duplicates(docs: DataFrame, hashed: Callable[[Column], Column] = content_has
     best = F.min(F.struct((-F.col("size")).alias("less"), F.col("doc_id"))).alias("best")
     groups = keys.groupBy("h").agg(F.count("*").alias("group_size"), best)
     several = materialise(groups.where("group_size > 1"))
-    clashes = _clashes(docs, keys, several, norm)
+    clashes = _clashes(docs, hashed, several, norm)
     n_clashes = clashes.count()
 
     # h is a plain column of a written table on both sides, so the join is dealt anew and skew can be split.
@@ -69,11 +69,10 @@ def duplicates(docs: DataFrame, hashed: Callable[[Column], Column] = content_has
     )
 
 
-def _clashes(docs: DataFrame, keys: DataFrame, several: DataFrame, norm: Column) -> DataFrame:
-    """Hashes under which texts of different bytes stand."""
-    ids = materialise(keys.join(maybe_broadcast(several.select("h")), "h").select("doc_id", "h"))
-    texts = docs.select("doc_id", norm.alias("norm")).join(maybe_broadcast(ids), "doc_id")
-    return materialise(texts.select("h", "norm").distinct().groupBy("h").count().where("count > 1").select("h"))
+def _clashes(docs: DataFrame, hashed: Callable, several: DataFrame, norm: Column) -> DataFrame:
+    """Hashes under which texts of different bytes stand; no id is needed, so rows without one are compared as well."""
+    texts = docs.select(hashed(norm).alias("h"), norm.alias("norm")).join(maybe_broadcast(several.select("h")), "h", "left_semi")
+    return materialise(texts.distinct().groupBy("h").count().where("count > 1").select("h"))
 
 
 def _by_bytes(docs: DataFrame, hashed: Callable, clashes: DataFrame, norm: Column, best: Column) -> DataFrame:
@@ -87,13 +86,26 @@ def _by_bytes(docs: DataFrame, hashed: Callable, clashes: DataFrame, norm: Colum
     )
 
 
-def kept(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with the columns of ``docs``; rows that share id and text go or stay together."""
-    gone = duplicates(docs).where("NOT kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("text_sha256").alias("gone_texts"))
-    gone = maybe_broadcast(materialise(gone))
+def kept(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
+    """One row of each group of equal texts, with the columns of ``docs``."""
+    found = materialise(duplicates(docs, hashed))
+    gone = found.where("NOT kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("text_sha256").alias("gone_texts"))
+    # Rows that share id and text are told apart below; they are combined on the map side.
+    twice = found.where("kept").groupBy(F.col("doc_id").alias("twice_id"), F.col("text_sha256").alias("twice_text")).count().where("count > 1").drop("count")
+    gone, twice = maybe_broadcast(materialise(gone)), materialise(twice)
+    sha = F.sha2(normalised(docs["text"]), 256)
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left")
-    stays = gone["gone_texts"].isNull() | ~F.array_contains(gone["gone_texts"], F.sha2(normalised(docs["text"]), 256))
-    return joined.where(stays).select(*(docs[c] for c in docs.columns))
+    stays = gone["gone_texts"].isNull() | ~F.array_contains(gone["gone_texts"], sha)
+    out = joined.where(stays).select(*(docs[c] for c in docs.columns))
+    n = twice.count()
+    if not n:
+        return out
+    few = maybe_broadcast(twice, n)
+    longest = F.struct(F.coalesce(F.char_length(out["text"]), F.lit(0)), F.md5(F.coalesce(out["text"], F.lit(""))))
+    rows = out.select(F.struct(*(out[c] for c in docs.columns)).alias("row"), longest.alias("size"), out["doc_id"].alias("own_id"), F.sha2(normalised(out["text"]), 256).alias("own_text"))
+    same = rows["own_id"].eqNullSafe(few["twice_id"]) & (rows["own_text"] == few["twice_text"])
+    one = rows.join(few, same).groupBy("twice_id", "twice_text").agg(F.max_by("row", "size").alias("row"))
+    return rows.join(few, same, "left_anti").select("row").unionByName(one.select("row")).select("row.*")
 
 
 SQL = r"""

@@ -43,11 +43,25 @@ def test_exact_dedup(spark, hashed):
 
 
 def test_exact_dedup_kept_and_clashing_columns(spark):
-    docs = docs_of(spark, ["x", "x ", "y", None, None], [5, 4, None, 1, 2]).withColumn("h", F.lit(1)).withColumn("keep_id", F.lit(2)).withColumn("gone_id", F.lit(3)).withColumn("gone_texts", F.lit(3))
+    docs = docs_of(spark, ["x", "x ", "y", None, None], [5, 4, None, 1, 2]).withColumn("h", F.lit(1)).withColumn("keep_id", F.lit(2)).withColumn("gone_id", F.lit(3)).withColumn("gone_texts", F.lit(3)).withColumn("twice_id", F.lit(1))
     kept = exact_dedup.kept(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "None"]
     assert exact_dedup.duplicates(docs.limit(0)).count() == 0
+    assert exact_dedup.kept(docs.limit(0)).count() == 0
+    # Of rows that share id and text one stays, the longest; rows without an id are told apart by their text.
+    twice = exact_dedup.kept(docs.union(docs).union(docs_of(spark, ["y ", "z"], [None, None]).select(*docs.columns[:5], *(F.lit(1) for _ in docs.columns[5:]))))
+    assert twice.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in twice.collect()) == [("1", "None"), ("4", "x "), ("None", "y "), ("None", "z")]
+
+
+def test_exact_dedup_compares_bytes_without_ids(spark):
+    """Hashes that collide: rows without an id, and rows that share one, are still told apart by their bytes."""
+    docs = docs_of(spark, ["ab", "ac", "a b", "ac", "bd"], [None, None, None, 3, 3])
+    first = lambda n: F.substring(n, 1, 1)
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in exact_dedup.duplicates(docs, first).collect())
+    assert got == [("3", "3", 1), ("3", "None", 2), ("None", "None", 2), ("None", "None", 2), ("None", "None", 2)]
+    assert sorted((str(r.doc_id), r.text) for r in exact_dedup.kept(docs, first).collect()) == [("3", "bd"), ("None", "a b"), ("None", "ac")]
 
 
 TALK = "conv_id long, turn long, role string, text string"
