@@ -13,8 +13,9 @@ Candidates form groups.  Inside a group every pair is then verified on the whole
 blocks of bounded size, blocks are compared two by two in different tasks by matrix products, and each task
 returns a row per set (how many sets it links, and the smallest set it is connected with), never pairs.
 
-Every document gets a row.  Null and empty texts, and null ids, are classes of their own.  Nodes are sets, so rows
-that share an id but not a text are compared each for itself; repeated rows give a row each.
+Every document gets a row.  Null and empty texts are classes of their own.  Nodes are sets, so rows that share an id but
+not a text, and rows without an id, are compared each for itself; an id that is null comes last, and a class of such rows
+alone has no id.  Repeated rows give a row each.
 """
 
 from __future__ import annotations
@@ -183,12 +184,16 @@ def candidates(sets: DataFrame, threshold: float, recall: float, bucket: int, de
 
 def _elements(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a set is sent once by each task, however often its row is repeated
         for batch in batches:
             for rows, w in W.parts(batch, "text"):
-                own = [x.tobytes() if _name(x) == name else None for x, name in zip(_sets(w, shingle), rows.column("name").to_pylist(), strict=True)]
+                own = []
+                for x, node, name in zip(_sets(w, shingle), rows.column("node").to_pylist(), rows.column("name").to_pylist(), strict=True):
+                    fits = node not in seen and _name(x) == name
+                    seen.add(node)
+                    own.append(x.tobytes() if fits else None)
                 yield pa.record_batch([rows.column("node"), rows.column("root"), pa.array(own, pa.binary())], names=["node", "root", "elements"])
 
-    # A row of the id with another set is none of the node.
     return docs.select("node", "root", "name", "text").mapInArrow(run, "node long, root long, elements binary").where("elements IS NOT NULL")
 
 
@@ -214,8 +219,8 @@ def _linked(own: list[np.ndarray], side: np.ndarray, across: bool, threshold: fl
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
     """node, root, links, low for each set of each task; rows come ordered by root, i, j."""
 
-    def group(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        unique = list({node: (block, elements) for node, block, elements in rows}.items())
+    def group(key: tuple, rows: dict[int, tuple]) -> Iterator[tuple]:
+        unique = list(rows.items())
         node = np.array([x[0] for x in unique])
         side = np.array([x[1][0] != key[1] for x in unique])
         linked = _linked([np.frombuffer(x[1][1], dtype=np.uint64) for x in unique], side, key[1] != key[2], threshold)
@@ -233,14 +238,14 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
         return pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["node", "root", "links", "low"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, [], []
+        key, held, out = None, {}, []
         for batch in batches:
             for root, i, j, node, block, elements in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if (root, i, j) != key:
                     if held:
                         out += group(key, held)
-                    key, held = (root, i, j), []
-                held.append((node, block, elements))
+                    key, held = (root, i, j), {}
+                held[node] = (block, elements)
             if len(out) >= 10_000:
                 yield pack(out)
                 out = []
@@ -253,21 +258,24 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, depth: int = DEPTH, block_sets: int = BLOCK_SETS, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
     """One row per document: doc_id, copy_of (smallest id with the same set), class_id (smallest id of the class), n_links (other sets that its set is similar to)."""
-    return _classes(docs, shingle, threshold, recall, bucket, depth, block_sets, block_elements).drop("text_name")
+    return _classes(docs, shingle, threshold, recall, bucket, depth, block_sets, block_elements).drop("text_name", "class_text")
 
 
 def _classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, depth: int = DEPTH, block_sets: int = BLOCK_SETS, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
     configure(docs.sparkSession)
     described = materialise(_describe(docs, shingle))
-    whole = F.col("doc_id").isNotNull() & (F.col("size") > 0)
-    sets = described.where(whole).groupBy("name").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("signature").alias("signature"))
+    whole = F.col("size") > 0
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_name")
+    sets = described.where(whole).groupBy("name").agg(F.min("doc_id").alias("least"), F.min_by("text_name", first).alias("least_text"), F.first("size").alias("size"), F.first("signature").alias("signature"))
     sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()))
     groups = materialise(components(candidates(sets.select("node", "signature"), threshold, recall, bucket, depth)))
 
     size = groups.join(sets.select("node", "size"), "node").groupBy("root").agg(F.sum("size").alias("elements"), F.count("*").alias("sets"))
     size = materialise(size.select("root", F.greatest(F.ceil(F.col("elements") / block_elements), F.ceil(F.col("sets") / block_sets)).cast("int").alias("blocks")))
-    wanted = materialise(groups.join(sets.select("node", "least", "name"), "node"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(maybe_broadcast(wanted), "least")
+    wanted = materialise(groups.join(sets.select("node", "least", "least_text", "name"), "node"))
+    own = maybe_broadcast(wanted.select("node", "root", "name", "least", "least_text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.md5("text").alias("own_text"), "text")
+    texts = texts.join(own, texts["own_id"].eqNullSafe(own["least"]) & (texts["own_text"] == own["least_text"]))
     cut = _elements(texts, shingle).join(maybe_broadcast(size), "root")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cut = cut.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -283,19 +291,22 @@ def _classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHO
         settled = settled.unionByName(components(pieces).select("node", F.col("root").alias("class_id")))
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     found = settled.groupBy("node").agg(F.min("class_id").alias("class")).join(links, "node")
-    found = materialise(found.join(wanted.select("node", "least"), "node"))
-    named = found.groupBy("class").agg(F.min("least").alias("class_id"))
-    found = materialise(found.join(named, "class").select("node", "class_id", "n_links"))
+    found = materialise(found.join(wanted.select("node", "least", "least_text"), "node"))
+    named = found.groupBy("class").agg(F.min("least").alias("class_id"), F.min_by("least_text", F.struct(F.col("least").isNull(), "least", "least_text")).alias("class_text"))
+    found = materialise(found.join(named, "class").select("node", "class_id", "class_text", "n_links"))
 
-    members = described.where(whole).select("doc_id", "text_name", "name").join(sets.select("name", "node", "least"), "name")
-    members = members.join(maybe_broadcast(found), "node", "left").select("doc_id", "text_name", F.col("least").alias("copy_of"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    alone = described.where(~whole).select("doc_id", "text_name", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return members.unionByName(alone)
+    alone = F.col("n_links").isNull()  # a set without a link is a class of its own
+    members = described.where(whole).select("doc_id", "text_name", "name").join(sets.select("name", "node", "least", "least_text"), "name").join(maybe_broadcast(found), "node", "left")
+    own = lambda a, b: F.when(alone, F.col(a)).otherwise(F.col(b))
+    members = members.select("doc_id", "text_name", F.col("least").alias("copy_of"), own("least", "class_id").alias("class_id"), own("least_text", "class_text").alias("class_text"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    empty = described.where(~whole).select("doc_id", "text_name", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.col("text_name").alias("class_text"), F.lit(0).cast("long").alias("n_links"))
+    return members.unionByName(empty)
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
-    """One document of each class, the one with the smallest id, with the columns of ``docs``."""
-    gone = materialise(_classes(docs, **how).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"), F.col("text_name").alias("gone_text")).distinct())
+    """One text of each class, that of the smallest id, with the columns of ``docs``; rows that share id and text stay together."""
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("text_name").eqNullSafe(F.col("class_text"))
+    gone = materialise(_classes(docs, **how).where(~stays).select(F.col("doc_id").alias("gone_id"), F.col("text_name").alias("gone_text")).distinct())
     gone = maybe_broadcast(gone)
-    same = (docs["doc_id"] == gone["gone_id"]) & (F.md5(docs["text"]) == gone["gone_text"])
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.md5(docs["text"]) == gone["gone_text"])
     return docs.join(gone, same, "left_anti").select(docs.columns)

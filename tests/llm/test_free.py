@@ -126,11 +126,56 @@ def brute_classes(rows, s=0.8, k=5):
     return {i: (find(i), n[first[x]] if x else 0) for i, x in sets.items()}
 
 
+def brute_pairs(rows, least=0.8, k=5):
+    """All pairs of ids with different sets that are similar, with their similarity."""
+    sets, first = {}, {}
+    for i, t in sorted(rows):
+        w = words(t)
+        own = frozenset(tuple(w[a : a + k]) for a in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+        if own and own not in first:
+            first[own] = i
+            sets[i] = own
+    where = collections.defaultdict(list)
+    for i, x in sets.items():
+        for y in x:
+            where[y].append(i)
+    common = collections.Counter((a, b) for v in where.values() for n, a in enumerate(v) for b in v[n + 1 :])
+    return {(a, b): s for (a, b), c in common.items() if (s := c / (len(sets[a]) + len(sets[b]) - c)) >= least - 1e-9}
+
+
+BANDS = ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0))
+
+
+def recall_by_band(pairs, rows):
+    """Of the pairs in each band the share that stands in one class, and their number."""
+    at = {r.doc_id: r.class_id for r in rows}
+    out = {}
+    for lo, hi in BANDS:
+        own = [p for p, s in pairs.items() if lo <= s + 1e-9 and s < hi]
+        out[lo] = (sum(at[a] == at[b] for a, b in own) / max(1, len(own)), len(own))
+    return out
+
+
 def test_jaccard_on_documents(spark):
     docs = table(spark, "documents")
-    want = brute_classes([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
-    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.classes(docs).collect()}
-    assert sum(got[i] == x for i, x in want.items()) >= 0.98 * len(want)
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rows = jaccard.classes(docs).collect()
+    want, got = brute_classes(texts), {r.doc_id: (r.class_id, r.n_links) for r in rows}
+    assert sum(got[i] == x for i, x in want.items()) >= 0.99 * len(want)
+    for share, n in recall_by_band(brute_pairs(texts), rows).values():
+        assert not n or share >= 0.9
+    assert sum(n for _, n in got.values()) >= 0.9 * sum(n for _, n in want.values())
+
+
+def test_jaccard_recall_at_the_threshold(spark):
+    """Pairs of every band, most of them just above the threshold."""
+    texts = []
+    for p in range(150):
+        base = [f"p{p}w{k}" for k in range(120 + p % 40)]
+        texts += [" ".join(base), " ".join(x if k not in (10, 40)[: 1 + p % 2] else "new" for k, x in enumerate(base))]
+    pairs = brute_pairs(list(enumerate(texts)))
+    found = recall_by_band(pairs, jaccard.classes(docs_of(spark, texts)).collect())
+    assert len(pairs) > 140 and all(share >= 0.9 for share, n in found.values() if n)
 
 
 @pytest.mark.parametrize("how", [{}, {"bucket": 4, "depth": 2, "block_sets": 16, "block_elements": 2_000}])
@@ -148,7 +193,20 @@ def test_jaccard_near_copies_in_blocks(spark, how):
 def test_jaccard_hard_rows(spark):
     assert jaccard.classes(docs_of(spark, ["a"]).limit(0)).count() == 0
     rows = jaccard.classes(docs_of(spark, ["a b c d e f", "a b c d e f", "a b c d e f"], [1, 1, None])).collect()
-    assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in rows) == [("1", "1", 0), ("1", "1", 0), ("None", "None", 0)]
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in rows) == [("1", "1", 0), ("1", "1", 0), ("None", "1", 0)]
+    base = [f"w{k}" for k in range(60)]
+    one, two, three = " ".join(base), " ".join([*base, "end"]), " ".join(f"x{k}" for k in range(60))
+    docs = docs_of(spark, [one, two, one, three, three + " y", None, ""], [None, 4, None, None, None, None, 7])
+    rows = jaccard.classes(docs).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in rows) == [("4", "4", 1), ("7", "7", 0), ("None", "4", 1), ("None", "4", 1), ("None", "None", 0), ("None", "None", 1), ("None", "None", 1)]
+    kept = [(r.doc_id, r.text) for r in jaccard.representatives(docs).collect()]
+    assert len(kept) == 4 and (4, two) in kept and (7, "") in kept and (None, None) in kept
+
+
+def test_jaccard_sends_a_repeated_row_once(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    docs = docs_of(spark, [base] * 500 + [base + " end"], [7] * 500 + [9])
+    assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(docs).collect()} == {(7, 7, 1), (9, 7, 1)}
 
 
 def test_components(spark):
