@@ -1,18 +1,21 @@
 """Repeated runs of lines across documents, by winnowing over line hashes.
 
-DataFrame functions only.  A window is a run of whole lines of one document, as short as possible, with at least
-``min_words`` words in all: one begins and one ends at every line that has room for it.  Any repeated run of that many
-words is covered by windows.  Of each window the smallest line hash is its fingerprint, so equal windows
-have equal fingerprints; windows are compared only where their fingerprint occurs at two places or more.
-Extended to the whole window on both sides of the fingerprint, equal windows are matched with their first
-occurrence, by document id and line; the lines of later ones are deleted, and touching deletions are one run.
+DataFrame functions only.  At every line that has room for it a window begins: the run of whole lines, as short as
+possible, with at least ``min_words`` words in all.  Winnowing keeps of each window the smallest line hash (the first
+of equals) as its fingerprint, so any two equal runs of that many words have a fingerprint at the same place in common,
+and neighbouring windows mostly share theirs.  Fingerprints are counted over all documents; only around those that
+stand at two places or more are the texts looked at again: positions are joined to these fingerprints, a match is
+extended to the left up to where a window of the position begins and to the right to its end, then line by line
+beyond it while fewer than ``min_words`` words follow (more words would begin a window of their own), and matches with
+equal lines are compared by 128 bits.  The first of equal runs, by document id and line, stays; the lines of later ones
+are deleted, and touching deletions are one run.
 
 A line is compared without outer spaces; its words are what single spaces part, so an empty line counts as one.
 Null texts are empty (one empty line).  Rows that share id and text are one document and get the same deletions.  A
 null id sorts first.  Empty tables: no rows.
 
-Common lines are counted on the map side and never paired; every window meets its first occurrence only.  Windows
-hold at most ``min_words`` lines.  Hashes of lines are 64 bits wide, those of windows 128.
+Common lines are counted on the map side and never paired; every run meets its first occurrence only.  Runs that are
+compared hold fewer than twice ``min_words`` lines.  Hashes of lines are 64 bits wide, those of runs 128.
 """
 
 from __future__ import annotations
@@ -33,41 +36,66 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, key, first, last, print (fingerprint), place (its line), id_a, id_b (128 bits) of every window."""
+def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, key, pos, h, begin, end (in words) of every line; print and place (its line) of the window that begins there, if one does."""
     words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     line = lambda x: F.struct(F.xxhash64(F.trim(x)).alias("h"), words(F.trim(x)).cast("long").alias("w"))
     docs = docs.select("doc_id", _text_key(F.col("text")).alias("key"), F.transform(_lines(F.col("text")), line).alias("lines"))
     docs = docs.groupBy("doc_id", "key").agg(F.first("lines").alias("lines"))
     lines = docs.select("doc_id", "key", F.posexplode("lines").alias("pos", "line")).select("doc_id", "key", "pos", "line.h", "line.w")
     so_far = Window.partitionBy("doc_id", "key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("end", F.sum("w").over(so_far)).withColumn("begin", F.col("end") - F.col("w"))
-    ahead = Window.partitionBy("doc_id", "key").orderBy("begin").rangeBetween(0, min_words - 1)
+    lines = lines.withColumn("end", F.sum("w").over(so_far)).withColumn("begin", F.col("end") - F.col("w")).drop("w")
+    ahead = _ahead(min_words)
+    lines = lines.withColumn("least", F.min(F.struct("h", "pos")).over(ahead)).withColumn("room", F.max("end").over(ahead) - F.col("begin") >= min_words)
+    return lines.select("doc_id", "key", "pos", "h", "begin", "end", F.when(F.col("room"), F.col("least.h")).alias("print"), F.when(F.col("room"), F.col("least.pos")).alias("place"))
+
+
+def _ahead(min_words: int):
+    """The lines of the window that begins at a line."""
+    return Window.partitionBy("doc_id", "key").orderBy("begin").rangeBetween(0, min_words - 1)
+
+
+def _later(runs: DataFrame) -> DataFrame:
+    """runs: doc_id, key, first, last, id_a, id_b (128 bits of their lines).  Those whose lines stand at two places; ``again``: not the first of them."""
+    groups = runs.groupBy("id_a", "id_b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "first")).alias("origin"))
+    groups = materialise(groups.where("n > 1").select("id_a", "id_b", "origin"))
+    again = ~F.struct("doc_id", "key", "first").eqNullSafe(F.col("origin"))
+    return runs.join(maybe_broadcast(groups), ["id_a", "id_b"]).select("doc_id", "key", "first", "last", again.alias("again"))
+
+
+def _around(lines: DataFrame, shared: DataFrame, min_words: int) -> DataFrame:
+    """At each line of documents with a shared fingerprint: the window that begins there, if its fingerprint is shared, and the shortest run with enough words that ends there."""
+    docs = materialise(lines.join(shared, "print").select(F.col("doc_id").alias("hot_id"), F.col("key").alias("hot_key")).distinct())
+    docs = maybe_broadcast(docs)
+    near = lines.join(docs, lines["doc_id"].eqNullSafe(docs["hot_id"]) & (lines["key"] == docs["hot_key"]), "left_semi").join(shared, "print", "left")
     behind = Window.partitionBy("doc_id", "key").orderBy("end").rangeBetween(1 - min_words, 0)
-    lines = lines.withColumn("fore", F.collect_list("h").over(ahead)).withColumn("fore_end", F.max("end").over(ahead))
-    lines = lines.withColumn("aft", F.collect_list("h").over(behind)).withColumn("aft_begin", F.min("begin").over(behind))
-    fore = F.when(F.col("fore_end") - F.col("begin") >= min_words, F.struct(F.col("pos").alias("first"), (F.col("pos") + F.size("fore") - 1).alias("last"), F.col("fore").alias("h")))
-    # A window that begins where another ends is the same one if both are single lines.
-    twice = (F.size("aft") == 1) & (F.size("fore") == 1)
-    aft = F.when((F.col("end") - F.col("aft_begin") >= min_words) & ~twice, F.struct((F.col("pos") - F.size("aft") + 1).alias("first"), F.col("pos").alias("last"), F.col("aft").alias("h")))
-    out = lines.select("doc_id", "key", F.explode(F.filter(F.array(fore, aft), lambda x: x.isNotNull())).alias("x"))
-    h = F.col("x.h")
-    return out.select("doc_id", "key", F.col("x.first").alias("first"), F.col("x.last").alias("last"), F.array_min(h).alias("print"), (F.col("x.first") + F.array_position(h, F.array_min(h)) - 1).alias("place"), F.xxhash64(h).alias("id_a"), F.xxhash64(F.lit(7), h).alias("id_b"))
+    near = near.withColumn("fore", F.collect_list("h").over(_ahead(min_words)))
+    near = near.withColumn("back", F.collect_list("h").over(behind)).withColumn("enough", F.col("end") - F.min("begin").over(behind) >= min_words)
+
+    def run(h: str, first: Column, last: Column) -> Column:
+        return F.struct(first.alias("first"), last.alias("last"), F.xxhash64(h).alias("id_a"), F.xxhash64(F.lit(7), h).alias("id_b"))
+
+    pos = F.col("pos")
+    fore = F.when(F.col("shared"), run("fore", pos, pos + F.size("fore") - 1))
+    back = F.when(F.col("enough"), run("back", pos - F.size("back") + 1, pos))
+    return near.select("doc_id", "key", fore.alias("fore"), back.alias("back"))
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, key, runs (array of first and last line) for documents that lose lines."""
-    found = materialise(windows(docs, min_words))
-    # Fingerprints at two places or more.
+    lines = materialise(fingerprints(docs, min_words))
+    # Fingerprints at two places or more, and what stands around those places.
     place = F.struct("doc_id", "key", "place")
-    often = found.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    often = materialise(often.where("low <> high").select("print"))
-    shared = found.join(maybe_broadcast(often), "print", "left_semi")
-    first = shared.groupBy("id_a", "id_b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "first")).alias("origin"))
-    first = materialise(first.where("n > 1").select("id_a", "id_b", "origin"))
-    later = found.join(maybe_broadcast(first), ["id_a", "id_b"])
-    later = later.where(~F.struct("doc_id", "key", "first").eqNullSafe(F.col("origin")))
-    spans = later.select("doc_id", "key", "first", "last").distinct()
+    often = lines.where("print IS NOT NULL").groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    shared = maybe_broadcast(materialise(often.where("low <> high").select("print", F.lit(True).alias("shared"))))
+    around = materialise(_around(lines, shared, min_words))
+    found = materialise(_later(around.where("fore IS NOT NULL").select("doc_id", "key", "fore.*")))
+    # To the right: runs that end beyond a repeated window and begin where it begins.
+    back = around.where("back IS NOT NULL").select("doc_id", "key", "back.*")
+    starts = found.select("doc_id", "key", "first", F.col("last").alias("known")).distinct()
+    start = back["doc_id"].eqNullSafe(starts["doc_id"]) & (back["key"] == starts["key"]) & (back["first"] == starts["first"]) & (back["last"] > starts["known"])
+    beyond = _later(materialise(back.join(starts, start, "left_semi")))
+    spans = found.where("again").unionByName(beyond.where("again")).select("doc_id", "key", "first", "last").distinct()
     # Touching spans of a document become one run.
     before = Window.partitionBy("doc_id", "key").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("doc_id", "key").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)
