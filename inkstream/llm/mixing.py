@@ -6,11 +6,13 @@ slot ceil((j + 1) / w); one block is taken a slot, the released one with the ear
 At any slot each source is then less than one block from its target share, while it lasts.  A source that ends
 early leaves its later slots empty; the others keep their places, so no document is dropped or repeated.
 
-Weights are whole numbers, so the schedule repeats after as many slots as their sum.  Only that one period is
-worked out on the driver (at most ``MOST_SLOTS`` slots); blocks find their slot in it by arithmetic.
+Weights are whole numbers, so the schedule repeats.  Sources of one weight are scheduled as one: with c of them, the
+group's block k is block k // c of its member k % c, whose window holds the group's, so releases and deadlines are kept.
+One period of the groups is worked out on the driver (the sum of their weights without their common factor, at most
+``MOST_SLOTS`` slots; that many sources of one weight take a slot alone); blocks find their slot in it by arithmetic.
 
-Sums along a source are taken in two levels: within hash buckets of about ``bucket_rows`` rows, then over the
-buckets' totals, so a source with any share of all rows is spread over tasks.
+Sums along a source are taken in three levels: within hash buckets of about ``bucket_rows`` rows, over the totals of
+``FAN`` buckets, and over theirs, so a source with any share of all rows is spread over tasks.
 
 Null sources are the source ''.  Sources without a given weight get ``default``.  A null or empty text takes no
 room: it goes with the block that is open there.  Ties of the hash go by id, then size.  Empty tables: no rows.
@@ -19,15 +21,16 @@ room: it goes with the block that is open there.  Ties of the hash go by id, the
 from __future__ import annotations
 
 import heapq
+import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialise, maybe_broadcast
 
 #: Target weights of the registered query; other sources have weight 1.
 WEIGHTS = {"src0": 4, "src1": 3, "src2": 2}
-BLOCK_CHARS, BUCKET_ROWS, MOST_SLOTS = 65_536, 2_048, 200_000
+BLOCK_CHARS, BUCKET_ROWS, FAN, MOST_SLOTS = 65_536, 2_048, 10, 2_000_000  # FAN: in bits
 
 
 def schedule(weights: dict[str, int]) -> list[str]:
@@ -60,49 +63,75 @@ def plan(docs: DataFrame, weights: dict[str, int] | None = None, default: int =
     spark = docs.sparkSession
     size = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
     rows = materialise(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), size.alias("size"), F.xxhash64("doc_id").alias("h")))
-    sources = rows.groupBy("source").count()
-    names = sorted(x["source"] for x in sources.select("source").limit(MOST_SLOTS + 1).collect())
-    buckets = max(1, -(-rows.count() // bucket_rows))
-    own = {name: (weights if weights is not None else WEIGHTS).get(name, default) for name in names}
-    order = schedule(own) if own else []
-    total = len(order)
-
-    seen: dict[str, int] = {}
-    period = []
-    for slot, name in enumerate(order):
-        period.append((name, seen.setdefault(name, 0), slot, own[name]))
-        seen[name] += 1
-    period = spark.createDataFrame(period, "source string, turn long, at long, weight long")
+    members, period, total, slots = _groups(rows, WEIGHTS if weights is None else weights, default, bucket_rows)
 
     # A bucket is given by the hash's upper bits, so (bucket, h) is the order of h.
-    bits = max(0, (buckets - 1).bit_length())
-    bucket = F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = rows.withColumn("bucket", bucket)
+    buckets = max(1, -(-rows.count() // bucket_rows))
+    rows = rows.withColumn("bucket", _bucket("h", buckets))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("all"))
-    sums = materialise(sums.select("source", "bucket", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base")))
+    sums = _before(rows.groupBy("source", "bucket").agg(F.sum("size").alias("all")), "source")
     placed = rows.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(maybe_broadcast(sums), ["source", "bucket"])
     placed = placed.withColumn("begin", F.col("base") + F.col("own")).withColumn("block", F.floor(F.col("begin") / block_chars).cast("long"))
 
-    weight = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[F.col("source")] if len(own) <= 1000 and own else None
-    if weight is None:
-        placed = placed.join(F.broadcast(period.select("source", "weight").distinct()), "source")  # at most MOST_SLOTS rows
-    else:
-        placed = placed.withColumn("weight", weight.cast("long"))
-    placed = placed.withColumn("turn", F.col("block") % F.col("weight")).withColumn("round", F.floor(F.col("block") / F.col("weight")))
-    placed = placed.join(F.broadcast(period.select("source", "turn", "at")), ["source", "turn"])  # at most MOST_SLOTS rows
+    placed = placed.join(maybe_broadcast(members), "source").withColumn("k", F.col("block") * F.col("of") + F.col("member"))
+    placed = placed.withColumn("turn", F.col("k") % F.col("turns")).withColumn("round", F.expr("k div turns"))
+    placed = placed.join(maybe_broadcast(period), ["group", "turn"])
     return placed.select(
         "doc_id",
         "source",
         "block",
-        F.floor(F.col("block") * total / F.col("weight")).cast("long").alias("release"),
-        F.ceil((F.col("block") + 1) * total / F.col("weight")).cast("long").alias("deadline"),
-        (F.col("round") * total + F.col("at")).cast("long").alias("slot"),
+        F.expr(f"block * {total}L div weight").alias("release"),
+        F.expr(f"((block + 1) * {total}L + weight - 1) div weight").alias("deadline"),
+        (F.col("round") * slots + F.col("at")).cast("long").alias("slot"),
         (F.col("begin") - F.col("block") * block_chars).cast("long").alias("seq"),
     )
 
 
+def _bucket(h: str, buckets: int) -> Column:
+    bits = max(0, (buckets - 1).bit_length())
+    return F.shiftright(h, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def _before(sums: DataFrame, key: str) -> DataFrame:
+    """key, bucket, base: the sum of ``all`` over the buckets before, in two levels."""
+    sums = materialise(sums.withColumn("part", F.shiftright("bucket", FAN)))
+    upto = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.groupBy(key, "part").agg(F.sum("all").alias("whole"))
+    parts = parts.select(key, "part", F.coalesce(F.sum("whole").over(upto([key], "part")), F.lit(0)).alias("far"))
+    near = sums.withColumn("near", F.coalesce(F.sum("all").over(upto([key, "part"], "bucket")), F.lit(0)))
+    return materialise(near.join(parts, [key, "part"]).select(key, "bucket", (F.col("near") + F.col("far")).alias("base")))
+
+
+def _groups(rows: DataFrame, weights: dict[str, int], default: int, bucket_rows: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """source with weight, group, member, of, turns; the groups' period (group, turn, at); the sum of all weights; the period's slots."""
+    spark = rows.sparkSession
+    named = spark.createDataFrame([(k, int(w)) for k, w in weights.items()], "source string, own long")  # a parameter's size
+    sources = rows.select("source").distinct().join(F.broadcast(named), "source", "left").select("source", F.coalesce("own", F.lit(default)).cast("long").alias("weight"))
+    sources = materialise(sources.withColumn("h", F.xxhash64("source")))
+    # As many groups as weights were given, and one.
+    groups = sources.groupBy("weight").agg(F.count("*").alias("of"), F.min("source").alias("group")).collect()
+    if any(g["weight"] < 1 for g in groups):
+        raise ValueError("weights are whole numbers of 1 or more")
+    total = sum(g["weight"] * g["of"] for g in groups)
+    common = math.gcd(*(g["weight"] * g["of"] for g in groups)) if groups else 1
+    turns = {g["group"]: g["weight"] * g["of"] // common for g in groups}
+    order = schedule(turns) if turns else []
+    seen = dict.fromkeys(turns, 0)
+    period = []
+    for slot, name in enumerate(order):
+        period.append((name, seen[name], slot))
+        seen[name] += 1
+    period = materialise(spark.createDataFrame(period, "group string, turn long, at long"))
+    # A source's number in its group, in two levels as well.
+    buckets = max(1, -(-sum(g["of"] for g in groups) // bucket_rows))
+    sources = sources.withColumn("bucket", _bucket("h", buckets))
+    base = _before(sources.groupBy("weight", "bucket").agg(F.count("*").alias("all")), "weight")
+    own = F.row_number().over(Window.partitionBy("weight", "bucket").orderBy("h", "source")) - 1
+    table = spark.createDataFrame([(g["weight"], g["group"], g["of"], turns[g["group"]]) for g in groups], "weight long, group string, of long, turns long")
+    members = sources.withColumn("own", own).join(base, ["weight", "bucket"]).join(F.broadcast(table), "weight")  # a row for each weight
+    return materialise(members.select("source", "weight", "group", (F.col("own") + F.col("base")).alias("member"), "of", "turns")), period, total, len(order)
+
+
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents with the columns of ``docs``, and mix_block, mix_slot and mix_seq to read them by.
 

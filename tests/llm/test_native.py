@@ -177,3 +177,24 @@ def test_plan_against_simulation(spark):
     assert mixing.plan(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.schedule({"a": 0})
+
+
+def test_sources_of_one_weight_share_their_slots(spark):
+    """As one group; each still keeps its releases and deadlines, and no slot is taken twice."""
+    rows = [(i, "x" * 40, None, f"s{i % 23}" if i % 4 else "big", None) for i in range(3_000)]
+    got = mixing.plan(spark.createDataFrame(rows, DOCS), {"big": 7, "s1": 2}, block_chars=64, bucket_rows=32).collect()
+    assert len(got) == 3_000 and all(r.release <= r.slot < r.deadline for r in got)
+    blocks = {(r.slot, r.source, r.block) for r in got}
+    assert len({s for s, _, _ in blocks}) == len(blocks)
+    total = 7 + 2 + 22
+    weights = {r.source: {"big": 7, "s1": 2}.get(r.source, 1) for r in got}
+    for s, w in weights.items():
+        for k, slot in enumerate(own := sorted(x for x, name, _ in blocks if name == s)):
+            assert abs(k - Fraction(slot * w, total)) < 1 and abs(k + 1 - Fraction((slot + 1) * w, total)) < 1, own
+
+
+def test_mixing_and_lines_of_very_long_texts(spark):
+    long = "\n".join(f"line {k} of a long text with some words" for k in range(20_000))
+    docs = docs_of(spark, [long, long + "\nend", "a"])
+    assert {(r.doc_id, r.n_removed) for r in line_dedup.digest(docs).collect()} == {(0, 0), (1, 20_000), (2, 0)}
+    assert {r.doc_id for r in mixing.plan(docs).collect()} == {0, 1, 2}
