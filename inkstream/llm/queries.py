@@ -23,7 +23,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents")))
+    return token_counts.report(token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents"))))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

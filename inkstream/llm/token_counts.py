@@ -2,8 +2,8 @@
 
 Every whole text is encoded with a public byte-level vocabulary (its file is a parameter); the histogram keeps,
 for each length, how many documents have it.  Suffix sums over it answer, for every context limit: how many
-documents are as long, their tokens, and the total if every document were cut at the limit.  ``answers`` reads
-totals and quantiles from it.
+documents are as long, their tokens, and the total if every document were cut at the limit.  ``answers`` looks limits and
+quantiles up in the suffix sums: a limit's are those of the next length that occurs, so no document is counted again.
 
 Documents are aggregated by length on the map side, so the shuffle is as small as the histogram.  Suffix sums are
 taken in two levels (ranges of ``RANGE`` lengths, then inside them), so no task sees the whole histogram.
@@ -14,7 +14,9 @@ Null and empty texts have length 0.  Repeated rows count each.  An empty table h
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +31,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level vocabularies of this kind part text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RANGE = 512
+#: Context limits and quantiles of the registered query.
+LIMITS, QUANTILES = tuple(2**k for k in range(7, 21)), (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
 
 @lru_cache(maxsize=2)
@@ -70,20 +74,30 @@ def histogram(counted: DataFrame) -> DataFrame:
     return out.withColumn("tokens_if_cut", F.lit(total) - F.col("tokens_at_least") + F.col("docs_at_least") * F.col("n_tokens"))
 
 
-def answers(hist: DataFrame, limits: list[int], quantiles: list[float] = ()) -> DataFrame:
-    """For each context limit: n_docs, n_tokens, docs_over, tokens_if_cut; for each q its length (smallest with that share below or at it)."""
-    spark = hist.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context long")
-    n = F.col("n_docs")
-    over = F.when(F.col("n_tokens") > F.col("context"), n).otherwise(0)
-    cut = F.least("n_tokens", "context") * n
-    # One row for each limit and length, summed on the map side.
-    per = hist.withColumn("context", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits]))) if limits else hist.crossJoin(asked)
-    out = per.groupBy("context").agg(F.sum("n_docs").alias("n_docs"), F.sum(F.col("n_tokens") * n).alias("n_tokens"), F.sum(over).alias("docs_over"), F.sum(cut).alias("tokens_if_cut"))
-    for q in quantiles:
-        all_docs = hist.agg(F.max("docs_at_least")).first()[0] or 0
-        # At most (1 - q) of the documents are longer than the answer.
-        longer = F.col("docs_at_least") - F.col("n_docs")
-        value = hist.where(longer <= F.lit(all_docs) * (1 - q) + 1e-9).agg(F.min("n_tokens")).first()[0]
-        out = out.withColumn(f"q{q:g}", F.lit(value))
-    return out
+def answers(hist: DataFrame, limits: Sequence[int] = LIMITS, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """A row for each limit (kind 'limit', n_tokens its length) and each q (kind 'quantile', n_tokens the smallest length with that share of documents at or below it).
+
+    The suffix sums are those at that length: n_docs of exactly that length, docs_at_least, tokens_at_least, tokens_if_cut.
+    """
+    # The shortest length's suffix sums are the totals.
+    row = F.struct("n_tokens", "n_docs", "docs_at_least", "tokens_at_least")
+    all_docs, all_tokens = ((x := hist.agg(F.min(row).alias("x")).first()["x"]) and (x["docs_at_least"], x["tokens_at_least"])) or (0, 0)
+    shorter = F.lit(all_docs) - F.col("docs_at_least") + F.col("n_docs")
+    asked = [F.min(F.when(F.col("n_tokens") >= int(x), row)) for x in limits]
+    asked += [F.min(F.when(shorter >= math.ceil(Fraction(str(q)) * all_docs), row)) for q in quantiles]
+    found = hist.agg(*(c.alias(f"c{k}") for k, c in enumerate(asked))).first() if asked else []
+    out = []
+    for k, at in enumerate([*limits, *quantiles]):
+        x, is_limit = found[k], k < len(limits)
+        n = int(at) if is_limit else x["n_tokens"] if x else None
+        least, tokens = (x["docs_at_least"], x["tokens_at_least"]) if x else (0, 0)
+        own = x["n_docs"] if x and x["n_tokens"] == n else 0
+        out.append(("limit" if is_limit else "quantile", None if is_limit else float(at), n, own, least, tokens, None if n is None else all_tokens - tokens + least * n))
+    return hist.sparkSession.createDataFrame(out, "kind string, q double, n_tokens long, n_docs long, docs_at_least long, tokens_at_least long, tokens_if_cut long")
+
+
+def report(hist: DataFrame, limits: Sequence[int] = LIMITS, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """The histogram (kind 'length') and the answers."""
+    hist = materialise(hist)
+    lengths = hist.select(F.lit("length").alias("kind"), F.lit(None).cast("double").alias("q"), "n_tokens", "n_docs", "docs_at_least", "tokens_at_least", "tokens_if_cut")
+    return lengths.unionByName(answers(hist, limits, quantiles))

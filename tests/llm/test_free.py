@@ -88,10 +88,34 @@ def test_token_counts(spark):
     assert {k: r.n_docs for k, r in got.items()} == collections.Counter(n)
     for k, r in got.items():
         assert (r.docs_at_least, r.tokens_at_least, r.tokens_if_cut) == (sum(x >= k for x in n), sum(x for x in n if x >= k), sum(min(x, k) for x in n))
-    a = token_counts.answers(token_counts.histogram(counted), [100], [0.5]).first()
-    assert (a.n_docs, a.n_tokens, a.docs_over, a.tokens_if_cut) == (len(n), sum(n), sum(x > 100 for x in n), sum(min(x, 100) for x in n))
-    assert sum(x <= a["q0.5"] for x in n) >= len(n) / 2 > sum(x < a["q0.5"] for x in n) - 1
-    assert token_counts.histogram(token_counts.lengths(docs.limit(0))).count() == 0
+    # The answers against SQL over the lengths.
+    import duckdb
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("lengths", pa.table({"n": pa.array(n, pa.int64())}))
+    limits, quantiles = [1, 100, 101, 4096, 10**9], [0.0, 0.01, 0.5, 0.9, 1.0]
+    rows = token_counts.answers(token_counts.histogram(counted), limits, quantiles).collect()
+    for r, x in zip(rows, limits, strict=False):
+        sql = f"SELECT count(*) FILTER (n = {x}), count(*) FILTER (n >= {x}), coalesce(sum(n) FILTER (n >= {x}), 0), sum(least(n, {x})) FROM lengths"
+        assert ("limit", x, *con.sql(sql).fetchall()[0]) == (r.kind, r.n_tokens, r.n_docs, r.docs_at_least, r.tokens_at_least, r.tokens_if_cut)
+    for r, q in zip(rows[len(limits) :], quantiles, strict=True):
+        assert (r.kind, r.q) == ("quantile", q) and r.n_tokens == con.sql(f"SELECT quantile_disc(n, {q}) FROM lengths").fetchall()[0][0]
+    empty = token_counts.report(token_counts.histogram(token_counts.lengths(docs.limit(0))), [10], [0.5]).collect()
+    assert [(r.kind, r.n_tokens, r.docs_at_least, r.tokens_if_cut) for r in empty] == [("limit", 10, 0, 0), ("quantile", None, 0, None)]
+
+
+def test_token_counts_of_hard_rows(spark):
+    """Against another encoder of the same vocabulary; a very long text; columns that clash."""
+    tiktoken = pytest.importorskip("tiktoken")
+    import base64
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(token_counts.VOCABULARY, "rb") if x.strip())}
+    other = tiktoken.Encoding("other", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 60_000})
+    texts = ["plain words", "<|endoftext|>", "é😀\u200d ß", "x" * 5_000 + " y" * 100_000, None, "", " \n\n  a"]
+    docs = docs_of(spark, texts).withColumn("n_tokens", F.lit(1)).withColumn("n_docs", F.lit("x"))
+    got = {r.doc_id: r.n_tokens for r in token_counts.lengths(docs).collect()}
+    assert got == {i: len(other.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
 
 
 def brute_classes(rows, s=0.8, k=5):
