@@ -4,7 +4,8 @@ A linear classifier over hashed words and word beginnings (4, 5 and 8 bytes) is
 confirmed toxic documents and unlabelled ones.  With class prior p, the risk is
 ``p * mean_P loss(+) + max(0, mean_U loss(-) - p * mean_P loss(-))``; where the bracket turns negative, the step
 goes back along its gradient.  The prior is the share of toxic rows among the labels that may be learnt
-from.  Training sees at most ``positives`` and ``unlabelled`` documents, picked by a hash of the id; scoring
+from.  Training sees at most ``positives`` and ``unlabelled`` documents, picked by a hash of the id, of a repeated id one
+text, and of each at most ``MOST_FEATURES`` features, picked by their hash from the whole text; scoring
 reads every whole text, in one pass and without a shuffle.
 
 Null or empty texts get the score of a text without features.  Without a confirmed toxic example all scores
@@ -26,7 +27,7 @@ from . import words as W
 
 BITS = 22
 THRESHOLD = 0.7
-POSITIVES, UNLABELLED = 3_000, 9_000
+POSITIVES, UNLABELLED, MOST_FEATURES = 3_000, 9_000, 50_000
 #: A feature is used if it is commoner in toxic documents, at odds of e to this power against chance (a bound on
 #: the Poisson tail), and in at least this many of them.
 ODDS, LEAST = 10, 4
@@ -91,6 +92,24 @@ def _distinct(docs: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+
+
+def risk(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The corrected risk of these outputs under the logistic loss, and the step's gradient by each output.
+
+    Where the negative part is below 0 it counts as 0, and the step undoes it: the gradient is that part's, turned.
+    """
+    s_p, s_u = _sigmoid(z_p), _sigmoid(z_u)
+    minus = float(np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean())
+    value = float(prior * np.logaddexp(0, -z_p).mean()) + max(0.0, minus)
+    # d loss(+) = s - 1, d loss(-) = s
+    down_p, down_u = -prior * s_p / len(z_p), s_u / len(z_u)
+    up = prior * (s_p - 1) / len(z_p)
+    return (value, up + down_p, down_u) if minus >= 0 else (value, -down_p, -down_u)
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, l2: float = 1e-5, rate: float = 0.1) -> Model:
     """``positive`` and ``unlabelled``: the distinct feature numbers of each document."""
     positive, unlabelled = _distinct(positive), _distinct(unlabelled)
@@ -123,18 +142,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     (p_row, p_col), (u_row, u_col) = rows(positive), rows(unlabelled)
     w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior))) if prior < 1 else 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
     for step in range(1, steps + 1):
         z_p = b + np.bincount(p_row, w[p_col], n_p)
         z_u = b + np.bincount(u_row, w[u_col], n_u)
-        s_p, s_u = sigmoid(z_p), sigmoid(z_u)
-        minus = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        # d loss(+) = s - 1, d loss(-) = s
-        d_p, d_u = prior * (s_p - 1) / n_p, np.zeros(n_u)
-        if minus >= 0:
-            d_p, d_u = d_p - prior * s_p / n_p, s_u / n_u
-        else:
-            d_p, d_u = prior * s_p / n_p, -s_u / n_u
+        _, d_p, d_u = risk(z_p, z_u, prior)
         grad = np.append(np.bincount(p_col, d_p[p_row], len(used)) + np.bincount(u_col, d_u[u_row], len(used)) + l2 * w, d_p.sum() + d_u.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -142,17 +153,29 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(used, w, float(b), prior)
 
 
+def _bounded(own: np.ndarray, rows: int) -> np.ndarray:
+    """Which of the features (by row) are kept: of each row at most ``MOST_FEATURES``."""
+    keep = np.ones(len(own), dtype=bool)
+    ends = np.searchsorted(own, np.arange(rows + 1) << BITS)
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        if hi - lo > MOST_FEATURES:
+            draw = W.mix((own[lo:hi] & ((1 << BITS) - 1)).astype(np.uint64))
+            keep[lo:hi] = draw <= np.partition(draw, MOST_FEATURES - 1)[MOST_FEATURES - 1]
+    return keep
+
+
 def _distinct_features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, w in W.parts(batch, "text"):
                 own = np.concatenate([np.zeros(0, np.int64)] + [f + (np.repeat(np.arange(rows.num_rows), w.counts()) << BITS) for f in _features(w)])
                 own = np.unique(own)
+                own = own[_bounded(own, rows.num_rows)]
                 ends = np.searchsorted(own, np.arange(rows.num_rows + 1) << BITS)
                 values = pa.array((own & ((1 << BITS) - 1)).astype(np.int32))
-                yield pa.record_batch([rows.column("positive"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], names=["positive", "features"])
+                yield pa.record_batch([rows.column("doc_id"), rows.column("positive"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], names=["doc_id", "positive", "features"])
 
-    return docs.select("positive", "text").mapInArrow(run, "positive boolean, features array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "positive", "text").mapInArrow(run, "doc_id long, positive boolean, features array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
@@ -166,8 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     chosen = known.where("toxic = 1").select("doc_id").distinct().orderBy(spread, "doc_id").limit(positives).withColumn("positive", F.lit(True))
     free = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
     chosen = chosen.unionByName(free.orderBy(spread, "doc_id").limit(unlabelled).withColumn("positive", F.lit(False)))
-    # At most positives + unlabelled ids.
-    sample = _distinct_features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toArrow()
+    # At most positives + unlabelled ids, each once, as combined on the map side.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    sample = _distinct_features(rows).toArrow().sort_by("doc_id")  # one order, whatever the tasks'
     is_positive, features = sample.column("positive").to_pylist(), sample.column("features")
     own = [np.asarray(x.values) for x in features.combine_chunks()] if sample.num_rows else []
     return fit([x for x, y in zip(own, is_positive, strict=True) if y], [x for x, y in zip(own, is_positive, strict=True) if not y], counts["toxic"] / counts["n"])

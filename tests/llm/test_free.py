@@ -46,6 +46,60 @@ def test_toxicity_hard_rows(spark):
     assert toxicity.scored(docs.limit(0), labels).count() == 0
 
 
+def plain_risk(z_p, z_u, prior):
+    """The estimator one document at a time."""
+    import math
+
+    plus = sum(math.log1p(math.exp(-z)) for z in z_p) / len(z_p)
+    on_p = sum(math.log1p(math.exp(z)) for z in z_p) / len(z_p)
+    on_u = sum(math.log1p(math.exp(z)) for z in z_u) / len(z_u)
+    return prior * plus, on_u - prior * on_p
+
+
+def test_risk_and_its_step_against_a_plain_loop():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    seen = set()
+    for k in range(20):
+        z_p, z_u, prior = rng.normal(k % 4, 1, 7), rng.normal(-3 if k % 2 else 0, 1, 11), 0.1 + 0.08 * (k % 10)
+        plus, minus = plain_risk(z_p, z_u, prior)
+        value, d_p, d_u = toxicity.risk(z_p, z_u, prior)
+        assert abs(value - (plus + max(0, minus))) < 1e-12
+        seen.add(minus >= 0)
+        # The step follows the whole risk, or turns back along the negative part.
+        aim = (lambda a, b, prior=prior: sum(plain_risk(a, b, prior))) if minus >= 0 else (lambda a, b, prior=prior: -plain_risk(a, b, prior)[1])
+        for z, d, which in ((z_p, d_p, 0), (z_u, d_u, 1)):
+            for i in range(len(z)):
+                up, down = z.copy(), z.copy()
+                up[i] += 1e-5
+                down[i] -= 1e-5
+                a, b = ((up, z_u), (down, z_u)) if which == 0 else ((z_p, up), (z_p, down))
+                assert abs((aim(*a) - aim(*b)) / 2e-5 - d[i]) < 1e-7
+    assert seen == {True, False}
+
+
+def test_fit_learns_from_positive_and_unlabelled_rows():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    mark = [np.array([7, 8, 9])]
+    noise = lambda: rng.choice(np.arange(100, 4000), 30, replace=False)
+    positive = [np.unique(np.concatenate([noise(), *mark])) for _ in range(60)]
+    unlabelled = [np.unique(np.concatenate([noise(), *(mark if k % 10 == 0 else [])])) for k in range(300)]
+    model = toxicity.fit(positive, unlabelled, 0.1)
+    assert {7, 8, 9} <= set(model.numbers.tolist())
+    score = lambda own: 1 / (1 + np.exp(-(model.bias + model.weights[np.isin(model.numbers, own)].sum())))
+    assert min(score(x) for x in positive) >= 0.7 and max(score(x) for k, x in enumerate(unlabelled) if k % 10) < 0.7
+    assert toxicity._bounded(np.arange(60_000), 1).sum() == toxicity.MOST_FEATURES
+
+
+def test_training_takes_a_repeated_id_once(spark):
+    docs = docs_of(spark, ["bad words here", "good words", "more of them"] * 40, [1, 2, 3] * 40)
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.scored(docs, labels).count() == 120
+
+
 def brute_overlaps(docs, items, window=10):
     out = {}
     for i, t in docs:
