@@ -3,11 +3,12 @@
 Base patterns are matched leftmost and without overlap for each kind, on the whole text; matches that are too short are
 dropped.  The field tags tokens (runs of ``[A-Za-z0-9+/_.=-]``) as begin, inside or outside of a secret, from their
 shape, the neighbouring words and features of the document.  Tokens of at least ``LEAST`` characters with
-a digit, the tokens of any kind and length that follow a cue word (``NEAR`` of them, within ``REACH`` characters) and
+a digit, those of ``LONG`` without one, the tokens of any kind and length that follow a cue word (``NEAR`` of them, within ``REACH`` characters) and
 those between a colon and an at sign can be begin or inside; the others are outside for certain, so the best path is
 found piece by piece between them, which is the best path of the whole chain.  Decoding is by Viterbi.
 
-It is trained in numpy on the base matches of at most ``TRAIN_DOCS`` documents, picked by a hash of the id.  Near misses
+It is trained in numpy on the base matches of at most ``TRAIN_DOCS`` documents, picked by a hash of the id, of a repeated
+id one text, and of each at most ``MOST_PIECES`` chains with and without a match.  Near misses
 (matches that are too short, hexadecimal tokens, what stands after a cue word and a colon or equals sign or before an at
 sign) have no label: chains are parted there.  Base matches are also shown cut short, as secrets.  Spans it
 finds are added unless they touch a base span.  Without a base match to learn from nothing is added.
@@ -40,7 +41,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 
-LEAST, TRAIN_DOCS, BITS = 8, 20_000, 13
+LEAST, LONG, TRAIN_DOCS, MOST_PIECES, BITS = 8, 24, 20_000, 500, 13
 OUT, BEGIN, INSIDE = 0, 1, 2
 NEAR, REACH = 2, 24
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
@@ -94,7 +95,7 @@ def suspicious(w: W.Words, sizes: np.ndarray) -> np.ndarray:
     marks += a[b - a >= 16].tolist()
     a, b = _runs(_CLASS[w.data], edge)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[w.data])])
-    marks += a[(b - a >= LEAST) & (digits[b] > digits[a])].tolist()
+    marks += a[(b - a >= LONG) | (b - a >= LEAST) & (digits[b] > digits[a])].tolist()
     out = np.zeros(len(sizes), dtype=bool)
     out[np.searchsorted(where, np.array(marks, dtype=np.int64), "right") - 1] = True
     return out
@@ -113,7 +114,7 @@ def _candidates(text: str, around: list[tuple[int, int, int]] = []) -> list[re.M
     for cue in _CUE.finditer(text):
         at = bisect_left(starts, cue.end())
         near.update(k for k in range(at, min(at + NEAR, len(tokens))) if starts[k] <= cue.end() + REACH)
-    return [m for k, m in enumerate(tokens) if k in near or m.end() - m.start() >= LEAST and any(c in "0123456789" for c in m[0])]
+    return [m for k, m in enumerate(tokens) if k in near or (n := m.end() - m.start()) >= LONG or n >= LEAST and any(c in "0123456789" for c in m[0])]
 
 
 def _near_misses(text: str) -> list[tuple[int, int]]:
@@ -290,7 +291,17 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             features, tags = [], []
+
+            def bounded() -> None:
+                # By where a chain stands, spread over the whole text.
+                at = sorted(range(first, len(tags)), key=lambda k: crc32(b"%d" % k))
+                for wanted in (True, False):
+                    own = [k for k in at if (max(tags[k]) > OUT) is wanted]
+                    drop.update(own[MOST_PIECES:])
+
+            drop: set[int] = set()
             for text in batch.column("text").to_pylist():
+                first = len(tags)
                 spans = base_spans(text or "")
                 misses = _near_misses(text or "")
                 for piece in pieces(text or "", spans):  # with ordinary words beside secrets
@@ -300,30 +311,37 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field:
                 for part, own in _shortened(text or "", spans):
                     features.append([x[2] for x in part])
                     tags.append(_truth(part, own))
+                if len(tags) - first > MOST_PIECES:
+                    bounded()
+            features, tags = ([x for k, x in enumerate(y) if k not in drop] for y in (features, tags))
             yield pa.record_batch([pa.array(features, pa.list_(pa.list_(pa.int32()))), pa.array(tags, pa.list_(pa.int32()))], names=["features", "tags"])
 
-    # At most ``most`` ids.
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(run, "features array<array<int>>, tags array<int>").toArrow()
+    # At most ``most`` ids, each once, as combined on the map side.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    own = rows.select("text").mapInArrow(run, "features array<array<int>>, tags array<int>").toArrow()
     return fit(list(zip(own.column("features").to_pylist(), own.column("tags").to_pylist(), strict=True)))
 
 
+def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
+    """What the field alone takes for secrets: start and end."""
+    out = []
+    for piece in pieces(text) if field.trained else ():
+        tags, lo, hi = field.decode([x[2] for x in piece]), None, None
+        for (a, b, _), tag in [*zip(piece, tags, strict=True), ((None, None, None), OUT)]:
+            if tag != INSIDE and lo is not None:
+                out.append((lo, hi))
+                lo = None
+            if tag == BEGIN:
+                lo = a
+            if tag != OUT:
+                hi = b
+    return out
+
+
 def all_spans(text: str, field: Field) -> list[tuple[int, int, int]]:
     """Base spans, and those that the field adds (kind 3)."""
     base = base_spans(text)
-    out = list(base)
-    if field.trained:
-        for piece in pieces(text):
-            tags, lo, hi = field.decode([x[2] for x in piece]), None, None
-            for (a, b, _), tag in [*zip(piece, tags, strict=True), ((None, None, None), OUT)]:
-                if tag != INSIDE and lo is not None:
-                    if not any(s[0] < hi and lo < s[2] for s in base):
-                        out.append((lo, 3, hi))
-                    lo = None
-                if tag == BEGIN:
-                    lo = a
-                if tag != OUT:
-                    hi = b
-    return sorted(out)
+    return sorted(base + [(lo, 3, hi) for lo, hi in field_spans(text, field) if not any(s[0] < hi and lo < s[2] for s in base)])
 
 
 def scan(docs: DataFrame, field: Field) -> DataFrame:

@@ -1,10 +1,36 @@
-"""What the field adds to the base patterns."""
+"""What the field finds by itself, and what it adds to the base patterns."""
+
+import pytest
+from pyspark.sql import functions as F
 
 from inkstream.llm import secret_scan
 
 
-def test_field_adds_a_span(spark):
-    field = secret_scan.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+
+
+@pytest.fixture(scope="module")
+def field(docs):
+    """Trained on half of the documents."""
+    return secret_scan.train(docs.where("doc_id % 2 = 0"))
+
+
+def test_field_finds_matches_it_was_not_shown(docs, field):
+    """Base matches of the other half are hidden from training; the field alone finds them, and marks little else."""
+    hidden = found = marked = wrong = 0
+    for r in docs.where("doc_id % 2 = 1").collect():
+        base, own = secret_scan.base_spans(r.text or ""), secret_scan.field_spans(r.text or "", field)
+        hidden += len(base)
+        found += sum(any(lo < s[2] and s[0] < hi for lo, hi in own) for s in base)
+        marked += len(own)
+        wrong += sum(not any(lo < s[2] and s[0] < hi for s in base) for lo, hi in own)
+    assert hidden > 200 and found >= 0.95 * hidden
+    assert marked > 0 and wrong <= 0.05 * marked
+
+
+def test_field_adds_a_span(field):
     added = lambda text: [s for s in secret_scan.all_spans(text, field) if s[1] == 3]
     assert added("and the pass b7db7aa4a5fcc78 was there") == [(13, 3, 28)]
     assert not added("mail hsr.29@mail5.example.com or 42.144.35.254 on 4041894974608795, pass the salt")
@@ -14,3 +40,12 @@ def test_letters_and_short_tokens_can_be_tagged():
     own = lambda text: [text[a:b] for piece in secret_scan.pieces(text) for a, b, _ in piece]
     assert "longpassphrase" in own("user:longpassphrase@host")
     assert own("pass: hunter2") == ["hunter2"]
+    assert own("a word and " + "kJhGdf" * 5) == ["kJhGdf" * 5]
+
+
+def test_training_takes_a_repeated_id_once_and_bounds_a_text(spark):
+    secret = "password=b7db7aa4a5fcc78305 and the plain word0001 "
+    rows = [(1, secret * 2_000), (1, secret * 2_000), (2, "nothing"), (None, secret)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = secret_scan.train(docs.unionByName(docs))
+    assert field.trained and secret_scan.scan(docs, field).select(F.size("spans").alias("n")).collect()[0].n >= 4_000
