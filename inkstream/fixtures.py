@@ -42,13 +42,14 @@ VIEWS = {
   WHERE turn = 0
 """,
     "fx_highlights": """
-  SELECT d.doc_id * 1000 + b.item_id AS highlight_id,
-    d.doc_id AS article_id,
-    b.text AS quote,
-    CASE WHEN b.item_id % 3 = 0 THEN 'marked' ELSE '' END AS note,
-    CAST(instr(d.text, b.text) - 1 AS INT) AS start_offset,
+  SELECT doc_id * 1000 + 1 AS highlight_id,
+    doc_id AS article_id,
+    substring(text, CAST(21 + doc_id % 50 AS INT), 40) AS quote,
+    CASE WHEN doc_id % 3 = 0 THEN 'marked' ELSE '' END AS note,
+    CAST(20 + doc_id % 50 AS INT) AS start_offset,
     CAST(NULL AS TIMESTAMP) AS orphaned_at
-  FROM (SELECT /*+ REPARTITION(32) */ doc_id, text FROM documents) d JOIN benchmark b ON contains(d.text, b.text)
+  FROM documents
+  WHERE doc_id % 25 = 0 AND length(text) > 150
   UNION ALL SELECT conv_id * 1000 + 900 + turn AS highlight_id,
     conv_id AS article_id,
     text AS quote,

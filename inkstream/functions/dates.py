@@ -158,10 +158,12 @@ def two_digit_year(yy: Column, now: datetime) -> Column:
     return F.when(yy <= now.year % 100 + 1, yy + 2000).otherwise(yy + 1900)
 
 
-def interpolate(older: Column, newer: Column) -> Column:
-    """Midway between two dates, at midnight."""
-    days = F.floor(F.datediff(newer, older) / 2).cast("int")
-    return F.date_add(older.cast("date"), days).cast("timestamp_ntz")
+def interpolate(older: Column, newer: Column, source: str = "index:neighbours") -> Column:
+    """The midnight before the middle of two dates, whichever comes first, known to the month; with one alone, that one, known to the year."""
+    a, b = F.least(older, newer), F.greatest(older, newer)
+    both = older.isNotNull() & newer.isNotNull()
+    middle = F.date_trunc("day", a + (b - a) / 2).cast("timestamp_ntz")
+    return pub_date(F.when(both, middle).otherwise(a), F.when(both, "month").otherwise("year"), "inferred", source)
 
 
 def bracket_once(rows: DataFrame) -> DataFrame:
@@ -172,7 +174,7 @@ def bracket_once(rows: DataFrame) -> DataFrame:
     newer, older = F.last("published_at", ignorenulls=True).over(upto), F.first("published_at", ignorenulls=True).over(beyond)
     rows = rows.withColumn("newer", newer).withColumn("older", older)
     fits = F.col("published_at").isNull() & (F.col("older") <= F.col("newer")) & (F.datediff("newer", "older") <= 4 * 366)
-    return rows.withColumn("est", F.when(fits, interpolate(F.col("older"), F.col("newer")))).drop("newer", "older")
+    return rows.withColumn("est", F.when(fits, interpolate(F.col("older"), F.col("newer"))["iso"])).drop("newer", "older")
 
 
 def bracket_all(rows: DataFrame) -> DataFrame:
@@ -193,7 +195,7 @@ def bracket_all(rows: DataFrame) -> DataFrame:
             if pd.isna(at):
                 older = out[i]
                 if newer is not None and older is not None and older <= newer and (newer.normalize() - older.normalize()).days <= 4 * 366:
-                    guess = older.normalize() + pd.Timedelta(days=(newer.normalize() - older.normalize()).days // 2)
+                    guess = (older + (newer - older) / 2).normalize()
                     newer = guess
             else:
                 newer = at

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import READABLE
@@ -65,10 +65,8 @@ def resume(archive: DataFrame, remembered: int | None, newest_first: bool = Fals
 def year_headers(rows: DataFrame, newest_first: bool = False) -> DataFrame:
     """The label of a row and whether a header stands before it, along the reading order."""
     label = F.coalesce(F.date_format("published_at", "yyyy"), F.lit("Undated"))
-    over = Window.orderBy(*sequence.order_keys(newest_first))
-    rows = rows.withColumn("label", label)
-    before = F.lag("label").over(over)
-    return rows.withColumn("header", before.isNull() | (before != F.col("label")))
+    rows = sequence.labelled_before(rows.withColumn("label", label), "label", newest_first)
+    return rows.withColumn("header", F.col("before").isNull() | (F.col("before") != F.col("label"))).drop("before")
 
 
 def highlight_order() -> list[Column]:

@@ -55,9 +55,48 @@ def after(anchor: Mapping, newest_first: bool = False, forward: bool = True) ->
     return own | undated if forward else own
 
 
-def ranked(df: DataFrame, newest_first: bool = False, name: str = "rank") -> DataFrame:
-    """A row number along the order.  For small sets; positions at scale come from counting (``position``)."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order_keys(newest_first))))
+def _place(newest_first: bool) -> Column:
+    """The order as one ascending struct of numbers."""
+    undated, sign = F.col("published_at").isNull(), -1 if newest_first else 1
+    at = F.unix_micros(F.col("published_at").cast("timestamp_ltz"))
+    last = [F.when(undated, F.col(c)).otherwise(F.lit(0)).cast("long") for c in ("source_id", "source_order", "article_id")]
+    parts = [undated.cast("long"), F.coalesce(at * sign, F.lit(0)), *last, (F.col("source_order") * sign).cast("long"), (F.col("article_id") * sign).cast("long")]
+    return F.struct(*(F.coalesce(c, F.lit(-(2**62))).alias(f"k{k}") for k, c in enumerate(parts)))
+
+
+def _in_ranges(df: DataFrame, newest_first: bool, parts: int) -> tuple[DataFrame, Window]:
+    """``df`` with order_place and order_range, which cut the order into ranges of about equal size, and the window inside one.
+
+    The cuts come from a sample of bounded size (rows of the smallest hashes), so a hot date or source is cut as well.
+    """
+    df = df.withColumn("order_place", _place(newest_first))
+    sample = df.select("order_place", F.xxhash64("order_place").alias("h")).orderBy("h").limit(64 * parts).collect()
+    places = sorted(tuple(r["order_place"]) for r in sample)
+    cuts = sorted({places[len(places) * k // parts] for k in range(1, parts)}) if places else []
+    cut = lambda p: F.struct(*(F.lit(x).cast("long").alias(f"k{k}") for k, x in enumerate(p)))
+    own = F.aggregate(F.array(*map(cut, cuts)), F.lit(0), lambda n, x: n + (x <= F.col("order_place")).cast("int")) if cuts else F.lit(0)
+    return df.withColumn("order_range", own), Window.partitionBy("order_range").orderBy("order_place")
+
+
+def ranked(df: DataFrame, newest_first: bool = False, name: str = "rank", parts: int = 64) -> DataFrame:
+    """A row number along the order: ranges are numbered by themselves, and begin after the rows of those before."""
+    rows, inside = _in_ranges(df, newest_first, parts)
+    counts = rows.groupBy("order_range").count().collect()  # at most ``parts`` rows
+    before, start = 0, {}
+    for r in sorted(counts):
+        start[r["order_range"]] = before
+        before += r["count"]
+    base = F.create_map(*(F.lit(x).cast("int" if k % 2 == 0 else "long") for pair in start.items() for k, x in enumerate(pair)))[F.col("order_range")] if start else F.lit(0).cast("long")
+    return rows.withColumn(name, F.row_number().over(inside) + base).drop("order_place", "order_range")
+
+
+def labelled_before(df: DataFrame, label: str, newest_first: bool = False, name: str = "before", parts: int = 64) -> DataFrame:
+    """The label of the row before along the order (null for the first)."""
+    rows, inside = _in_ranges(df, newest_first, parts)
+    last = {r["order_range"]: r["last"] for r in rows.groupBy("order_range").agg(F.max_by(label, "order_place").alias("last")).collect()}  # at most ``parts`` rows
+    edge = {b: last[a] for a, b in zip(sorted(last), sorted(last)[1:], strict=False)}
+    border = F.create_map(*(F.lit(x) for pair in edge.items() for x in pair))[F.col("order_range")] if edge else F.lit(None).cast("string")
+    return rows.withColumn(name, F.coalesce(F.lag(label).over(inside), border)).drop("order_place", "order_range")
 
 
 def neighbour(df: DataFrame, anchor: Mapping, newest_first: bool = False, forward: bool = True) -> DataFrame:

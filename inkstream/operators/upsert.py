@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,13 +164,28 @@ def vanished(old: DataFrame, new: DataFrame, used: DataFrame) -> DataFrame:
         import pandas as pd
 
         left = pdf[pdf.side == "new"].sort_values(["source_order", "article_id"])
-        left = list(zip(left.source_order, left.article_id, strict=True))
+        orders, ids, n = list(left.source_order), list(left.article_id), len(left)
+        # The free place at or before k, and at or after k, with the ways to them shortened.
+        lower, upper = list(range(n + 1)), list(range(n + 1))
+
+        def free(at: int, way: list[int]) -> int:
+            root = at
+            while way[root] != root:
+                root = way[root]
+            while way[at] != root:
+                way[at], at = root, way[at]
+            return root
+
         rows = []
         for o, i in sorted(zip(pdf[pdf.side == "old"].source_order, pdf[pdf.side == "old"].article_id, strict=True)):
-            best = min(left, key=lambda x: abs(x[0] - o), default=None)
-            if best:
-                left.remove(best)
-            rows.append((i, None if best is None else int(best[1])))
+            k = bisect_left(orders, o)
+            after, before = free(k, upper), free(k, lower) - 1  # lower is shifted by one: 0 means none
+            if before >= 0:  # of equal orders the first that is free
+                before = free(bisect_left(orders, orders[before]), upper)
+            best = min((x for x in (before, after) if 0 <= x < n), key=lambda x: (abs(orders[x] - o), x), default=None)
+            if best is not None:
+                upper[best], lower[best + 1] = best + 1, best
+            rows.append((i, None if best is None else int(ids[best])))
         return pd.DataFrame(rows, columns=["article_id", "target"]).astype({"article_id": "int64", "target": "Int64"})
 
     # A group is the chapters of one title in one book.

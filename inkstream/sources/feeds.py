@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 from datetime import datetime
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +23,14 @@ MOST_CHILDREN = 50
 
 
 def _unescape(x: Column) -> Column:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#8217;", "’"), ("&#8211;", "–"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+    """Every character reference; only texts that hold one go through Arrow."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for p in parts:
+            yield p.map(lambda v: None if v is None else html.unescape(v))
+
+    return F.when(F.contains(x, F.lit("&")), run(x)).otherwise(x)
 
 
 def tag(xml: Column, name: str) -> Column:
@@ -34,16 +41,19 @@ def tag(xml: Column, name: str) -> Column:
 
 
 def feed_link(xml: Column) -> Column:
+    return _unescape(_raw_link(xml))
+
+
+def _raw_link(xml: Column) -> Column:
     """alternate link, then the link's text, then any href, then a guid that is an address."""
     one = lambda p: F.nullif(F.trim(F.regexp_extract(xml, p, 1)), F.lit(""))
     guid = F.trim(tag(xml, "guid"))
-    found = F.coalesce(
+    return F.coalesce(
         one(r"""(?s)<link\b(?=[^>]*\brel=["']alternate["'])[^>]*\bhref=["']([^"']+)["']"""),
         F.nullif(F.trim(tag(xml, "link")), F.lit("")),
         one(r"""<link\b[^>]*\bhref=["']([^"']+)["']"""),
         F.when(guid.rlike("^https?://"), guid),
     )
-    return _unescape(found)
 
 
 def feed_items(feeds: DataFrame, now: datetime) -> DataFrame:
@@ -52,10 +62,12 @@ def feed_items(feeds: DataFrame, now: datetime) -> DataFrame:
     after = F.nullif(F.regexp_extract("xml", r"""<(?:atom:)?link\b(?=[^>]*\brel=["']next["'])[^>]*\bhref=["']([^"']+)["']""", 1), F.lit(""))
     rows = feeds.select("site", "page", after.alias("next"), entries)
     e = F.col("entry")
-    stamp = F.coalesce(tag(e, "pubDate"), tag(e, "published"), tag(e, "updated"), tag(e, "dc:date"))
-    title = F.coalesce(F.nullif(F.trim(_unescape(F.regexp_replace(tag(e, "title"), r"<[^>]*>", ""))), F.lit("")), F.lit("Untitled"))
-    body = F.coalesce(tag(e, "content:encoded"), _unescape(tag(e, "content")))
-    return rows.select("site", "page", "pos", feed_link(e).alias("link"), title.alias("title"), dates.parse_rfc822(stamp, now, "exact", "feed").alias("date"), body.alias("html"), "next")
+    # Each part is bound to a column of its own, so that no pattern is written out more than once.
+    rows = rows.select("site", "page", "pos", "next", *(tag(e, name).alias(f"own_{k}") for k, name in enumerate(("pubDate", "published", "updated", "dc:date", "title", "content:encoded", "content"))), _raw_link(e).alias("raw_link"))
+    rows = rows.select("site", "page", "pos", "next", F.coalesce(*(F.col(f"own_{k}") for k in range(4)), F.lit("")).alias("stamp"), F.regexp_replace("own_4", r"<[^>]*>", "").alias("raw_title"), "own_5", "own_6", "raw_link")
+    title = F.coalesce(F.nullif(F.trim(_unescape(F.col("raw_title"))), F.lit("")), F.lit("Untitled"))
+    body = F.coalesce("own_5", _unescape(F.col("own_6")))
+    return rows.select("site", "page", "pos", _unescape(F.col("raw_link")).alias("link"), title.alias("title"), dates.parse_rfc822(F.col("stamp"), now, "exact", "feed").alias("date"), body.alias("html"), "next")
 
 
 def read_feed(feeds: DataFrame, now: datetime, floor: datetime | None = None, limit: int | None = None) -> DataFrame:
@@ -77,9 +89,9 @@ def read_feed(feeds: DataFrame, now: datetime, floor: datetime | None = None, li
     return out.drop("fresh", "end")
 
 
-def feed_hint(html: Column) -> Column:
+def feed_hint(page: Column) -> Column:
     """The feed that a home page names."""
-    return F.nullif(F.regexp_extract(html, r"""(?i)<link\b(?=[^>]*\btype=["']application/(?:rss|atom)\+xml["'])[^>]*\bhref=["']([^"']+)["']""", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(page, r"""(?i)<link\b(?=[^>]*\btype=["']application/(?:rss|atom)\+xml["'])[^>]*\bhref=["']([^"']+)["']""", 1), F.lit(""))
 
 
 def robots_sitemaps(robots: Column) -> Column:

@@ -28,13 +28,22 @@ def fresh_candidates(batch: DataFrame, articles: DataFrame, floor: DataFrame) ->
     return rows.where(keep).select(batch.columns)
 
 
+def last_snapshot(spark: SparkSession, snapshot: str) -> int:
+    """The number of the last whole snapshot."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(snapshot)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = {x.getPath().getName() for x in fs.listStatus(path)}
+    return max(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and (n == "v0" or fs.exists(jvm.org.apache.hadoop.fs.Path(f"{snapshot}/{n}/_SUCCESS"))))
+
+
 def run_once(spark: SparkSession, incoming: str, schema: T.StructType, snapshot: str, checkpoint: str) -> int:
     """Merge all files that arrived in ``incoming`` into the snapshots under ``snapshot``; returns the number of batches.
 
     Snapshots are v0, v1, ...; a batch reads the last and writes the next one, named by the batch, so a batch that
     is repeated after a failure writes the same place again.
     """
-    start = spark.read.parquet(f"{snapshot}/v0")
+    start = spark.read.parquet(f"{snapshot}/v{last_snapshot(spark, snapshot)}")
     floor = {r["source_id"]: r["floor"] for r in floors(start).collect()} if start.select("source_id").distinct().count() <= 10_000 else None
     kind = T.StructType([T.StructField("source_id", start.schema["source_id"].dataType), T.StructField("floor", T.TimestampNTZType())])
     frozen = spark.createDataFrame(list(floor.items()), kind) if floor is not None else floors(start)

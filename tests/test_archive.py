@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstream import fixtures, schemas
 from inkstream.operators import merge, queue, schedule, scopes, sequence, stats, upsert
-from inkstream.plans import archive
+from inkstream.plans import archive, reading
 
 SF = "/root/testdata/sf0.001"
 NTZ = "timestamp_ntz"
@@ -168,3 +168,17 @@ def test_images_wanted(spark):
     a = spark.createDataFrame([(1, '<img src="a"><img src="b">'), (2, "<img src='a'>"), (3, None)], "article_id long, content_html string")
     got = upsert.images_wanted(a, spark.createDataFrame([("b",)], "url string")).collect()
     assert [(r.article_id, r.url) for r in got] == [(1, "a")]
+
+
+def test_ranks_and_headers_need_no_single_task(spark):
+    for name in ("sequence_rank", "year_headers"):
+        plan = archive.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "order_range" in plan
+    rows = archive.archive(spark, SF)
+    assert "NestedLoop" not in rows._jdf.queryExecution().executedPlan().toString()
+    hot = spark.range(300).selectExpr("id AS article_id", "1L AS source_id", "CAST(id % 3 AS INT) AS source_order", "IF(id % 2 = 0, timestamp_ntz'2020-01-01 00:00:00', NULL) AS published_at")
+    for newest in (False, True):
+        want = [r.article_id for r in hot.orderBy(*sequence.order_keys(newest)).collect()]
+        got = sequence.ranked(hot, newest, parts=7).collect()
+        assert [r.article_id for r in sorted(got, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in got) == list(range(1, 301))
+

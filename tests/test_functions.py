@@ -172,3 +172,62 @@ def test_incremental_run(spark, tmp_path):
     got = {r.guid: r.title for r in spark.read.parquet(f"{tmp_path}/snap/v{n}").collect()}
     assert got == {"a": "A2", "new": "N", "undated": "U", "x": "X"}
     assert incremental.run_once(spark, f"{tmp_path}/in", new.schema, f"{tmp_path}/snap", f"{tmp_path}/check") == 0
+
+
+def test_the_floor_is_that_of_the_last_snapshot(spark, tmp_path):
+    kind = "source_id long, guid string, title string, published_at timestamp_ntz, date_confidence string"
+    spark.createDataFrame([(1, "a", "A", datetime(2020, 1, 10), "high")], kind).write.parquet(f"{tmp_path}/snap/v0")
+    batch = lambda *rows: spark.createDataFrame([(1, g, g, at, "high", k) for k, (g, at) in enumerate(rows)], kind + ", pos long").coalesce(1)
+    run = lambda: incremental.run_once(spark, f"{tmp_path}/in", batch(("x", None)).schema, f"{tmp_path}/snap", f"{tmp_path}/check")
+    batch(("new", datetime(2024, 1, 20))).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == 1 and incremental.last_snapshot(spark, f"{tmp_path}/snap") == 1
+    batch(("late", datetime(2021, 5, 1)), ("next", datetime(2024, 1, 19)), ("a", datetime(2020, 1, 11))).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == 1
+    got = spark.read.parquet(f"{tmp_path}/snap/v2")
+    assert sorted(r.guid for r in got.collect()) == ["a", "new", "next"]
+    # A snapshot that was not written whole is none, and a batch that is repeated gives the same one.
+    (tmp_path / "snap" / "v3").mkdir()
+    assert incremental.last_snapshot(spark, f"{tmp_path}/snap") == 2
+
+
+def test_interpolated_dates_in_pandas_and_in_columns(spark):
+    rows = [(1, 0, datetime(2020, 1, 2, 23)), (1, 1, None), (1, 2, datetime(2020, 1, 1, 23)), (2, 0, None), (2, 1, datetime(2020, 1, 1))]
+    df = spark.createDataFrame(rows, "source_id long, pos long, published_at timestamp_ntz")
+    for f in (dates.bracket_once, dates.bracket_all):
+        got = {(r.source_id, r.pos): r.est for r in f(df).collect()}
+        assert got[1, 1] == datetime(2020, 1, 2) and got[2, 0] is None
+
+
+def test_main_text_takes_the_first_article_and_whole_parents():
+    long = lambda w: f"<p>{(w + ' ') * 120}</p>"
+    first = html_tree.parse(f"<article>{long('one')}</article><article>{long('two') * 3}</article>")
+    assert html.extract_main(first).text().startswith("one")
+    deep = html_tree.parse(f"<body><div><div>{long('a，b')}</div><div>{long('c, d')}</div></div><p>short</p></body>")
+    assert "a，b" in html.extract_main(deep).text() and "c, d" in html.extract_main(deep).text()
+
+
+def test_vanished_takes_the_nearest_free_chapter(spark):
+    import random
+
+    from inkstream.operators import upsert
+
+    draw = random.Random(3)
+    old = [(k, 1, draw.choice("ab"), draw.randint(0, 30)) for k in range(40)]
+    new = [(100 + k, 1, draw.choice("ab"), draw.randint(0, 30)) for k in range(25)]
+    want = {}
+    for t in "ab":
+        left = sorted((o, i) for i, _, x, o in new if x == t)
+        for o, i in sorted((o, i) for i, _, x, o in old if x == t):
+            best = min(left, key=lambda x: (abs(x[0] - o), x), default=None)
+            left = [x for x in left if x != best]
+            want[i] = best and best[1]
+    kind = "article_id long, source_id long, title string, source_order long"
+    rows = upsert.vanished(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind), spark.createDataFrame([], "article_id long")).collect()
+    assert {r.article_id: r.target for r in rows} == want
+
+
+def test_feed_of_one_entry_and_named_references(spark):
+    xml = "<rss><item><title>Caf&eacute; &#233;t&#xE9;</title><link>https://e.com/1</link></item></rss>"
+    got = feeds.feed_items(spark.createDataFrame([("s", 1, xml)], "site string, page int, xml string"), NOW).collect()
+    assert [(r.title, r.date.iso) for r in got] == [("Café été", None)]
+
