@@ -40,15 +40,32 @@ def known(date: Column) -> Column:
     return date["iso"].isNotNull()
 
 
-def moment(year: Column, month: Column, day: Column, now: datetime, time: Column | None = None, minus_minutes: Column | None = None) -> Column:
-    """A timestamp; null if the calendar has no such day, or before 1980, or over two days after ``now``."""
+def _spelled(year: Column, month: Column, day: Column, time: Column | None, minus_minutes: Column | None) -> Column:
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     text = F.concat(pad(year, 4), F.lit("-"), pad(month, 2), F.lit("-"), pad(day, 2), F.lit(" "), F.lit("00:00:00") if time is None else time)
     at = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
-    if minus_minutes is not None:
-        at = at - F.make_dt_interval(mins=minus_minutes)
-    good = (F.year(at) >= 1980) & (at <= F.lit(now + timedelta(days=2)).cast("timestamp_ntz"))
-    return F.when(good, at)
+    return at if minus_minutes is None else at - F.make_dt_interval(mins=minus_minutes)
+
+
+def _possible(at: Column, now: datetime) -> Column:
+    return F.when((F.year(at) >= 1980) & (at <= F.lit(now + timedelta(days=2)).cast("timestamp_ntz")), at)
+
+
+def moment(year: Column, month: Column, day: Column, now: datetime, time: Column | None = None, minus_minutes: Column | None = None) -> Column:
+    """A timestamp; null if the calendar has no such day, or before 1980, or over two days after ``now``."""
+    return _possible(_spelled(year, month, day, time, minus_minutes), now)
+
+
+def _parts(year: Column, month: Column, day: Column, precision: str, confidence: str, source: str, time: Column | None = None, minutes: Column | None = None) -> Column:
+    """What a pattern found, to be made a date by ``_dated``."""
+    texts = {"year": year, "month": month, "day": day, "time": F.lit("00:00:00") if time is None else time, "precision": F.lit(precision), "confidence": F.lit(confidence), "source": F.lit(source)}
+    return F.struct(*(c.cast("string").alias(k) for k, c in texts.items()), (F.lit(0) if minutes is None else minutes).cast("int").alias("minutes"))
+
+
+def _dated(parts: Column, now: datetime) -> Column:
+    """The date of ``parts``.  Binding them keeps the patterns' expressions from being written out once for each use."""
+    read = F.transform(F.array(parts), lambda p: F.struct(_spelled(p["year"], p["month"], p["day"], p["time"], p["minutes"]).alias("at"), p["precision"].alias("precision"), p["confidence"].alias("confidence"), p["source"].alias("source")))
+    return F.transform(read, lambda x: pub_date(_possible(x["at"], now), x["precision"], x["confidence"], x["source"]))[0]
 
 
 def _int(c: Column) -> Column:
@@ -75,13 +92,16 @@ def _clock(text: Column, pattern: str, hour: int) -> Column:
     return F.concat_ws(":", part(hour), part(hour + 1), part(hour + 2))
 
 
-def parse_iso(text: Column, now: datetime, confidence: str = "exact", source: str = "") -> Column:
-    """The first ISO date anywhere; without one, as ``parse_freeform``; a bad one is unknown."""
-    text = F.trim(F.coalesce(text, F.lit("")))
+def _iso_parts(text: Column, confidence: str, source: str) -> Column:
     g = lambda k: F.regexp_extract(text, _ISO, k)
     minutes = F.when(g(4) != "", _offset(g(7))).otherwise(0)
-    at = moment(g(1), g(2), g(3), now, _clock(text, _ISO, 4), minutes)
-    return F.when(F.regexp_like(text, F.lit(_ISO)), pub_date(at, "day", confidence, source)).otherwise(parse_freeform(text, now, confidence, source))
+    found = _parts(g(1), g(2), g(3), "day", confidence, source, _clock(text, _ISO, 4), minutes)
+    return F.when(F.regexp_like(text, F.lit(_ISO)), found).otherwise(_freeform_parts(text, confidence, source))
+
+
+def parse_iso(text: Column, now: datetime, confidence: str = "exact", source: str = "") -> Column:
+    """The first ISO date anywhere; without one, as ``parse_freeform``; a bad one is unknown."""
+    return _dated(_iso_parts(F.coalesce(text, F.lit("")), confidence, source), now)
 
 
 _RFC = rf"(?i)(\d{{1,2}})\s+({_MONTH})\w*\s+(\d{{4}})(?:\s+(\d{{2}}):(\d{{2}})(?::(\d{{2}}))?)?(?:\s*([+-]\d{{4}}|GMT|UTC))?"
@@ -92,8 +112,8 @@ def parse_rfc822(text: Column, now: datetime, confidence: str = "exact", source:
     text = F.coalesce(text, F.lit(""))
     g = lambda k: F.regexp_extract(text, _RFC, k)
     offset = F.when(g(7).rlike(r"^[+-]"), _offset(g(7))).otherwise(0)
-    at = moment(g(3), _month_number(g(2)), g(1), now, _clock(text, _RFC, 4), offset)
-    return F.when(F.regexp_like(text, F.lit(_RFC)), pub_date(at, "day", confidence, source)).otherwise(parse_iso(text, now, confidence, source))
+    found = _parts(g(3), _month_number(g(2)), g(1), "day", confidence, source, _clock(text, _RFC, 4), offset)
+    return _dated(F.when(F.regexp_like(text, F.lit(_RFC)), found).otherwise(_iso_parts(text, confidence, source)), now)
 
 
 _MDY = rf"(?i)\b({_MONTH})\b\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,\s*(\d{{4}})\b"
@@ -102,20 +122,23 @@ _MY = rf"(?i)\b({_MONTH})\s+(\d{{4}})\b"
 _Y = r"\b(19[89]\d|20[0-4]\d)\b"
 
 
-def parse_freeform(text: Column, now: datetime, confidence: str = "medium", source: str = "") -> Column:
-    """``March 5, 2004``, ``5 March 2004``, ``March 2004``, then a bare year (inferred)."""
-    text = F.coalesce(text, F.lit(""))
+def _freeform_parts(text: Column, confidence: str, source: str) -> Column:
     g = lambda p, k: F.regexp_extract(text, p, k)
     one = F.lit(1)
     has = lambda p: F.regexp_like(text, F.lit(p))
     return (
-        F.when(has(_MDY), pub_date(moment(g(_MDY, 3), _month_number(g(_MDY, 1)), g(_MDY, 2), now), "day", confidence, source))
-        .when(has(_DMY), pub_date(moment(g(_DMY, 3), _month_number(g(_DMY, 2)), g(_DMY, 1), now), "day", confidence, source))
-        .when(has(_MY), pub_date(moment(g(_MY, 2), _month_number(g(_MY, 1)), one, now), "month", confidence, source))
-        .otherwise(pub_date(moment(F.coalesce(F.nullif(g(_Y, 1), F.lit("")), F.lit("0000")), one, one, now), "year", "inferred", source or "text:year-only"))
+        F.when(has(_MDY), _parts(g(_MDY, 3), _month_number(g(_MDY, 1)), g(_MDY, 2), "day", confidence, source))
+        .when(has(_DMY), _parts(g(_DMY, 3), _month_number(g(_DMY, 2)), g(_DMY, 1), "day", confidence, source))
+        .when(has(_MY), _parts(g(_MY, 2), _month_number(g(_MY, 1)), one, "month", confidence, source))
+        .otherwise(_parts(F.coalesce(F.nullif(g(_Y, 1), F.lit("")), F.lit("0000")), one, one, "year", "inferred", source or "text:year-only"))
     )
 
 
+def parse_freeform(text: Column, now: datetime, confidence: str = "medium", source: str = "") -> Column:
+    """``March 5, 2004``, ``5 March 2004``, ``March 2004``, then a bare year (inferred)."""
+    return _dated(_freeform_parts(F.coalesce(text, F.lit("")), confidence, source), now)
+
+
 _URL = r"/((?:19|20)\d{2})/(\d{1,2})(?:/(\d{1,2}))?(?:/|$)"
 
 
