@@ -147,7 +147,7 @@ def parse_from_url(url: Column, now: datetime) -> Column:
     url = F.coalesce(url, F.lit(""))
     month, day = _int(F.regexp_extract(url, _URL, 2)), _int(F.regexp_extract(url, _URL, 3))
     at = F.when(month.between(1, 12), moment(F.regexp_extract(url, _URL, 1), month, F.coalesce(day, F.lit(1)), now))
-    return pub_date(at, F.when(day.isNotNull(), "day").otherwise("month"), "high", "url")
+    return pub_date(at, F.when(day.isNotNull(), "day").otherwise("month"), "high", "url:permalink")
 
 
 def window_end(iso: Column, precision: Column) -> Column:
@@ -181,7 +181,7 @@ def two_digit_year(yy: Column, now: datetime) -> Column:
     return F.when(yy <= now.year % 100 + 1, yy + 2000).otherwise(yy + 1900)
 
 
-def interpolate(older: Column, newer: Column, source: str = "index:neighbours") -> Column:
+def interpolate(older: Column, newer: Column, source: str = "index:bracketed-neighbours") -> Column:
     """The midnight before the middle of two dates, whichever comes first, known to the month; with one alone, that one, known to the year."""
     a, b = F.least(older, newer), F.greatest(older, newer)
     both = older.isNotNull() & newer.isNotNull()
@@ -236,7 +236,7 @@ def listing_dates(rows: DataFrame, now: datetime) -> DataFrame:
     read for the whole list at once, as year-month, then as month-year: a reading holds if every entry is valid
     and the list is monotone, with three entries or more.
     """
-    explicit = parse_iso(F.col("hint"), now, "medium", "listing")
+    explicit = parse_iso(F.col("hint"), now, "medium", "archive:index")
     year_only = (explicit["precision"] == "year") & ~F.trim("hint").rlike(r"^\d{4}$")
     rows = rows.withColumn("explicit", F.when(~year_only, explicit["iso"]))
     pair = lambda k: F.regexp_extract("hint", r"^\s*(\d{1,4})\s*[/.-]\s*(\d{1,4})\s*$", k).cast("string")

@@ -60,4 +60,4 @@ def from_url(url: str, now: datetime) -> PlainDate | None:
     m = re.search(_URL, url or "")
     if not m or not 1 <= int(m[2]) <= 12:
         return None
-    return _known(_at(now, m[1], int(m[2]), m[3] or "1"), "day" if m[3] else "month", "high", "url")
+    return _known(_at(now, m[1], int(m[2]), m[3] or "1"), "day" if m[3] else "month", "high", "url:permalink")

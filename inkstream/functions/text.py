@@ -75,7 +75,7 @@ def clean_title(title: Column, *sites: str) -> Column:
 
 def site_title(title: Column) -> Column:
     """The first part of a home page's title, if it is 2 to 48 characters long."""
-    first = F.trim(F.get(F.split(title, r"\s[|–—·]\s|\s-\s|[|]"), 0))
+    first = F.trim(F.get(F.split(title, r"\s*[|–—·]\s*|\s+-\s+"), 0))
     return F.when(F.length(first).between(2, 48), first)
 
 

@@ -459,14 +459,8 @@ def _listing(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("user_id").cast("string").alias("page_url"), "pos", hint.alias("hint"))
 
 
-@query("WITH e AS (SELECT user_id AS site, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS pos FROM events) SELECT CAST(site AS VARCHAR) AS page_url, pos, date_trunc('month', ts) AS published_at FROM e WHERE pos <= 5")
+@query("SELECT CAST(user_id AS VARCHAR) AS page_url, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS pos, date_trunc('month', ts) AS published_at FROM events")
 def listing_dates(spark, d):
-    """The newest five entries of each listing, as its SQL says; ``listing_dates_all`` has every entry."""
-    return dates.listing_dates(_listing(spark, d).where("pos <= 5"), NOW_PAGES).select("page_url", "pos", "published_at")
-
-
-@query("WITH e AS (SELECT user_id AS site, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS pos FROM events) SELECT CAST(site AS VARCHAR) AS page_url, pos, date_trunc('month', ts) AS published_at FROM e")
-def listing_dates_all(spark, d):
     return dates.listing_dates(_listing(spark, d), NOW_PAGES).select("page_url", "pos", "published_at")
 
 
@@ -524,9 +518,9 @@ def page_titles(spark, d):
     return page_extract(spark, d).select("page_id", "title")
 
 
-@query("SELECT json_object('article_id', article_id, 'source_name', source_name, 'title', title) AS json FROM fx_articles a JOIN fx_sources s ON a.source_id = s.source_id WHERE NOT contains(title, '/')")
+@query("SELECT json_object('article_id', article_id, 'source_name', source_name, 'title', title) AS json FROM fx_articles a JOIN fx_sources s ON a.source_id = s.source_id")
 def export_json(spark, d):
-    rows = view(spark, d, "fx_articles").join(view(spark, d, "fx_sources"), "source_id").where("NOT contains(title, '/')")
+    rows = view(spark, d, "fx_articles").join(view(spark, d, "fx_sources"), "source_id")
     return sinks.export_rows(rows.select("article_id", "source_name", "title"))
 
 

@@ -67,7 +67,7 @@ def feed_items(feeds: DataFrame, now: datetime) -> DataFrame:
     rows = rows.select("site", "page", "pos", "next", F.coalesce(*(F.col(f"own_{k}") for k in range(4)), F.lit("")).alias("stamp"), F.regexp_replace("own_4", r"<[^>]*>", "").alias("raw_title"), "own_5", "own_6", "raw_link")
     title = F.coalesce(F.nullif(F.trim(_unescape(F.col("raw_title"))), F.lit("")), F.lit("Untitled"))
     body = F.coalesce("own_5", _unescape(F.col("own_6")))
-    return rows.select("site", "page", "pos", _unescape(F.col("raw_link")).alias("link"), title.alias("title"), dates.parse_rfc822(F.col("stamp"), now, "exact", "feed").alias("date"), body.alias("html"), "next")
+    return rows.select("site", "page", "pos", _unescape(F.col("raw_link")).alias("link"), title.alias("title"), dates.parse_rfc822(F.col("stamp"), now, "exact", "feed:date").alias("date"), body.alias("html"), "next")
 
 
 def read_feed(feeds: DataFrame, now: datetime, floor: datetime | None = None, limit: int | None = None) -> DataFrame:
@@ -150,18 +150,22 @@ def read_archive(pages: DataFrame, known: DataFrame, now: datetime) -> DataFrame
     return out.select("site", "page", "pos", "guid", "url", "text", "hint")
 
 
+def _or_by_link(date: Column, link: Column, now: datetime) -> Column:
+    return F.when(date["iso"].isNotNull(), date).otherwise(dates.parse_from_url(link, now))
+
+
 def rest_posts(pages: DataFrame, now: datetime) -> DataFrame:
     """pages: site, page, body: JSON arrays of a posts API.  Published posts, as candidates."""
     kind = "array<struct<id:long,date_gmt:string,date:string,link:string,status:string,title:struct<rendered:string>,content:struct<rendered:string>>>"
     rows = pages.select("site", "page", F.posexplode(F.from_json("body", kind)).alias("pos", "p")).where(F.col("p.status").isNull() | (F.col("p.status") == "publish"))
-    return rows.select("site", "page", "pos", F.col("p.link").alias("url"), urls.canonical_url(F.col("p.link")).alias("guid"), _unescape(F.regexp_replace("p.title.rendered", "<[^>]*>", "")).alias("title"), dates.parse_iso(F.coalesce("p.date_gmt", "p.date"), now, "exact", "api").alias("date"), F.col("p.content.rendered").alias("html"))
+    return rows.select("site", "page", "pos", F.col("p.link").alias("url"), urls.canonical_url(F.col("p.link")).alias("guid"), _unescape(F.regexp_replace("p.title.rendered", "<[^>]*>", "")).alias("title"), _or_by_link(dates.parse_iso(F.coalesce("p.date_gmt", "p.date"), now, "exact", "wp:date_gmt"), F.col("p.link"), now).alias("date"), F.col("p.content.rendered").alias("html"))
 
 
 def content_api_posts(pages: DataFrame, now: datetime) -> DataFrame:
     """As ``rest_posts`` for an API that answers {"posts": [...]} with published_at."""
     kind = "struct<posts:array<struct<id:string,title:string,url:string,html:string,published_at:string,visibility:string>>>"
     rows = pages.select("site", "page", F.posexplode(F.from_json("body", kind)["posts"]).alias("pos", "p"))
-    return rows.select("site", "page", "pos", F.col("p.url").alias("url"), urls.canonical_url(F.col("p.url")).alias("guid"), F.col("p.title").alias("title"), dates.parse_iso(F.col("p.published_at"), now, "exact", "api").alias("date"), F.col("p.html").alias("html"), F.when(F.coalesce(F.col("p.visibility"), F.lit("public")) != "public", "paywalled").alias("status_hint"))
+    return rows.select("site", "page", "pos", F.col("p.url").alias("url"), urls.canonical_url(F.col("p.url")).alias("guid"), F.col("p.title").alias("title"), dates.parse_iso(F.col("p.published_at"), now, "exact", "ghost:published_at").alias("date"), F.col("p.html").alias("html"), F.when(F.coalesce(F.col("p.visibility"), F.lit("public")) != "public", "paywalled").alias("status_hint"))
 
 
 def sitemap_stubs(addresses: DataFrame) -> DataFrame:
