@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from ..fixtures import view
 from ..functions import anchors, bytes_text, html, text, urls
 from ..operators import schedule, upsert
-from ..session import configure
+from ..session import configure, shared_folder
 from ..sources import content, detection, epub, feeds, sinks
+from ..streaming import incremental
 from .archive import NOW, NOW_PAGES, query
 from .reading import _AT, _docs, _id
 
@@ -300,3 +301,27 @@ def source_lines(spark, d):
 @query("SELECT rpad(CASE date_precision WHEN 'unknown' THEN '—' WHEN 'year' THEN coalesce(strftime(published_at, '%Y'), '—') WHEN 'month' THEN coalesce(strftime(published_at, '%Y-%m'), '—') ELSE coalesce(strftime(published_at, '%Y-%m-%d'), '—') END, 10, ' ') AS date, rpad(source_name, 18, ' ') AS source, title FROM fx_articles a JOIN fx_sources s ON a.source_id = s.source_id")
 def queue_lines(spark, d):
     return sinks.queue_lines(view(spark, d, "fx_articles").join(view(spark, d, "fx_sources"), "source_id"))
+
+
+# Runs.
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, doc_id % 7 AS source_id, CASE WHEN doc_id % 10 <> 3 THEN {_AT} END AS posted FROM documents),
+v0 AS (SELECT * FROM x WHERE doc_id % 2 = 0), f0 AS (SELECT source_id, max(posted) - INTERVAL 2 DAY AS floor FROM v0 GROUP BY 1),
+new1 AS (SELECT x.* FROM x LEFT JOIN f0 ON x.source_id = f0.source_id WHERE doc_id % 4 = 1 AND (posted IS NULL OR floor IS NULL OR posted >= floor)),
+v1 AS (SELECT * FROM v0 UNION ALL SELECT * FROM new1), f1 AS (SELECT source_id, max(posted) - INTERVAL 2 DAY AS floor FROM v1 GROUP BY 1),
+new2 AS (SELECT x.* FROM x LEFT JOIN f1 ON x.source_id = f1.source_id WHERE doc_id % 4 = 3 AND (posted IS NULL OR floor IS NULL OR posted >= floor))
+SELECT doc_id, source_id, posted AS published_at, CASE WHEN doc_id % 4 = 2 THEN 'Second' ELSE 'First' END AS title FROM (SELECT * FROM v1 UNION ALL SELECT * FROM new2)"""
+)
+def incremental_runs(spark, d):
+    """Two runs over files of candidates: known ones are updated, new ones admitted from the floor of each run on."""
+    i, folder = F.col("doc_id"), shared_folder(spark)
+    rows = _docs(spark, d).select((i % 7).alias("source_id"), i.cast("string").alias("guid"), F.lit("First").alias("title"), F.when(i % 10 != 3, F.col("at")).alias("published_at"), F.lit("exact").alias("date_confidence"), i.alias("pos"))
+    rows.where("pos % 2 = 0").drop("pos").write.parquet(f"{folder}/snapshots/v0")
+    second = rows.where("pos % 4 = 2").withColumn("title", F.lit("Second"))
+    batches = 0
+    for arrived in (rows.where("pos % 4 = 1"), rows.where("pos % 4 = 3").unionByName(second)):
+        arrived.coalesce(1).write.mode("append").parquet(f"{folder}/incoming")
+        batches += incremental.run_once(spark, f"{folder}/incoming", rows.schema, f"{folder}/snapshots", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/snapshots/v{batches}").select(F.col("guid").cast("long").alias("doc_id"), "source_id", "published_at", "title")

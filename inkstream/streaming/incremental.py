@@ -28,22 +28,46 @@ def fresh_candidates(batch: DataFrame, articles: DataFrame, floor: DataFrame) ->
     return rows.where(keep).select(batch.columns)
 
 
+def _folder(spark: SparkSession, path: str):  # noqa: ANN202, objects of the JVM
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _names(spark: SparkSession, path: str) -> set[str]:
+    fs, where = _folder(spark, path)
+    return {x.getPath().getName() for x in fs.listStatus(where)}
+
+
 def last_snapshot(spark: SparkSession, snapshot: str) -> int:
     """The number of the last whole snapshot."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(snapshot)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = {x.getPath().getName() for x in fs.listStatus(path)}
-    return max(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and (n == "v0" or fs.exists(jvm.org.apache.hadoop.fs.Path(f"{snapshot}/{n}/_SUCCESS"))))
+    numbers = sorted((int(n[1:]) for n in _names(spark, snapshot) if n[:1] == "v" and n[1:].isdigit()), reverse=True)
+    whole = lambda n: n == 0 or "_SUCCESS" in _names(spark, f"{snapshot}/v{n}")
+    return next(n for n in numbers if whole(n))
+
+
+_BEGUN = "run-from-"
+
+
+def _begin(spark: SparkSession, snapshot: str) -> int:
+    """The snapshot that this run starts with; a run that failed is taken up with the one it had started with."""
+    begun = [int(n.removeprefix(_BEGUN)) for n in _names(spark, snapshot) if n.startswith(_BEGUN)]
+    number = min(begun, default=None)
+    if number is None:
+        number = last_snapshot(spark, snapshot)
+        fs, where = _folder(spark, f"{snapshot}/{_BEGUN}{number}")
+        fs.mkdirs(where)
+    return number
 
 
 def run_once(spark: SparkSession, incoming: str, schema: T.StructType, snapshot: str, checkpoint: str) -> int:
     """Merge all files that arrived in ``incoming`` into the snapshots under ``snapshot``; returns the number of batches.
 
     Snapshots are v0, v1, ...; a batch reads the last and writes the next one, named by the batch, so a batch that
-    is repeated after a failure writes the same place again.
+    is repeated after a failure writes the same place again.  The folder run-from-N marks a run that isn't finished:
+    when it is taken up after a failure its floor is still that of vN, so the rows are those of a run without failure.
     """
-    start = spark.read.parquet(f"{snapshot}/v{last_snapshot(spark, snapshot)}")
+    begun = _begin(spark, snapshot)
+    start = spark.read.parquet(f"{snapshot}/v{begun}")
     floor = {r["source_id"]: r["floor"] for r in floors(start).collect()} if start.select("source_id").distinct().count() <= 10_000 else None
     kind = T.StructType([T.StructField("source_id", start.schema["source_id"].dataType), T.StructField("floor", T.TimestampNTZType())])
     frozen = spark.createDataFrame(list(floor.items()), kind) if floor is not None else floors(start)
@@ -61,6 +85,8 @@ def run_once(spark: SparkSession, incoming: str, schema: T.StructType, snapshot:
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(incoming)
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    fs, where = _folder(spark, f"{snapshot}/{_BEGUN}{begun}")
+    fs.delete(where, True)
     return len(done)
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from inkstream.plans import archive, rendered
 from inkstream.sources import detection, feeds
+from inkstream.streaming import incremental
 
 OWN = [k for k, f in archive.QUERIES.items() if f.__module__ == rendered.__name__]
 
@@ -50,3 +51,33 @@ def test_a_post_without_a_date_is_dated_by_its_address(spark):
     body = json.dumps([{"id": 1, "link": "https://a.example/2011/04/06/x/"}, {"id": 2, "link": "https://a.example/y/", "date_gmt": "2012-01-02T03:04:05"}])
     got = feeds.rest_posts(spark.createDataFrame([("s", 1, body)], "site string, page int, body string"), datetime(2026, 1, 1)).orderBy("pos").collect()
     assert [(r.date.iso, r.date.source) for r in got] == [(datetime(2011, 4, 6), "url:permalink"), (datetime(2012, 1, 2, 3, 4, 5), "wp:date_gmt")]
+
+
+def test_a_run_taken_up_after_a_failure_gives_the_same_rows(spark, tmp_path, monkeypatch):
+    kind = "source_id long, guid string, title string, published_at timestamp_ntz, date_confidence string"
+    batch = lambda g, at: spark.createDataFrame([(1, g, g, at, "high", 0)], kind + ", pos long").coalesce(1)
+
+    def run(name):
+        top = f"{tmp_path}/{name}"
+        return lambda: incremental.run_once(spark, f"{top}/in", batch("x", None).schema, f"{top}/snap", f"{top}/check")
+
+    for name in ("whole", "broken"):
+        spark.createDataFrame([(1, "a", "A", datetime(2020, 1, 10), "high")], kind).write.parquet(f"{tmp_path}/{name}/snap/v0")
+        batch("new", datetime(2024, 1, 20)).write.mode("append").parquet(f"{tmp_path}/{name}/in")
+        batch("near", datetime(2020, 1, 9)).write.mode("append").parquet(f"{tmp_path}/{name}/in")
+    assert run("whole")() == 2
+    real, calls = incremental.upsert.upsert_articles, []
+
+    def fails_second(*frames):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("an executor is gone")
+        return real(*frames)
+
+    monkeypatch.setattr(incremental.upsert, "upsert_articles", fails_second)
+    with pytest.raises(Exception, match="an executor is gone"):
+        run("broken")()
+    assert run("broken")() == 1  # the second batch only
+    guids = lambda name: sorted(r.guid for r in spark.read.parquet(f"{tmp_path}/{name}/snap/v2").collect())
+    assert guids("broken") == guids("whole") == ["a", "near", "new"]
+    assert not [n for n in incremental._names(spark, f"{tmp_path}/broken/snap") if n.startswith("run-from-")]
