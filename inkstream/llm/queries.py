@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, html_text, jaccard, line_dedup, mixing, secret_scan, token_counts, toxicity
+from . import chat, decontaminate, exact_dedup, html_text, jaccard, lexical_search, line_dedup, mixing, packing, secret_scan, token_counts, toxicity, vector_codes
 from .store import table
 
 
@@ -51,8 +51,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pfair_mix, op2_toxicity, op3_decontaminate, op4_token_counts, op5_exact_dedup, op6_chat_format, op7_jaccard_join, op8_html_text, op9_secret_scan, op10_line_dedup)
+    own = (op1_pfair_mix, op2_toxicity, op3_decontaminate, op4_token_counts, op5_exact_dedup, op6_chat_format, op7_jaccard_join, op8_html_text, op9_secret_scan, op10_line_dedup, op11_vector_codes, op12_best_fit_packing, op13_lexical_search)
     return {f.__name__: f for f in own}
 
 
@@ -62,4 +74,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": exact_dedup.SQL,
         "op6_chat_format": chat.SQL,
         "op10_line_dedup": line_dedup.SQL,
+        "op11_vector_codes": vector_codes.SQL,
+        "op13_lexical_search": lexical_search.SQL,
     }
