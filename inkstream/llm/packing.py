@@ -14,8 +14,8 @@ Spark numbers the pieces of a length: each task numbers its own while it encodes
 over tasks come before them.  A piece's place follows from its number by arithmetic.  No group of equal lengths is gathered.
 
 Ids are those of the ``tokenizers`` library.  Its own splitting into pre-tokens is slow, so words are cut by the same
-pattern here and each distinct word is encoded once by the library's model; a character for which the library splits
-otherwise (each is tried before its first use) sends the text to the library whole, and so does the string of an added token.
+pattern here, with the kinds of characters (letter, digit, space) asked from the library before their first use, and each distinct
+word is encoded once by the library's model.  A text with the string of an added token goes to the library whole.
 
 Null and empty texts are the end id alone.  Repeated rows are packed each; a null id stays null.  An empty table gives no
 rows.  Extra columns are ignored.  Ids of any type are kept.
@@ -23,6 +23,8 @@ rows.  Extra columns are ignored.  Ids of any type are kept.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,46 +37,67 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from .store import materialise, maybe_broadcast
-from .token_counts import PATTERN
 
 MOST, END = 1024, 2
-_CACHED = 200_000
+_CACHED = 250_000
+
+
+class _Known(dict):
+    """Ids of words.  What wasn't used since the last change of generations goes at the next one, so memory is bounded."""
+
+    def __init__(self, encode):
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= _CACHED:
+            self.old = dict(self)
+            self.clear()
+        out = self[word] = self.old.get(word) or self.encode(word)
+        return out
 
 
 class _Encoder:
     """Token ids of a text as the bytes of little-endian unsigned 32-bit numbers."""
 
     def __init__(self, vocabulary: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(vocabulary)
-        self.model, self.split = self.whole.model, self.whole.pre_tokenizer.pre_tokenize_str
-        self.words = regex.compile(PATTERN).findall
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # How byte-level models write a byte: as the Latin-1 character if that is visible, else as the next one from U+0100 on.
         seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        self.shown = dict(zip([*seen, *sorted(set(range(256)).difference(seen))], [*seen, *range(0x100, 0x144)], strict=True))
-        self.tried: dict[str, bool] = {}
-        self.known: dict[str, bytes] = {}
-
-    def _alike(self, c: str) -> bool:
-        """Whether pattern and library put this character into the same class."""
-        probe = f"a{c}1{c}!{c} {c}{c}\n{c}"
-        return self.words(probe) == [probe[a:b] for _, (a, b) in self.split(probe)]
+        shown = dict(zip([*seen, *sorted(set(range(256)).difference(seen))], [*seen, *range(0x100, 0x144)], strict=True))
+        tokenize = self.whole.model.tokenize
+
+        def one(word: str) -> bytes:
+            ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(shown))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        self.known, self.ranges, self.tried = _Known(one), {"letter": [], "digit": [], "other": [], "space": []}, set()
+        self._learn(set(map(chr, range(0x250))))
+
+    def _learn(self, characters: set[str]) -> None:
+        """The kind of each character of these blocks of 256, as the library parts it from one of a known kind; the pattern with these kinds."""
+        split = self.whole.pre_tokenizer.pre_tokenize_str
+        for block in sorted({ord(c) >> 8 for c in characters}):
+            for c in map(chr, range(block << 8, (block + 1) << 8)):
+                kind = next((k for k, known in (("letter", "a"), ("digit", "1"), ("other", "!")) if len(split(known + c)) == 1), "space")
+                own = self.ranges[kind]
+                if own and ord(own[-1][1]) + 1 == ord(c):
+                    own[-1] = (own[-1][0], c)
+                else:
+                    own.append((c, c))
+                self.tried.add(c)
+        letter, digit, space = ("".join(f"{re.escape(a)}-{re.escape(b)}" for a, b in self.ranges[k]) for k in ("letter", "digit", "space"))
+        # Fixed: how byte-level vocabularies of this kind part text before merging.
+        self.words = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+").findall
 
     def __call__(self, text: str) -> bytes:
-        for c in set(text).difference(self.tried):
-            self.tried[c] = self._alike(c)
-        if any(t in text for t in self.added) or not all(map(self.tried.__getitem__, set(text))):
+        if any(t in text for t in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.known) > _CACHED:
-            self.known.clear()
-        words, known = self.words(text), self.known
-        for word in set(words).difference(known):
-            shown = word.encode().decode("latin-1").translate(self.shown)
-            known[word] = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        if new := set(text).difference(self.tried):
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, self.words(text)))
 
 
 @lru_cache(maxsize=2)
