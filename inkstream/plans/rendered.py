@@ -19,7 +19,7 @@ from ..functions import anchors, bytes_text, html, text, urls
 from ..operators import schedule, upsert
 from ..session import configure, shared_folder
 from ..sources import content, detection, epub, feeds, sinks
-from ..streaming import incremental
+from ..streaming import incremental, parts, stateful
 from .archive import NOW, NOW_PAGES, query
 from .reading import _AT, _docs, _id
 
@@ -318,10 +318,49 @@ def incremental_runs(spark, d):
     """Two runs over files of candidates: known ones are updated, new ones admitted from the floor of each run on."""
     i, folder = F.col("doc_id"), shared_folder(spark)
     rows = _docs(spark, d).select((i % 7).alias("source_id"), i.cast("string").alias("guid"), F.lit("First").alias("title"), F.when(i % 10 != 3, F.col("at")).alias("published_at"), F.lit("exact").alias("date_confidence"), i.alias("pos"))
-    rows.where("pos % 2 = 0").drop("pos").write.parquet(f"{folder}/snapshots/v0")
+    parts.create(rows.where("pos % 2 = 0").drop("pos"), f"{folder}/archive", 16)
     second = rows.where("pos % 4 = 2").withColumn("title", F.lit("Second"))
     batches = 0
     for arrived in (rows.where("pos % 4 = 1"), rows.where("pos % 4 = 3").unionByName(second)):
         arrived.coalesce(1).write.mode("append").parquet(f"{folder}/incoming")
-        batches += incremental.run_once(spark, f"{folder}/incoming", rows.schema, f"{folder}/snapshots", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/snapshots/v{batches}").select(F.col("guid").cast("long").alias("doc_id"), "source_id", "published_at", "title")
+        batches += incremental.run_once(spark, f"{folder}/incoming", rows.schema, f"{folder}/archive", f"{folder}/checkpoint")
+    return parts.read(spark, f"{folder}/archive", batches).select(F.col("guid").cast("long").alias("doc_id"), "source_id", "published_at", "title")
+
+
+@query("SELECT DISTINCT user_id AS source_id, event_id % 40 AS post FROM events")
+def arrivals_once(spark, d):
+    """Announcements in the order of their time, by several routes and in two runs of a stream: each post of a source comes out once."""
+    folder, rows = shared_folder(spark), spark.read.parquet(f"{d}/events.parquet")
+    rows = rows.select(F.col("user_id").alias("source_id"), (F.col("event_id") % 40).cast("string").alias("guid"), F.col("ts").cast("timestamp_ntz").alias("at"))
+    for k in range(4):
+        # Restarted from its checkpoint after the second file.
+        rows.where(F.pmod(F.dayofyear("at"), F.lit(4)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/incoming")
+        if k % 2:
+            stateful.keep_state(spark)
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/incoming")
+            out = stateful.once(stream, "at", "1000 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+            out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("source_id", F.col("guid").cast("long").alias("post"))
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, doc_id % 7 AS source_id, doc_id % 8 = 5 AS known, CASE WHEN doc_id % 3 = 0 THEN {_AT} END AS posted, CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 2 END AS run FROM documents WHERE doc_id % 8 <> 7),
+f AS (SELECT source_id, max(posted) - INTERVAL 30 DAY AS floor FROM x WHERE known GROUP BY 1),
+u AS (SELECT doc_id, row_number() OVER (PARTITION BY run, source_id ORDER BY doc_id % 4, doc_id) AS rk FROM x WHERE posted IS NULL AND NOT known)
+SELECT x.doc_id, x.source_id, x.run FROM x LEFT JOIN f ON x.source_id = f.source_id LEFT JOIN u ON x.doc_id = u.doc_id
+WHERE known OR (posted IS NOT NULL AND (floor IS NULL OR posted >= floor)) OR (x.source_id > 0 AND rk <= 3 * x.source_id)"""
+)
+def undated_allowance(spark, d):
+    """What two runs of two batches each take: known posts, dated ones from a floor on, and of each source the run's first undated ones up to its limit."""
+    i, folder = F.col("doc_id"), shared_folder(spark)
+    rows = _docs(spark, d).where(i % 8 != 7).select((i % 7).alias("source_id"), i.cast("string").alias("guid"), F.when(i % 3 == 0, F.col("at")).alias("published_at"), i.alias("pos"))
+    known = rows.where("pos % 8 = 5")
+    floor = known.groupBy("source_id").agg((F.max("published_at") - F.expr("INTERVAL '30' DAY")).alias("floor"))
+    limits = spark.createDataFrame([(k, 3 * k) for k in range(1, 7)], "source_id long, n long")
+    for k in range(4):
+        rows.where(F.col("pos") % 4 == k).coalesce(1).write.mode("append").parquet(f"{folder}/incoming")
+        if k % 2:
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/incoming")
+            taken = stateful.admitted(stream, known, floor, limits, k // 2 + 1).withColumn("run", F.lit(k // 2 + 1))
+            taken.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(F.col("guid").cast("long").alias("doc_id"), "source_id", "run")

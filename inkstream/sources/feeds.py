@@ -184,8 +184,3 @@ def index_slugs(pages: DataFrame, pattern: str, denied: tuple[str, ...]) -> Data
     """A hand-written index: slugs by a pattern, in order, each once."""
     found = pages.select("url", F.posexplode(F.regexp_extract_all("body", F.lit(pattern), 1)).alias("pos", "slug")).where(~F.col("slug").isin(*denied))
     return found.groupBy("url", "slug").agg(F.min("pos").alias("pos"))
-
-
-def route_of(has_recipe: Column, has_api: Column, has_ghost: Column, section: Column, has_sitemap: Column) -> Column:
-    """How a site is read, from what its probes found."""
-    return F.when(has_recipe, "recipe").when(has_api, "wordpress").when(has_ghost, "ghost").when(section, "section").when(has_sitemap, "sitemap").otherwise("generic")

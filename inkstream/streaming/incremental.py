@@ -1,18 +1,17 @@
-"""Incremental runs: candidates arrive as files, each micro-batch is merged into the archive's snapshot.
+"""Incremental runs: candidates arrive as files, each micro-batch is merged into the parts of the archive that it touches.
 
-The floor (newest stored date of a source less two days) is fixed when the run starts, so a watermark, which
-moves during a run, would drop other rows; the batch function uses the frozen floor instead.
+The floor (newest stored date of a source less two days) and what is known are fixed when the run starts, so a watermark, which
+moves during a run, would drop other rows; the stream is filtered by the frozen floor instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import merge, upsert
+from ..operators import merge
+from . import parts, stateful
 
 
 def floors(articles: DataFrame) -> DataFrame:
@@ -33,70 +32,44 @@ def _folder(spark: SparkSession, path: str):  # noqa: ANN202, objects of the JVM
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def _names(spark: SparkSession, path: str) -> set[str]:
-    fs, where = _folder(spark, path)
-    return {x.getPath().getName() for x in fs.listStatus(where)}
-
-
-def last_snapshot(spark: SparkSession, snapshot: str) -> int:
-    """The number of the last whole snapshot."""
-    numbers = sorted((int(n[1:]) for n in _names(spark, snapshot) if n[:1] == "v" and n[1:].isdigit()), reverse=True)
-    whole = lambda n: n == 0 or "_SUCCESS" in _names(spark, f"{snapshot}/v{n}")
-    return next(n for n in numbers if whole(n))
-
-
 _BEGUN = "run-from-"
 
 
-def _begin(spark: SparkSession, snapshot: str) -> int:
-    """The snapshot that this run starts with; a run that failed is taken up with the one it had started with."""
-    begun = [int(n.removeprefix(_BEGUN)) for n in _names(spark, snapshot) if n.startswith(_BEGUN)]
-    number = min(begun, default=None)
-    if number is None:
-        number = last_snapshot(spark, snapshot)
-        fs, where = _folder(spark, f"{snapshot}/{_BEGUN}{number}")
-        fs.mkdirs(where)
+def _begin(spark: SparkSession, archive: str) -> int:
+    """The state that this run starts with, its floors written beside it; a run that failed is taken up with the one it had started with."""
+    fs, top = _folder(spark, archive)
+    begun = [n.removeprefix(_BEGUN) for n in (x.getPath().getName() for x in fs.listStatus(top)) if n.startswith(_BEGUN)]
+    whole = [int(n) for n in begun if fs.exists(_folder(spark, f"{archive}/{_BEGUN}{n}/_SUCCESS")[1])]
+    if whole:
+        return min(whole)
+    number = parts.last(spark, archive)
+    floors(parts.read(spark, archive, number)).write.mode("overwrite").parquet(f"{archive}/{_BEGUN}{number}")
     return number
 
 
-def run_once(spark: SparkSession, incoming: str, schema: T.StructType, snapshot: str, checkpoint: str) -> int:
-    """Merge all files that arrived in ``incoming`` into the snapshots under ``snapshot``; returns the number of batches.
+def run_once(spark: SparkSession, incoming: str, schema: T.StructType, archive: str, checkpoint: str, limits: DataFrame | None = None) -> int:
+    """Merge all files that arrived in ``incoming`` into the archive of ``parts``; returns the number of batches.
 
-    Snapshots are v0, v1, ...; a batch reads the last and writes the next one, named by the batch, so a batch that
-    is repeated after a failure writes the same place again.  The folder run-from-N marks a run that isn't finished:
-    when it is taken up after a failure its floor is still that of vN, so the rows are those of a run without failure.
+    A batch is named by its number, so one that is repeated after a failure writes the same places again.  The folder run-from-N
+    marks a run that isn't finished and holds its floors: when it is taken up after a failure, floor, known articles and the counts of
+    undated posts are those it had, so the rows are those of a run without failure.  ``limits`` (source_id, n) bounds the undated
+    unknown posts that a run takes of a source; without it all are taken.
     """
-    begun = _begin(spark, snapshot)
-    start = spark.read.parquet(f"{snapshot}/v{begun}")
-    floor = {r["source_id"]: r["floor"] for r in floors(start).collect()} if start.select("source_id").distinct().count() <= 10_000 else None
-    kind = T.StructType([T.StructField("source_id", start.schema["source_id"].dataType), T.StructField("floor", T.TimestampNTZType())])
-    frozen = spark.createDataFrame(list(floor.items()), kind) if floor is not None else floors(start)
+    begun = _begin(spark, archive)
+    known, frozen = parts.read(spark, archive, begun).select("source_id", "guid"), spark.read.parquet(f"{archive}/{_BEGUN}{begun}")
     done: list[int] = []
 
     def apply(batch: DataFrame, number: int) -> None:
-        current = spark.read.parquet(f"{snapshot}/v{number}")
-        wanted = fresh_candidates(batch, current, frozen)
         # A guid that comes twice in a batch: the more confident date, then the first.
         rank = F.struct(merge.confidence_rank(F.col("date_confidence")).alias("k"), (-F.col("pos")).alias("p"))
         rest = [c for c in batch.columns if c not in ("source_id", "guid")]
-        one = wanted.groupBy("source_id", "guid").agg(F.max_by(F.struct(*rest), rank).alias("x")).select("source_id", "guid", "x.*").drop("pos")
-        upsert.upsert_articles(current, one).write.mode("overwrite").parquet(f"{snapshot}/v{number + 1}")
+        one = batch.groupBy("source_id", "guid").agg(F.max_by(F.struct(*rest), rank).alias("x")).select("source_id", "guid", "x.*").drop("pos")
+        parts.merge(spark, archive, one, number)
         done.append(number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(incoming)
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    fs, where = _folder(spark, f"{snapshot}/{_BEGUN}{begun}")
+    taken = stateful.admitted(stream, known, frozen, limits, begun)
+    taken.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    fs, where = _folder(spark, f"{archive}/{_BEGUN}{begun}")
     fs.delete(where, True)
     return len(done)
-
-
-def deduplicated_stream(stream: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Each guid of a source once, with state that goes when a watermark has passed."""
-    timed = stream.withColumn("at", F.col("published_at").cast("timestamp"))
-    return timed.withWatermark("at", delay).dropDuplicatesWithinWatermark(["source_id", "guid"])
-
-
-def in_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """One run over what is there, as a sync does."""
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-

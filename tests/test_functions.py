@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkstream.functions import anchors, bytes_text, dates, html, html_tree, text, urls
 from inkstream.sources import epub, feeds, plugins
-from inkstream.streaming import incremental
+from inkstream.streaming import incremental, parts
 
 NOW = datetime(2026, 9, 5, 12)
 
@@ -164,30 +164,30 @@ def test_plugin_source(spark, tmp_path):
 
 def test_incremental_run(spark, tmp_path):
     kind = "source_id long, guid string, title string, published_at timestamp_ntz, date_confidence string"
-    spark.createDataFrame([(1, "a", "A", datetime(2020, 1, 10), "high")], kind).write.parquet(f"{tmp_path}/snap/v0")
+    parts.create(spark.createDataFrame([(1, "a", "A", datetime(2020, 1, 10), "high")], kind), f"{tmp_path}/snap")
     rows = [(1, "a", "A2", datetime(2020, 1, 9), "medium", 0), (1, "old", "O", datetime(2020, 1, 1), "high", 1), (1, "new", "N", datetime(2020, 1, 20), "high", 2), (1, "undated", "U", None, "unknown", 3), (2, "x", "X", datetime(2000, 1, 1), "high", 4)]
     new = spark.createDataFrame(rows, kind + ", pos long")
     new.coalesce(1).write.parquet(f"{tmp_path}/in")
     n = incremental.run_once(spark, f"{tmp_path}/in", new.schema, f"{tmp_path}/snap", f"{tmp_path}/check")
-    got = {r.guid: r.title for r in spark.read.parquet(f"{tmp_path}/snap/v{n}").collect()}
+    got = {r.guid: r.title for r in parts.read(spark, f"{tmp_path}/snap", n).collect()}
     assert got == {"a": "A2", "new": "N", "undated": "U", "x": "X"}
     assert incremental.run_once(spark, f"{tmp_path}/in", new.schema, f"{tmp_path}/snap", f"{tmp_path}/check") == 0
 
 
 def test_the_floor_is_that_of_the_last_snapshot(spark, tmp_path):
     kind = "source_id long, guid string, title string, published_at timestamp_ntz, date_confidence string"
-    spark.createDataFrame([(1, "a", "A", datetime(2020, 1, 10), "high")], kind).write.parquet(f"{tmp_path}/snap/v0")
+    parts.create(spark.createDataFrame([(1, "a", "A", datetime(2020, 1, 10), "high")], kind), f"{tmp_path}/snap")
     batch = lambda *rows: spark.createDataFrame([(1, g, g, at, "high", k) for k, (g, at) in enumerate(rows)], kind + ", pos long").coalesce(1)
     run = lambda: incremental.run_once(spark, f"{tmp_path}/in", batch(("x", None)).schema, f"{tmp_path}/snap", f"{tmp_path}/check")
     batch(("new", datetime(2024, 1, 20))).write.mode("append").parquet(f"{tmp_path}/in")
-    assert run() == 1 and incremental.last_snapshot(spark, f"{tmp_path}/snap") == 1
+    assert run() == 1 and parts.last(spark, f"{tmp_path}/snap") == 1
     batch(("late", datetime(2021, 5, 1)), ("next", datetime(2024, 1, 19)), ("a", datetime(2020, 1, 11))).write.mode("append").parquet(f"{tmp_path}/in")
     assert run() == 1
-    got = spark.read.parquet(f"{tmp_path}/snap/v2")
+    got = parts.read(spark, f"{tmp_path}/snap", 2)
     assert sorted(r.guid for r in got.collect()) == ["a", "new", "next"]
     # A snapshot that was not written whole is none, and a batch that is repeated gives the same one.
-    (tmp_path / "snap" / "v3").mkdir()
-    assert incremental.last_snapshot(spark, f"{tmp_path}/snap") == 2
+    (tmp_path / "snap" / "state-3").mkdir()
+    assert parts.last(spark, f"{tmp_path}/snap") == 2
 
 
 def test_interpolated_dates_in_pandas_and_in_columns(spark):

@@ -7,7 +7,7 @@ import pytest
 
 from inkstream.plans import archive, rendered
 from inkstream.sources import detection, feeds
-from inkstream.streaming import incremental
+from inkstream.streaming import incremental, parts
 
 OWN = [k for k, f in archive.QUERIES.items() if f.__module__ == rendered.__name__]
 
@@ -62,11 +62,11 @@ def test_a_run_taken_up_after_a_failure_gives_the_same_rows(spark, tmp_path, mon
         return lambda: incremental.run_once(spark, f"{top}/in", batch("x", None).schema, f"{top}/snap", f"{top}/check")
 
     for name in ("whole", "broken"):
-        spark.createDataFrame([(1, "a", "A", datetime(2020, 1, 10), "high")], kind).write.parquet(f"{tmp_path}/{name}/snap/v0")
+        parts.create(spark.createDataFrame([(1, "a", "A", datetime(2020, 1, 10), "high")], kind), f"{tmp_path}/{name}/snap")
         batch("new", datetime(2024, 1, 20)).write.mode("append").parquet(f"{tmp_path}/{name}/in")
         batch("near", datetime(2020, 1, 9)).write.mode("append").parquet(f"{tmp_path}/{name}/in")
     assert run("whole")() == 2
-    real, calls = incremental.upsert.upsert_articles, []
+    real, calls = parts.upsert.upsert_articles, []
 
     def fails_second(*frames):
         calls.append(1)
@@ -74,10 +74,10 @@ def test_a_run_taken_up_after_a_failure_gives_the_same_rows(spark, tmp_path, mon
             raise OSError("an executor is gone")
         return real(*frames)
 
-    monkeypatch.setattr(incremental.upsert, "upsert_articles", fails_second)
+    monkeypatch.setattr(parts.upsert, "upsert_articles", fails_second)
     with pytest.raises(Exception, match="an executor is gone"):
         run("broken")()
     assert run("broken")() == 1  # the second batch only
-    guids = lambda name: sorted(r.guid for r in spark.read.parquet(f"{tmp_path}/{name}/snap/v2").collect())
+    guids = lambda name: sorted(r.guid for r in parts.read(spark, f"{tmp_path}/{name}/snap", 2).collect())
     assert guids("broken") == guids("whole") == ["a", "near", "new"]
-    assert not [n for n in incremental._names(spark, f"{tmp_path}/broken/snap") if n.startswith("run-from-")]
+    assert not list((tmp_path / "broken" / "snap").glob("run-from-*"))
