@@ -19,7 +19,7 @@ VIEWS = {
   SELECT d.doc_id AS article_id,
     CAST(substring(d.source, 4) AS BIGINT) AS source_id,
     concat('https://', d.source, '.example/', CAST(d.doc_id AS STRING)) AS guid,
-    substring(d.text, 1, 60) AS title,
+    split_part(d.text, '.', 1) AS title,
     d.text AS body,
     CASE WHEN d.doc_id % 10 = 0 THEN NULL WHEN d.doc_id % 10 = 1 THEN CAST(date_trunc('month', o.o_orderdate) AS TIMESTAMP) WHEN d.doc_id % 10 = 2 THEN CAST(date_trunc('year', o.o_orderdate) AS TIMESTAMP) ELSE o.o_orderdate END AS published_at,
     CASE WHEN d.doc_id % 10 = 0 THEN 'unknown' WHEN d.doc_id % 10 = 1 THEN 'month' WHEN d.doc_id % 10 = 2 THEN 'year' ELSE 'day' END AS date_precision,

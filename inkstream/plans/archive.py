@@ -38,7 +38,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def archive(spark: SparkSession, d: str) -> DataFrame:
     rows = queue.joined(*(view(spark, d, f"fx_{t}") for t in ("articles", "sources", "reading_state", "highlights", "notes")))
-    return rows.withColumn("excerpt", F.substring("body", 61, 200))
+    return rows.withColumn("excerpt", text.make_excerpt(F.col("body")))
 
 
 SHOWN = ["article_id", "source_id", "source_name", "title", "published_at", "date_precision", "date_confidence", "content_status", "source_order", "read_at", "favourite_at", "skipped_at", "highlight_count", "note_count", "note_body", "first_mark"]
@@ -78,25 +78,29 @@ def _where(scope: str = "all", hide: bool = False, extra: str = "") -> str:
     return out + extra
 
 
-def _queue_sql(scope: str = "all", newest: bool = False, limit: int = 40, offset: int = 0, **how) -> str:
-    return f"WITH {_JOINED} SELECT {', '.join(SHOWN)} FROM j WHERE {_where(scope, **how)} ORDER BY {_order(newest)} LIMIT {limit} OFFSET {offset}"
+def _queue_sql(scope: str = "all", newest: bool = False, limit: int | None = 40, offset: int = 0, **how) -> str:
+    page = f"LIMIT {limit} OFFSET {offset}" if limit else ""
+    return f"WITH {_JOINED} SELECT {', '.join(SHOWN)} FROM j WHERE {_where(scope, **how)} ORDER BY {_order(newest)} {page}"
 
 
 def _register_queue(name: str, sql: str, limit: int | None = 40, **how) -> None:
     query(sql, name)(lambda spark, d: queue.queue(archive(spark, d), limit=limit, **how).select(SHOWN))
 
 
-# Whole scopes have no limit; the one in their SQL bites only on tables of more than 10,000 articles.
+_BODY = r"trim(regexp_replace(coalesce(body, ''), '\s+', ' ', 'g'))"
+_EXCERPT = f"CASE WHEN length({_BODY}) <= 260 THEN {_BODY} WHEN contains({_BODY}[1:260], ' ') THEN regexp_replace({_BODY}[1:260], ' [^ ]*$', '') || '…' ELSE {_BODY}[1:260] || '…' END"
+
+# Pages of 40, and whole scopes.
 _register_queue("queue_all_oldest", _queue_sql())
 _register_queue("queue_all_newest", _queue_sql(newest=True), newest_first=True)
 for _scope in ("unread", "read", "favourites", "skipped", "annotated", "highlighted"):
-    _register_queue(f"queue_{_scope}", _queue_sql(_scope, limit=10_000), limit=None, scope=_scope)
-_register_queue("queue_hide_read", _queue_sql(hide=True, limit=10_000), limit=None, hide_read=True)
-_register_queue("queue_by_source", _queue_sql(extra=" AND source_id = 4", limit=10_000), limit=None, source_id=4)
+    _register_queue(f"queue_{_scope}", _queue_sql(_scope, limit=None), limit=None, scope=_scope)
+_register_queue("queue_hide_read", _queue_sql(hide=True, limit=None), limit=None, hide_read=True)
+_register_queue("queue_by_source", _queue_sql(extra=" AND source_id = 4", limit=None), limit=None, source_id=4)
 _register_queue("queue_page2", _queue_sql(offset=40), offset=40)
 _register_queue(
     "queue_search_prefix",
-    _queue_sql(extra=" AND regexp_matches(lower(title || ' ' || body[61:260]), '(^|[^\\p{L}\\p{N}])th') AND regexp_matches(lower(title || ' ' || body[61:260]), '(^|[^\\p{L}\\p{N}])an')", limit=10_000),
+    _queue_sql(extra="".join(f" AND regexp_matches(lower(title || ' ' || {_EXCERPT}), '(^|[^\\p{{L}}\\p{{N}}]){w}')" for w in ("th", "an")), limit=None),
     limit=None,
     search="th an",
 )
@@ -464,12 +468,14 @@ def listing_dates(spark, d):
     return dates.listing_dates(_listing(spark, d), NOW_PAGES).select("page_url", "pos", "published_at")
 
 
-_INDEX = "x AS (SELECT source_id, article_id, published_at, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC NULLS FIRST, article_id) AS k FROM fx_articles), y AS (SELECT source_id, k * 7919 % 1009 AS pos, article_id, published_at FROM x)"
+_INDEX = "x AS (SELECT source_id, article_id, published_at, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC NULLS FIRST, article_id) AS k FROM fx_articles), y AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY k * 7919 % 1009, k) AS pos, article_id, published_at FROM x)"
 
 
 def _bracket_rows(spark: SparkSession, d: str) -> DataFrame:
     over = Window.partitionBy("source_id").orderBy(F.col("published_at").desc_nulls_first(), "article_id")
-    return view(spark, d, "fx_articles").withColumn("pos", F.row_number().over(over).cast("long") * 7919 % 1009).select("source_id", "pos", "published_at")
+    rows = view(spark, d, "fx_articles").withColumn("k", F.row_number().over(over).cast("long"))
+    mixed = Window.partitionBy("source_id").orderBy(F.col("k") * 7919 % 1009, "k")
+    return rows.withColumn("pos", F.row_number().over(mixed).cast("long")).select("source_id", "pos", "published_at")
 
 
 @query(

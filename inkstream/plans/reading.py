@@ -22,7 +22,7 @@ NTZ = "timestamp_ntz"
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     at = F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(CAST(doc_id % 1400 AS INT), CAST(doc_id % 24 AS INT), CAST(doc_id % 60 AS INT))")
-    return spark.read.parquet(f"{d}/documents.parquet").select(i, (i % 20).cast("string").alias("site"), at.alias("at"), "text")
+    return spark.read.parquet(f"{d}/documents.parquet").select(i, (i % 20).cast("string").alias("site"), F.expr("CAST(doc_id div 500 + 1 AS INT)").alias("page"), at.alias("at"), "text")
 
 
 _AT = "TIMESTAMP '2020-01-01 00:00:00' + to_days(CAST(doc_id % 1400 AS INTEGER)) + to_hours(doc_id % 24) + to_minutes(doc_id % 60)"
@@ -41,14 +41,14 @@ def _id(before: str, after: str = "") -> Column:
 
 def _entry() -> Column:
     stamp = F.concat(F.date_format("at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0200"))
-    body = F.concat(F.lit("<p>"), F.replace(F.substring("text", 1, 200), F.lit("]]>"), F.lit("")), F.lit("</p>"))
+    body = F.concat(F.lit("<p>"), F.replace(F.col("text"), F.lit("]]>"), F.lit("")), F.lit("</p>"))
     parts = [_id("<item><title>&Eacute;t&eacute; &amp; fils &#35;", "</title>"), _id("<link>https://s.example/p/", "?a=1&amp;b=2</link>"), F.concat(F.lit("<pubDate>"), stamp, F.lit("</pubDate>")), F.concat(F.lit("<content:encoded><![CDATA["), body, F.lit("]]></content:encoded></item>"))]
     return F.concat(*parts)
 
 
-@query(f"SELECT {_SITE} AS site, 'https://s.example/p/' || doc_id || '?a=1&b=2' AS link, 'Été & fils #' || doc_id AS title, {_AT} - INTERVAL 2 HOUR AS published_at, 'day' AS precision, '<p>' || replace(text[1:200], ']]>', '') || '</p>' AS html FROM documents")
+@query(f"SELECT {_SITE} AS site, 'https://s.example/p/' || doc_id || '?a=1&b=2' AS link, 'Été & fils #' || doc_id AS title, {_AT} - INTERVAL 2 HOUR AS published_at, 'day' AS precision, '<p>' || replace(text, ']]>', '') || '</p>' AS html FROM documents")
 def feed_entries(spark, d):
-    made = _joined(_docs(spark, d), ["site"], _entry(), "<rss><channel>", "</channel></rss>", "xml").withColumn("page", F.lit(1))
+    made = _joined(_docs(spark, d), ["site", "page"], _entry(), "<rss><channel>", "</channel></rss>", "xml")
     got = feeds.feed_items(made, NOW_PAGES)
     return got.select("site", "link", "title", F.col("date.iso").alias("published_at"), F.col("date.precision").alias("precision"), "html")
 
@@ -57,7 +57,7 @@ def feed_entries(spark, d):
 def atom_entries(spark, d):
     stamp = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     item = F.concat(_id("<entry ><title type='text'><![CDATA[Two ", "]]></title>"), _id("<link rel='self' href='x'/><link rel='alternate' href='https://a.example/", "'/>"), F.lit("<published>"), stamp, F.lit("</published></entry>"))
-    got = feeds.feed_items(_joined(_docs(spark, d), ["site"], item, "<feed>", "</feed>", "xml").withColumn("page", F.lit(1)), NOW_PAGES)
+    got = feeds.feed_items(_joined(_docs(spark, d), ["site", "page"], item, "<feed>", "</feed>", "xml"), NOW_PAGES)
     return got.select("site", "title", "link", F.col("date.iso").alias("published_at"))
 
 
@@ -68,21 +68,22 @@ def feed_pages(spark, d):
     return feeds.read_feed(_joined(rows, ["site", "page"], _entry(), "<rss>", "</rss>", "xml"), NOW_PAGES, limit=8).select("site", "guid")
 
 
-@query(f"SELECT site, row_number() OVER (PARTITION BY site ORDER BY child, doc_id) AS pos, 'https://s.example/' || doc_id AS url, strftime(stamp, '%Y-%m-%d') AS lastmod FROM (SELECT {_SITE} AS site, doc_id, CAST(doc_id // 20 % 3 AS INTEGER) AS child, {_AT} AS stamp FROM documents)")
+@query(f"SELECT site, row_number() OVER (PARTITION BY site ORDER BY child, doc_id) AS pos, 'https://s.example/' || doc_id AS url, strftime(stamp, '%Y-%m-%d') AS lastmod FROM (SELECT {_SITE} AS site, doc_id, CAST(doc_id // 20 % 4 AS INTEGER) AS child, {_AT} AS stamp FROM documents) WHERE child < 3")
 def sitemap_urls(spark, d):
-    docs = _docs(spark, d).withColumn("child", F.expr("CAST(doc_id div 20 % 3 AS INT)"))
-    entry = F.concat(_id("<url><loc> https://s.example/", "</loc>"), F.lit("<lastmod>"), F.date_format("at", "yyyy-MM-dd"), F.lit("</lastmod></url>"))
+    """Of an index the first 50 children, of these the ones that can hold posts; files and other schemes are no posts."""
+    docs = _docs(spark, d).withColumn("child", F.expr("CAST(doc_id div 20 % 4 AS INT)"))
+    entry = F.concat(_id("<url><loc> https://s.example/", "</loc>"), F.lit("<lastmod>"), F.date_format("at", "yyyy-MM-dd"), F.lit("</lastmod></url>"), _id("<url><loc>https://s.example/", ".pdf</loc></url><url><loc>ftp://s.example/x</loc></url><url><loc>/relative</loc></url>"))
     children = _joined(docs, ["site", "child"], entry, "<urlset>", "</urlset>", "body").select(F.concat("site", F.lit("/"), F.col("child").cast("string")).alias("url"), "body")
     loc = lambda x: F.concat(F.lit("<sitemap><loc>"), x, F.lit("</loc></sitemap>"))
     sites = docs.select("site").distinct()
-    roots = sites.select(F.concat(F.lit("root"), "site").alias("url"), F.concat(F.lit("<sitemapindex>"), *(loc(F.concat("site", F.lit(f"/{k}"))) for k in range(3)), loc(F.lit("x/image-sitemap.xml")), F.lit("</sitemapindex>")).alias("body"))
+    roots = sites.select(F.concat(F.lit("root"), "site").alias("url"), F.concat(F.lit("<sitemapindex>"), *(loc(F.concat("site", F.lit(f"/{k}"))) for k in range(3)), *[loc(F.lit("x/image-sitemap.xml"))] * 47, loc(F.concat("site", F.lit("/3"))), F.lit("</sitemapindex>")).alias("body"))
     got = feeds.read_sitemaps(children.unionByName(roots), sites.select("site", F.concat(F.lit("root"), "site").alias("url")))
     return got.select("site", F.col("pos").cast("long").alias("pos"), "url", "lastmod")
 
 
 @query("SELECT doc_id, ['https://s.example/' || doc_id || '.xml', 'https://t.example/x'] AS found FROM documents")
 def robots_files(spark, d):
-    body = F.concat(F.lit("User-agent: *\nDisallow:\r\nSITEMAP:  "), _id("https://s.example/", ".xml"), F.lit("\nSitemap: https://t.example/x"))
+    body = F.concat(F.lit("User-agent: *\nDisallow:\r\nSITEMAP:  "), _id("https://s.example/", ".xml"), F.lit("\nSitemap: /relative.xml\nSitemap: https://t.example/x"))
     return _docs(spark, d).select("doc_id", feeds.robots_sitemaps(body).alias("found"))
 
 
@@ -100,7 +101,7 @@ def rest_api_posts(spark, d):
     stamp = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss")
     post = F.to_json(F.struct(F.col("doc_id").alias("id"), stamp.alias("date_gmt"), _id("https://www.s.example/", "/").alias("link"), F.when(F.col("doc_id") % 3 == 0, "draft").otherwise("publish").alias("status"), F.struct(_id("A &amp; <b>B</b> ").alias("rendered")).alias("title"), F.struct(F.col("text").alias("rendered")).alias("content")))
     rows = _docs(spark, d)
-    made = rows.groupBy("site").agg(F.concat(F.lit("["), F.array_join(F.collect_list(post), ","), F.lit("]")).alias("body")).withColumn("page", F.lit(1))
+    made = rows.groupBy("site", "page").agg(F.concat(F.lit("["), F.array_join(F.collect_list(post), ","), F.lit("]")).alias("body"))
     return feeds.rest_posts(made, NOW_PAGES).select("site", "guid", "title", F.col("date.iso").alias("published_at"), "html")
 
 
@@ -108,7 +109,7 @@ def rest_api_posts(spark, d):
 def content_api_posts(spark, d):
     stamp = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'.000Z'")
     post = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), _id("https://g.example/").alias("url"), stamp.alias("published_at"), F.when(F.col("doc_id") % 4 == 0, "members").otherwise("public").alias("visibility")))
-    made = _docs(spark, d).groupBy("site").agg(F.concat(F.lit('{"posts": ['), F.array_join(F.collect_list(post), ","), F.lit("]}")).alias("body")).withColumn("page", F.lit(1))
+    made = _docs(spark, d).groupBy("site", "page").agg(F.concat(F.lit('{"posts": ['), F.array_join(F.collect_list(post), ","), F.lit("]}")).alias("body"))
     return feeds.content_api_posts(made, NOW_PAGES).select("site", "guid", F.col("date.iso").alias("published_at"), "status_hint")
 
 

@@ -293,12 +293,12 @@ def run_estimates(spark, d):
     return _docs(spark, d).select("doc_id", schedule.eta(F.lit(60), i % 100 / 100.0, i % 4 == 0).alias("eta"), schedule.hint_fresh(stamp, NOW).alias("fresh"))
 
 
-@query("SELECT CASE WHEN source_id % 9 <> 0 THEN '  ' ELSE '- ' END || rpad(source_name, 24, ' ') || lpad(CAST(source_id AS VARCHAR) || ' 000', 9, ' ') AS line FROM fx_sources WHERE source_id > 0")
+@query("SELECT CASE WHEN source_id % 9 <> 0 THEN '  ' ELSE '- ' END || rpad(source_name, 24, ' ') || lpad(CASE WHEN source_id = 0 THEN '0' ELSE CAST(source_id AS VARCHAR) || ' 000' END, 9, ' ') AS line FROM fx_sources")
 def source_lines(spark, d):
-    return sinks.source_lines(view(spark, d, "fx_sources").where("source_id > 0").withColumn("articles", F.col("source_id") * 1000))
+    return sinks.source_lines(view(spark, d, "fx_sources").withColumn("articles", F.col("source_id") * 1000))
 
 
-@query("SELECT rpad(CASE date_precision WHEN 'unknown' THEN '—' WHEN 'year' THEN coalesce(strftime(published_at, '%Y'), '—') WHEN 'month' THEN coalesce(strftime(published_at, '%Y-%m'), '—') ELSE coalesce(strftime(published_at, '%Y-%m-%d'), '—') END, 10, ' ') AS date, rpad(source_name, 18, ' ') AS source, title FROM fx_articles a JOIN fx_sources s ON a.source_id = s.source_id")
+@query("SELECT rpad(CASE date_precision WHEN 'unknown' THEN '—' WHEN 'year' THEN coalesce(strftime(published_at, '%Y'), '—') WHEN 'month' THEN coalesce(strftime(published_at, '%Y-%m'), '—') ELSE coalesce(strftime(published_at, '%Y-%m-%d'), '—') END, 10, ' ') AS date, rpad(source_name, 18, ' ') AS source, title[1:64] AS title FROM fx_articles a JOIN fx_sources s ON a.source_id = s.source_id")
 def queue_lines(spark, d):
     return sinks.queue_lines(view(spark, d, "fx_articles").join(view(spark, d, "fx_sources"), "source_id"))
 

@@ -96,22 +96,27 @@ def feed_hint(page: Column) -> Column:
 
 def robots_sitemaps(robots: Column) -> Column:
     """Sitemaps that a robots.txt names in its first 200 lines."""
-    lines = F.transform(F.slice(F.split(robots, r"\r?\n"), 1, 200), lambda x: F.trim(x))
-    return F.transform(F.filter(lines, lambda x: F.lower(x).startswith("sitemap:")), lambda x: F.trim(F.substring(x, 9, 10_000)))
+    lines = F.slice(F.split(robots, r"\r\n|\r|\n"), 1, 200)
+    named = F.transform(F.filter(lines, lambda x: F.lower(x).startswith("sitemap:")), lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", "")))
+    return F.filter(named, lambda x: x.startswith("http"))
 
 
 def read_sitemaps(pages: DataFrame, roots: DataFrame) -> DataFrame:
-    """pages: url, body.  roots: site, url.  Addresses (site, pos, url, lastmod) two levels deep, in order."""
+    """pages: url, body.  roots: site, url.  Addresses (site, pos, url, lastmod) two levels deep, in order.
+
+    Of an index the first children count, and of these those that can hold posts are read; an address is one of the web, and no file.
+    """
     level = roots.join(pages, "url").select("site", F.lit(0).cast("long").alias("order"), "body")
     out = None
-    for _ in range(3):
+    for depth in range(3):
         entry = F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)<(?:url|sitemap)\b[^>]*>(.*?)</(?:url|sitemap)>"), 1)).alias("pos", "entry")
         rows = level.select("site", "order", F.col("body").contains("<sitemapindex").alias("index"), entry)
         rows = rows.select("site", (F.col("order") * 100_000 + F.col("pos")).alias("order"), "index", _unescape(F.trim(tag(F.col("entry"), "loc"))).alias("url"), tag(F.col("entry"), "lastmod").alias("lastmod"))
-        found = rows.where(~F.col("index")).drop("index")
+        page = F.col("url").startswith("http") & ~urls.is_asset(F.col("url"))
+        found = rows.where((~F.col("index") | F.lit(depth == 2)) & page).drop("index")  # an index below two is read as a list
         out = found if out is None else out.unionByName(found)
         first = Window.partitionBy("site").orderBy("order")
-        children = rows.where(F.col("index") & ~F.col("url").rlike(NOT_POSTS)).withColumn("k", F.row_number().over(first)).where(F.col("k") <= MOST_CHILDREN)
+        children = rows.where("index").withColumn("k", F.row_number().over(first)).where((F.col("k") <= MOST_CHILDREN) & ~F.col("url").rlike(NOT_POSTS))
         level = children.join(pages, "url").select("site", "order", "body")
     return out.withColumn("pos", F.row_number().over(Window.partitionBy("site").orderBy("order"))).select("site", "pos", "url", "lastmod")
 

@@ -21,7 +21,7 @@ def write_export(queue: DataFrame, path: str, with_content: bool = False) -> Non
 
 def queue_lines(queue: DataFrame) -> DataFrame:
     """date, source and title as the command line shows them."""
-    return queue.select(F.rpad(dates.format_short(F.col("published_at"), F.col("date_precision")), 10, " ").alias("date"), F.rpad(F.substring("source_name", 1, 18), 18, " ").alias("source"), F.substring("title", 1, 60).alias("title"))
+    return queue.select(F.rpad(dates.format_short(F.col("published_at"), F.col("date_precision")), 10, " ").alias("date"), F.rpad(F.substring("source_name", 1, 18), 18, " ").alias("source"), F.substring("title", 1, 64).alias("title"))
 
 
 def source_lines(listing: DataFrame) -> DataFrame:

@@ -231,3 +231,23 @@ def test_feed_of_one_entry_and_named_references(spark):
     got = feeds.feed_items(spark.createDataFrame([("s", 1, xml)], "site string, page int, xml string"), NOW).collect()
     assert [(r.title, r.date.iso) for r in got] == [("Café été", None)]
 
+
+
+def test_entities_are_refused_in_any_encoding_and_at_any_place():
+    declared = "<!DOCTYPE x [<!ENTITY a 'b'>]><x>&a;</x>"
+    late = "<!DOCTYPE x [" + f"<!--{'c' * 70_000}-->" + "<!ENTITY % a 'b'>]><x/>"
+    for bad in (declared.encode(), ("<?xml version='1.0' encoding='utf-16'?>" + declared).encode("utf-16"), late.encode()):
+        with pytest.raises(epub.BadBook, match="entities"):
+            epub._xml(bad)
+    assert epub._xml(b"<x>&amp;<!-- <!ENTITY a 'b'> --></x>").text == "&"
+    with pytest.raises(epub.BadBook, match="bad XML"):
+        epub._xml(b"<x>")
+
+
+def test_names_of_what_stands_around_an_article():
+    from inkstream.functions import html
+
+    around = ["siteNav", "nav", "post-navigation", "RelatedPosts", "share-buttons", "comments-area", "gdpr", "footerWidget", "jp-relatedposts", "sr-only"]
+    own = ["navy", "entry-content", "context", "railway", "postBody", "preshared", "unrelated"]
+    assert all(html.JUNK.search(n) for n in around) and not any(html.JUNK.search(n) for n in own)
+    assert html.GOOD.search("entry-content") and not html.GOOD.search("context") and html.BAD.search("header-ad") and not html.BAD.search("header-adobe")
