@@ -2,17 +2,19 @@
 
 A page is cut into lines at block markup, in page order, without building a tree.  What can't be article text is
 stripped with its content: scripts, styles, menus, headers, footers, asides, forms, adverts, notices,
-reader comments and the like, known by their element, or by a name (class, id or role) of a container.  Headings,
-paragraphs and list items are never judged by a name.  Inside an ``article`` or ``main`` element a name counts only if
-all its words are such words or layout words (``cookie-notice``, ``related-posts``, but not ``related-work``), and an
-id only if it names reader comments.  A header there is stripped if it is closed and holds no heading.
-
-A line's length is its text outside links; inside an ``article`` or ``main`` a heading counts whole.  Lengths are summed
-over a window of lines sliding down the page; the text lies between a surge and a dive.  Inside ``article`` or ``main``
-the markup vouches for lines, so any sum over nothing is a surge (a whole window of linked lines at the head is a menu),
-and the dive is the element's end: linked lines between and after the text stay.  Without one, stripped lines are closed
-up, a surge takes ``SURGE`` code points or a tenth of the page's largest sum, whichever is less, a dive is a whole window
-of linked lines, and all between the first surge and the last dive is kept but runs of linked lines as long as a window.
+reader comments and the like, known by their element, or by a name (class, id or role) of a container.  A name counts only if
+all its words are such words or layout words (``cookie-notice``, ``inline-ad-42``, but not ``search-algorithms``), and a word
+that an article's topic may be as well (``social``, ``widget``) only if the name's last word isn't the text (``widget-content``) and no
+other name of the element is (``post tags``).  Headings, paragraphs, list items and spans are judged only by whole names of adverts and cookie
+notices.  Inside an ``article`` or ``main`` element an id counts only for adverts, sign-ups, cookie notices and reader comments.
+A header there is stripped if it is closed and holds no heading.
+
+A line's length is its text outside links; inside an ``article`` or ``main`` a heading or paragraph counts whole, and only the
+lines there are looked at.  Lengths are summed over a window of lines sliding down the page; the text lies between the first
+surge and the last dive, and what stands between is never dropped.  A surge takes ``SURGE`` code points or a tenth of the page's largest sum,
+whichever is less; inside ``article`` or ``main`` the markup vouches for lines, so any sum over nothing is one.  A dive
+is a whole window of linked lines; where the markup vouches for them, fewer linked lines at either end stay.  Headings just before the
+first surge are its title.  Linked lines after the last dive stay if the line before announces them (a heading, or a colon at its end).
 If everything was stripped, what was so only for a name is the text; then what an unclosed element held.
 
 Character references are decoded, white space inside a line becomes one space, lines are joined by a line feed.
@@ -46,7 +48,7 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 MAIN = frozenset(["article", "main"])
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADINGS, PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("p blockquote pre figcaption dd".split())
 #: Elements that a name can mark; all others are text of whatever holds them.
 CONTAINERS = frozenset("div section ul ol dl table tbody tr td center details figure blockquote ins dir".split())
 #: Roles that mark what isn't the article, and those that mark it.
@@ -54,16 +56,24 @@ NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dial
 MAIN_ROLES = frozenset("main article".split())
 #: Words of a name that tell what isn't the article.
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adsbygoogle banner breadcrumb breadcrumbs comment comments comentarios kommentare commentaires cookie cookies consent disqus discussion "
+    "ad ads adbox adslot adunit advert adverts advertisement advertisements advertising adsense adsbygoogle banner breadcrumb breadcrumbs comment comments comentarios kommentare commentaires cookie cookies consent disqus discussion "
     "footer footnav gdpr header masthead menu nav navbar navigation newsletter notice notices overlay pagination pager popup modal promo promoted promotion related recommended replies reply "
     "respond share sharing sharebar sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert paywall search".split()
 )
-#: Of these, reader comments; they count as an id inside an article as well.
-COMMENT_WORDS = frozenset("comment comments comentarios kommentare commentaires disqus replies respond".split())
+#: Of these, what a name of any element means.
+ADVERT_WORDS = frozenset("ad ads adbox adslot adunit advert adverts advertisement advertisements advertising adsense adsbygoogle sponsored cookie cookies gdpr".split())
+#: Of these, what an id means inside an article as well: adverts, sign-ups, notices, reader comments.
+ID_WORDS = ADVERT_WORDS | frozenset("consent newsletter signup subscribe promo paywall comment comments comentarios kommentare commentaires disqus replies respond".split())
+#: Of these, what an article may be about.
+TOPIC_WORDS = frozenset("widget widgets tags social search notice notices discussion alert skip share".split())
+#: What the text itself is called.
+TEXT_WORDS = frozenset("article body content entry main post story text".split())
+#: Names of lists of other posts.
+MORE_WORDS = frozenset("more read also next like this from news posts articles stories section list block wrap wrapper".split())
 #: What else a whole name of such a container is made of.
 LAYOUT_WORDS = frozenset(
-    "a and app area article bar block body bottom box btn button buttons card cards col column container content cta entry form global group holder icons inner item items js left links list main media meta "
-    "more outer page panel post posts primary reader readers right row secondary section segment site slot stories story the thread top unit user users vertical wide wrap wrapper".split()
+    "a and app area article articles bar block body bottom box btn button buttons card cards col column container content cloud cta dfp entry form global group holder icons inline inner item items js left links list main media meta "
+    "more next outer page panel post posts prev previous primary reader readers right row secondary section segment site slot stories story sub text the thread top trail unit user users vertical wall wide wrap wrapper".split()
 )
 #: Of the words, what an ``article`` element may be instead of the article.
 ASIDE_WORDS = frozenset("ad advert comment comments promo related reply replies recommended sponsored".split())
@@ -83,10 +93,24 @@ def _words(name: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
 
 
-def _whole(name: str, wanted: frozenset[str]) -> bool:
-    """Whether a name is made of such words and layout words alone."""
+def _whole(name: str, wanted: frozenset[str], own_text: bool = False) -> bool:
+    """Whether a name is made of such words and layout words alone; one whose only such words are topics must not be the text's."""
     words = _words(name)
-    return any(w in wanted for w in words) and all(w in NOISE_WORDS or w in LAYOUT_WORDS for w in words)
+    if not all(w in NOISE_WORDS or w in LAYOUT_WORDS for w in words):
+        return False
+    found = wanted.intersection(words)
+    return bool(found - TOPIC_WORDS) or bool(found) and not own_text and words[-1] not in TEXT_WORDS
+
+
+def _is_named(value: str, wanted: frozenset[str]) -> bool:
+    """Whether one of the names means noise."""
+    names = value.split()
+    own_text = any(w and all(x in TEXT_WORDS for x in w) for w in map(_words, names))
+    return any(_whole(x, wanted, own_text) for x in names)
+
+
+def _is_more(value: str) -> bool:
+    return any("more" in w and MORE_WORDS.issuperset(w) for w in map(_words, value.split()))
 
 
 def _is_noise(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
@@ -113,32 +137,33 @@ def _is_noise(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
         elif tag in MAIN:
             if ASIDE_WORDS.intersection(_words(_WITHOUT.sub(" ", value))):
                 out = BY_NAME
-        elif tag not in CONTAINERS or _OWN_PART.search(value) and not NOISE_WORDS.intersection(_words(_OWN_PART.sub(" ", value))):
-            continue
-        elif not inside:
-            if NOISE_WORDS.intersection(_words(_OWN_PART.sub(" ", _WITHOUT.sub(" ", value)))):
+        elif tag not in CONTAINERS:
+            if _is_named(value, ADVERT_WORDS):
                 out = BY_NAME
-        elif any(_whole(x, NOISE_WORDS if name == "class" else COMMENT_WORDS) for x in value.split()):
+        elif _OWN_PART.search(value) and not NOISE_WORDS.intersection(_words(_OWN_PART.sub(" ", value))):
+            continue
+        elif _is_named(_OWN_PART.sub(" ", _WITHOUT.sub(" ", value)), ID_WORDS if inside and name == "id" else NOISE_WORDS) or not inside and _is_more(value):
             out = BY_NAME
     return out, main
 
 
 @dataclass
 class Line:
-    """text; free: its code points outside links; noise: why it is stripped; main: whether the article holds it; opener: the stripped element that holds it."""
+    """text; free: its code points outside links; noise: why it is stripped; main: whether the article holds it; heading, paragraph: whether it is in one; opener: the stripped element that holds it."""
 
     text: str
     free: int
     noise: int
     main: bool
     heading: bool
+    paragraph: bool
     opener: int
 
 
 def lines(page: str) -> tuple[list[Line], set[int]]:
     """The lines of a page, and the stripped elements that are never closed."""
-    bottom = ("", 0, False, -1, 0, 0)
-    stack: list[tuple[str, int, bool, int, int, int]] = []  # element, noise, main, opener, links and headings up to here
+    bottom = ("", 0, False, -1, 0, 0, 0)
+    stack: list[tuple[str, int, bool, int, int, int, int]] = []  # element, noise, main, opener; links, headings and paragraphs up to here
     depth: Counter[str] = Counter()
     out: list[Line] = []
     open_: set[int] = set()
@@ -148,17 +173,17 @@ def lines(page: str) -> tuple[list[Line], set[int]]:
 
     def flush() -> None:
         nonlocal parts, free
-        _, _, main, _, _, headings = stack[-1] if stack else bottom
+        _, _, main, _, _, headings, paragraphs = stack[-1] if stack else bottom
         for stripped in (False, True):
             part = [x for x in parts if (x[1] > 0) is stripped]
             text = _SPACE.sub(" ", html.unescape("".join(x[0] for x in part))).strip() if part else ""
             if text:
-                out.append(Line(text, min(free, len(text)), part[0][1], main, headings > 0, part[0][2]))
+                out.append(Line(text, min(free, len(text)), part[0][1], main, headings > 0, paragraphs > 0, part[0][2]))
         parts, free = [], 0
 
     def add(text: str) -> None:
         nonlocal free
-        _, noise, _, opener, links, _ = stack[-1] if stack else bottom
+        _, noise, _, opener, links, _, _ = stack[-1] if stack else bottom
         parts.append((text, noise, opener))
         if not links and not noise:
             free += len(text.strip())
@@ -200,7 +225,7 @@ def lines(page: str) -> tuple[list[Line], set[int]]:
                     if stack[k][0] in BLOCK:
                         break
             if tag not in VOID and not m[3].rstrip().endswith("/"):
-                _, held, inside, opener, links, headings = stack[-1] if stack else bottom
+                _, held, inside, opener, links, headings, paragraphs = stack[-1] if stack else bottom
                 bad, main = _is_noise(tag, m[3], inside)
                 if tag in ("header", "label") and inside and bad and not held:
                     bare = _bare_headers(page) if bare is None else bare
@@ -208,7 +233,7 @@ def lines(page: str) -> tuple[list[Line], set[int]]:
                 if bad and not held:
                     opener = at
                     open_.add(at)
-                stack.append((tag, max(held, bad), inside or main, opener, links + (tag == "a"), headings + (tag in HEADINGS)))
+                stack.append((tag, max(held, bad), inside or main, opener, links + (tag == "a"), headings + (tag in HEADINGS), paragraphs + (tag in PARAGRAPHS)))
                 depth[tag] += 1
                 if tag in RAW:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -240,50 +265,49 @@ def _bare_headers(page: str) -> set[int]:
     return out
 
 
-def _run(lengths: list[int], at: int) -> int:
-    """Where the run of equally linked or free lines ends that begins at ``at``."""
-    end = at + 1
-    while end < len(lengths) and (lengths[end] > 0) == (lengths[at] > 0):
-        end += 1
-    return end
+def between(lengths: list[int], surge: int, vouched: bool) -> tuple[int, int] | None:
+    """The first surge and the last dive (the line after the text) of the sums over a sliding window; None without a surge."""
+    n = len(lengths)
+    upto = [0]
+    for x in lengths:
+        upto.append(upto[-1] + x)
+    sums = [upto[min(n, i + WINDOW)] - upto[i] for i in range(n)]
+    surges = [i for i in range(n) if lengths[i] and sums[i] >= surge]
+    if not surges:
+        return None
+    first = surges[0]
+    # The text that surged last goes on until a whole window is empty.
+    last = next((i for i in range(surges[-1] + 1, n) if not sums[i]), n)
+    if vouched:
+        first, last = 0 if first < WINDOW else first, n if n - last < WINDOW else last
+    return first, last
 
 
 def main_text(page: str) -> str:
     found, unclosed = lines(page)
-    own = [x for x in found if x.main and not x.noise]
-    if own:
-        lengths = [len(x.text) if x.heading else x.free for x in own]
-        head = _run(lengths, 0)
-        begin = head if not lengths[0] and WINDOW <= head < len(own) else 0
-        return "\n".join(x.text for x in own[begin:])
     left = [x for x in found if not x.noise]
     if not left:
         left = [x for x in found if x.noise == BY_NAME] or [x for x in found if x.opener in unclosed]
         return "\n".join(x.text for x in left)
-    # A line that is mostly links isn't text.
-    lengths = [x.free if 2 * x.free >= len(x.text) else 0 for x in left]
-    n = len(lengths)
-    run = [0]
-    for x in lengths:
-        run.append(run[-1] + x)
-    sums = [run[min(n, i + WINDOW)] - run[i] for i in range(n)]
-    surge = min(SURGE, max(1, max(sums) // 10))
-    first = next((i for i in range(n) if lengths[i] and sums[i] >= surge), None)
-    if first is None:
+    vouched = any(x.main for x in left)
+    if vouched:
+        left = [x for x in left if x.main]
+        lengths = [len(x.text) if x.heading or x.paragraph else x.free for x in left]
+        surge = 1
+    else:
+        # A line that is mostly links isn't text.
+        lengths = [x.free if 2 * x.free >= len(x.text) else 0 for x in left]
+        largest = max(sum(lengths[i : i + WINDOW]) for i in range(len(left)))
+        surge = min(SURGE, max(1, largest // 10))
+    text = between(lengths, surge, vouched)
+    if text is None:
         return "\n".join(x.text for x in left)
-    last = begin = None
-    for i in range(first, n):
-        if begin is None and lengths[i] and sums[i] >= surge:
-            begin = i
-        if begin is not None and (i + 1 == n or sums[i + 1] == 0):
-            last, begin = i, None
-    kept, at = [], first
-    while at <= last:
-        end = min(_run(lengths, at), last + 1)
-        if lengths[at] or end - at < WINDOW:
-            kept += [x.text for x in left[at:end]]
-        at = end
-    return "\n".join(kept)
+    first, last = text
+    while first and left[first - 1].heading:
+        first -= 1
+    if last < len(left) and (left[last - 1].heading or left[last - 1].text.endswith(":")):
+        last = next((i for i in range(last, len(left)) if lengths[i]), len(left))
+    return "\n".join(x.text for x in left[first:last])
 
 
 def extract(pages: DataFrame) -> DataFrame:
