@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import words as W
-from .store import materialise, maybe_broadcast
+from .store import id_type, materialise, maybe_broadcast
 
 WINDOW, SHINGLE, BLOCK_WINDOWS = 10, 3, 200_000
 
@@ -99,7 +99,7 @@ def _frequency(docs: DataFrame, sizes: dict[int, np.ndarray]) -> dict[int, int]:
     return {x % 2**64: n for x, n in zip(found["shingle"].to_pylist(), found["n"].to_pylist(), strict=True)}
 
 
-_HITS = "doc_id long, name string, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+_HITS = "name string, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 
 
 def _probe(docs: DataFrame, index: dict[int, dict], names: list[str], all_rows: bool) -> DataFrame:
@@ -148,7 +148,7 @@ def _probe(docs: DataFrame, index: dict[int, dict], names: list[str], all_rows:
                     names=["doc_id", "name", "n_words", "spans", "items"],
                 )
 
-    found = docs.select(F.col("doc_id").cast("long"), _name(docs).alias("name"), "text").mapInArrow(probe, _HITS)
+    found = docs.select("doc_id", _name(docs).alias("name"), "text").mapInArrow(probe, f"doc_id {id_type(docs)}, {_HITS}")
     out = materialise(found if all_rows else found.where("size(spans) > 0"))
     sent.destroy()
     return out

@@ -89,14 +89,13 @@ def _by_bytes(docs: DataFrame, hashed: Callable, clashes: DataFrame, norm: Colum
 def kept(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
     """One row of each group of equal texts, with the columns of ``docs``."""
     found = materialise(duplicates(docs, hashed))
-    gone = found.where("NOT kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("text_sha256").alias("gone_texts"))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct()
     # Rows that share id and text are told apart below; they are combined on the map side.
     twice = found.where("kept").groupBy(F.col("doc_id").alias("twice_id"), F.col("text_sha256").alias("twice_text")).count().where("count > 1").drop("count")
     gone, twice = maybe_broadcast(materialise(gone)), materialise(twice)
     sha = F.sha2(normalised(docs["text"]), 256)
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left")
-    stays = gone["gone_texts"].isNull() | ~F.array_contains(gone["gone_texts"], sha)
-    out = joined.where(stays).select(*(docs[c] for c in docs.columns))
+    # By id and text: rows without an id, or of one id, are as many keys as texts.
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha == gone["gone_text"]), "left_anti").select(*(docs[c] for c in docs.columns))
     n = twice.count()
     if not n:
         return out

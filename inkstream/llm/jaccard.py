@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import configure
 from . import words as W
 from .components import components
-from .store import materialise, maybe_broadcast
+from .store import id_type, materialise, maybe_broadcast
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.95
 COORDINATES, BUCKET, DEPTH, SLACK = 128, 24, 4, 0.1
@@ -89,7 +89,7 @@ def _describe(docs: DataFrame, shingle: int) -> DataFrame:
                     signatures.append(_signature(own) if len(own) else b"")
                 yield pa.record_batch([rows.column("doc_id"), rows.column("text_name"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "text_name", "name", "size", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.md5("text").alias("text_name"), "text").mapInArrow(run, "doc_id long, text_name string, name binary, size long, signature binary")
+    return docs.select("doc_id", F.md5("text").alias("text_name"), "text").mapInArrow(run, f"doc_id {id_type(docs)}, text_name string, name binary, size long, signature binary")
 
 
 def _children(path: np.ndarray, signatures: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +274,7 @@ def _classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHO
     size = materialise(size.select("root", F.greatest(F.ceil(F.col("elements") / block_elements), F.ceil(F.col("sets") / block_sets)).cast("int").alias("blocks")))
     wanted = materialise(groups.join(sets.select("node", "least", "least_text", "name"), "node"))
     own = maybe_broadcast(wanted.select("node", "root", "name", "least", "least_text"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.md5("text").alias("own_text"), "text")
+    texts = docs.select(F.col("doc_id").alias("own_id"), F.md5("text").alias("own_text"), "text")
     texts = texts.join(own, texts["own_id"].eqNullSafe(own["least"]) & (texts["own_text"] == own["least_text"]))
     cut = _elements(texts, shingle).join(maybe_broadcast(size), "root")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

@@ -1,6 +1,6 @@
 """An order that mixes sources to target weights, by Pfair scheduling of blocks.
 
-A source's documents, in the order of a hash of their id, are cut into blocks of ``block_chars`` code points.
+A source's documents, in the order of a hash of their id and text, are cut into blocks of ``block_chars`` code points.
 With weight w (its share of the sum), block j of a source (from 0) is released at slot floor(j / w) and due by
 slot ceil((j + 1) / w); one block is taken a slot, the released one with the earliest deadline first.
 At any slot each source is then less than one block from its target share, while it lasts.  A source that ends
@@ -60,15 +60,24 @@ def schedule(weights: dict[str, int]) -> list[str]:
 
 def plan(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_chars: int = BLOCK_CHARS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, source, block, release, deadline, slot, seq: documents in the order of (slot, seq)."""
-    spark = docs.sparkSession
+    return _plan(docs, weights, default, block_chars, bucket_rows).drop("name")
+
+
+def _name(docs: DataFrame) -> Column:
+    """128 bits of the text: with id and source it tells rows apart."""
+    return F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
+
+
+def _plan(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_chars: int = BLOCK_CHARS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     size = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
-    rows = materialise(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), size.alias("size"), F.xxhash64("doc_id").alias("h")))
+    # By id and text, so that rows without an id, or of one id, are spread like all others.
+    rows = materialise(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), size.alias("size"), F.xxhash64("doc_id", "text").alias("h"), _name(docs).alias("name")))
     members, period, total, slots = _groups(rows, WEIGHTS if weights is None else weights, default, bucket_rows)
 
     # A bucket is given by the hash's upper bits, so (bucket, h) is the order of h.
     buckets = max(1, -(-rows.count() // bucket_rows))
     rows = rows.withColumn("bucket", _bucket("h", buckets))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "name").rowsBetween(Window.unboundedPreceding, -1)
     sums = _before(rows.groupBy("source", "bucket").agg(F.sum("size").alias("all")), "source")
     placed = rows.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(maybe_broadcast(sums), ["source", "bucket"])
     placed = placed.withColumn("begin", F.col("base") + F.col("own")).withColumn("block", F.floor(F.col("begin") / block_chars).cast("long"))
@@ -84,6 +93,7 @@ def plan(docs: DataFrame, weights: dict[str, int] | None = None, default: int =
         F.expr(f"((block + 1) * {total}L + weight - 1) div weight").alias("deadline"),
         (F.col("round") * slots + F.col("at")).cast("long").alias("slot"),
         (F.col("begin") - F.col("block") * block_chars).cast("long").alias("seq"),
+        "name",
     )
 
 
@@ -135,9 +145,11 @@ def _groups(rows: DataFrame, weights: dict[str, int], default: int, bucket_rows:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents with the columns of ``docs``, and mix_block, mix_slot and mix_seq to read them by.
 
-    A repeated id takes the earliest of its places.
+    Rows that share id, source and text take the earliest of their places.
     """
-    place = plan(docs, **how).groupBy(F.col("doc_id").alias("mix_id")).agg(F.min(F.struct("slot", "seq", "block")).alias("place"))
+    key = (F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("name").alias("mix_name"))
+    place = _plan(docs, **how).groupBy(*key).agg(F.min(F.struct("slot", "seq", "block")).alias("place"))
     place = maybe_broadcast(materialise(place))
-    joined = docs.join(place, docs["doc_id"].eqNullSafe(place["mix_id"]))
+    same = docs["doc_id"].eqNullSafe(place["mix_id"]) & (F.coalesce(docs["source"], F.lit("")) == place["mix_source"]) & (_name(docs) == place["mix_name"])
+    joined = docs.join(place, same)
     return joined.select(*(docs[c] for c in docs.columns), place["place"]["block"].alias("mix_block"), place["place"]["slot"].alias("mix_slot"), place["place"]["seq"].alias("mix_seq"))

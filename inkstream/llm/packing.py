@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import configure
-from .store import materialise, maybe_broadcast
+from .store import id_type, materialise, maybe_broadcast
 
 MOST, END = 1024, 2
 _CACHED = 250_000
@@ -115,7 +115,6 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, most: int = MOST, end
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     with open(vocabulary, encoding="utf-8") as file:  # read by the driver alone; executors get its content
         sent = spark.sparkContext.broadcast(file.read())
-    own_id = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = _encoder(sent.value), end.to_bytes(4, "little")
@@ -146,7 +145,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, most: int = MOST, end
             columns = [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(np.full(len(sizes), lane, dtype=np.int32)), pa.array(no)]
             yield pa.record_batch(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=["doc_id", "piece", "start", "length", "ids_crc32", "lane", "no", "ids"][: 7 + with_ids])
 
-    schema = f"doc_id {own_id}, piece int, start long, length long, ids_crc32 long, lane int, no long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {id_type(docs)}, piece int, start long, length long, ids_crc32 long, lane int, no long" + ", ids array<int>" * with_ids
     return materialise(docs.select("doc_id", "text").mapInArrow(run, schema))
 
 

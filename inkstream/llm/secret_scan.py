@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import words as W
+from .store import id_type
 
 # The kinds in their order, their patterns, what is measured and its least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -362,7 +363,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
                     out[i] = [{"kind": names[k], "first": a, "last": b} for a, k, b in all_spans(rows.column("text")[int(i)].as_py(), sent.value)]
                 yield pa.record_batch([rows.column("doc_id"), pa.array(out, kind)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,first:long,last:long>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, spans array<struct<kind:string,first:long,last:long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

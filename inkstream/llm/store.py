@@ -45,6 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_type(docs: DataFrame) -> str:
+    """The type of ``doc_id``: ids of any type are kept as they are."""
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def release() -> None:
     """Delete what was written so far; for long sessions, once the results that were read from it are stored."""
     while _written:

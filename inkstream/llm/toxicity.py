@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import words as W
+from .store import id_type
 
 BITS = 22
 THRESHOLD = 0.7
@@ -175,7 +176,7 @@ def _distinct_features(docs: DataFrame) -> DataFrame:
                 values = pa.array((own & ((1 << BITS) - 1)).astype(np.int32))
                 yield pa.record_batch([rows.column("doc_id"), rows.column("positive"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], names=["doc_id", "positive", "features"])
 
-    return docs.select(F.col("doc_id").cast("long"), "positive", "text").mapInArrow(run, "doc_id long, positive boolean, features array<int>")
+    return docs.select("doc_id", "positive", "text").mapInArrow(run, f"doc_id {id_type(docs)}, positive boolean, features array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
@@ -207,7 +208,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for rows, w in W.parts(batch, "text"):
                 yield pa.record_batch([rows.column("doc_id"), pa.array(sent.value.scores(w))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, score double")
 
 
 def scored(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

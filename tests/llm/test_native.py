@@ -159,7 +159,7 @@ def test_plan_against_simulation(spark):
     docs = spark.createDataFrame(rows, DOCS)
     got = mixing.plan(docs, {"a": 3, "b": 2}, block_chars=64, bucket_rows=16).collect()
     assert len(got) == 200
-    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
     weights = {"a": 3, "b": 2, "": 1}
     order = mixing.schedule(weights)
     slots = {name: [s for s, x in enumerate(order) if x == name] for name in weights}
