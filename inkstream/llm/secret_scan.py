@@ -8,9 +8,10 @@ those between a colon and an at sign can be begin or inside; the others are outs
 found piece by piece between them, which is the best path of the whole chain.  Decoding is by Viterbi.
 
 It is trained in numpy on the base matches of at most ``TRAIN_DOCS`` documents, picked by a hash of the id, of a repeated
-id one text, and of each at most ``MOST_PIECES`` chains with and without a match.  Near misses
+id one text, and of each at most ``MOST_PIECES`` chains with and without a match, of at most ``MOST_TOKENS`` tokens.  Near misses
 (matches that are too short, hexadecimal tokens, what stands after a cue word and a colon or equals sign or before an at
-sign) have no label: chains are parted there.  Base matches are also shown cut short, as secrets.  Spans it
+sign) have no label: chains are parted there.  Base matches are also shown cut short, without the word
+that announces them, and with characters drawn anew, as secrets.  Spans it
 finds are added unless they touch a base span.  Without a base match to learn from nothing is added.
 
 Positions are code points, the end exclusive.  Null texts are empty and have no spans.  Repeated rows give a row each.
@@ -20,11 +21,15 @@ A byte-wise filter (superset of all patterns) keeps most documents from being de
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log2
+from string import ascii_letters
+from string import digits as digits_
 from zlib import crc32
 
 import numpy as np
@@ -42,7 +47,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 
-LEAST, LONG, TRAIN_DOCS, MOST_PIECES, BITS = 8, 24, 20_000, 500, 13
+LEAST, LONG, TRAIN_DOCS, MOST_PIECES, MOST_TOKENS, BITS = 8, 24, 20_000, 500, 64, 13
 OUT, BEGIN, INSIDE = 0, 1, 2
 NEAR, REACH = 2, 24
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
@@ -102,6 +107,11 @@ def suspicious(w: W.Words, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+_SHAPE = str.maketrans(ascii_letters + digits_, "a" * 26 + "A" * 26 + "0" * 10)
+_REPEATED = re.compile(r"(.)\1+")
+_HEX_DIGITS, _SYMBOLS = frozenset("0123456789abcdefABCDEF"), frozenset("+/_.=-")
+
+
 def _number(*parts: object) -> int:
     return crc32(repr(parts).encode()) >> (32 - BITS)
 
@@ -138,11 +148,12 @@ def pieces(text: str, around: list[tuple[int, int, int]] = []) -> list[list[tupl
     last = None
     for m in found:
         token, lo, hi = m[0], m.start(), m.end()
-        digits = sum(c.isdigit() for c in token)
-        upper, lower = sum("A" <= c <= "Z" for c in token), sum("a" <= c <= "z" for c in token)
-        entropy = -sum(n / len(token) * log2(n / len(token)) for n in {c: token.count(c) for c in token}.values())
+        size, kinds = len(token), token.translate(_SHAPE)
+        digits, upper, lower = kinds.count("0"), kinds.count("A"), kinds.count("a")
+        seen = Counter(token)
+        entropy = log2(size) - sum(n * log2(n) for n in seen.values() if n > 1) / size
         before = _WORD_BEFORE.search(text, max(0, lo - 64), lo)
-        shape = re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", token))))
+        shape = _REPEATED.sub(r"\1", kinds[:64])
         own = [
             _number("bias"),
             _number("length", min(len(token) // 4, 12)),
@@ -152,8 +163,8 @@ def pieces(text: str, around: list[tuple[int, int, int]] = []) -> list[list[tupl
             _number("entropy", int(2 * entropy)),
             _number("shape", shape[:6]),
             _number("first", token[:4] if token[:4].isalpha() else shape[:2]),
-            _number("hex", all(c in "0123456789abcdefABCDEF" for c in token)),
-            _number("symbols", "".join(sorted({c for c in token if not c.isalnum()}))),
+            _number("hex", _HEX_DIGITS.issuperset(seen)),
+            _number("symbols", "".join(sorted(_SYMBOLS.intersection(seen)))),
             _number("head", re.split(r"[^A-Za-z]", token, maxsplit=1)[0].lower() if "=" in token[:-2] else ""),
             _number("before", before[1].lower() if before else ""),
             _number("left", text[max(0, lo - 2) : lo]),
@@ -167,21 +178,37 @@ def pieces(text: str, around: list[tuple[int, int, int]] = []) -> list[list[tupl
     return out
 
 
-def _truth(piece: list[tuple[int, int, list[int]]], spans: list[tuple[int, int, int]]) -> list[int]:
+def _touching(spans: list[tuple[int, int]]) -> Callable[[int, int], int | None]:
+    """Ask, from left to right, which of the spans (in order) is the first that [lo, hi) touches; all questions together walk the list once."""
+    at = 0
+
+    def ask(lo: int, hi: int) -> int | None:
+        nonlocal at
+        while at < len(spans) and spans[at][1] <= lo:
+            at += 1
+        return at if at < len(spans) and spans[at][0] < hi else None
+
+    return ask
+
+
+def _truth(piece: list[tuple[int, int, list[int]]], touched: Callable[[int, int], int | None]) -> list[int]:
     tags, last = [], None
     for lo, hi, _ in piece:
-        own = next((s for s in spans if s[0] < hi and lo < s[2]), None)
+        own = touched(lo, hi)
         tags.append(OUT if own is None else INSIDE if own == last else BEGIN)
         last = own
     return tags
 
 
-def _labelled(piece: list[tuple[int, int, list[int]]], spans: list[tuple[int, int, int]], misses: list[tuple[int, int]]) -> Iterator[list[tuple[int, int, list[int]]]]:
-    """The piece in parts, without near misses that no base span touches."""
+def _labelled(piece: list[tuple[int, int, list[int]]], touched: Callable[[int, int], int | None], missed: Callable[[int, int], int | None]) -> Iterator[list[tuple[int, int, list[int]]]]:
+    """The piece in parts of at most ``MOST_TOKENS``, without near misses that no base span touches."""
     part: list = []
     for x in piece:
+        if len(part) == MOST_TOKENS:
+            yield part
+            part = []
         lo, hi, _ = x
-        if any(a < hi and lo < b for a, b in misses) and not any(s[0] < hi and lo < s[2] for s in spans):
+        if missed(lo, hi) is not None and touched(lo, hi) is None:
             if part:
                 yield part
             part = []
@@ -206,6 +233,23 @@ def _shortened(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[l
                 yield piece, sorted([own, *(s for s in base_spans(near) if s[2] <= own[0] or own[2] <= s[0])])
 
 
+def _without_cue(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[list[tuple[int, int, list[int]]], list[tuple[int, int, int]]]]:
+    """Base matches among the words around without what announces them, as they are and with their characters drawn
+    anew from letters of both cases and digits: a secret is one by its own shape, not by a pattern's words or alphabet."""
+    for lo, k, hi in spans:
+        value = KINDS[k][1].match(text, lo).start(KINDS[k][2])
+        draw = random.Random(crc32(text[value:hi].encode()))
+        anew = "".join(draw.choices(ascii_letters + digits_, k=min(hi - value, draw.randint(10, 44))))
+        before, after = text[max(0, lo - 80) : lo], text[hi : hi + 80]
+        for token in (text[value:hi], anew):
+            own = [(len(before), k, len(before) + len(token))]
+            for piece in pieces(before + token + after, own):
+                # The match alone: what else stands near by has chains of its own.
+                part = [x for x in piece if x[0] < own[0][2] and own[0][0] < x[1]]
+                if part:
+                    yield part, own
+
+
 @dataclass
 class Field:
     """emit: feature by tag; move: tag before by tag after; the chain begins after an outside token."""
@@ -304,14 +348,15 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field:
             for text in batch.column("text").to_pylist():
                 first = len(tags)
                 spans = base_spans(text or "")
-                misses = _near_misses(text or "")
+                walk = lambda own: _touching([(s[0], s[-1]) for s in own])
+                touched, missed, true = walk(spans), walk(sorted(_near_misses(text or ""))), walk(spans)
                 for piece in pieces(text or "", spans):  # with ordinary words beside secrets
-                    for part in _labelled(piece, spans, misses):
+                    for part in _labelled(piece, touched, missed):
                         features.append([x[2] for x in part])
-                        tags.append(_truth(part, spans))
-                for part, own in _shortened(text or "", spans):
+                        tags.append(_truth(part, true))
+                for part, own in (*_shortened(text or "", spans), *_without_cue(text or "", spans)):
                     features.append([x[2] for x in part])
-                    tags.append(_truth(part, own))
+                    tags.append(_truth(part, walk(own)))
                 if len(tags) - first > MOST_PIECES:
                     bounded()
             features, tags = ([x for k, x in enumerate(y) if k not in drop] for y in (features, tags))
@@ -342,7 +387,8 @@ def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
 def all_spans(text: str, field: Field) -> list[tuple[int, int, int]]:
     """Base spans, and those that the field adds (kind 3)."""
     base = base_spans(text)
-    return sorted(base + [(lo, 3, hi) for lo, hi in field_spans(text, field) if not any(s[0] < hi and lo < s[2] for s in base)])
+    touched = _touching([(s[0], s[2]) for s in base])
+    return sorted(base + [(lo, 3, hi) for lo, hi in field_spans(text, field) if touched(lo, hi) is None])
 
 
 def scan(docs: DataFrame, field: Field) -> DataFrame:
