@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 KEYS = ("published_at", "source_id", "source_order", "article_id")
 
 
@@ -64,39 +66,61 @@ def _place(newest_first: bool) -> Column:
     return F.struct(*(F.coalesce(c, F.lit(-(2**62))).alias(f"k{k}") for k, c in enumerate(parts)))
 
 
-def _in_ranges(df: DataFrame, newest_first: bool, parts: int) -> tuple[DataFrame, Window]:
-    """``df`` with order_place and order_range, which cut the order into ranges of about equal size, and the window inside one.
+#: Rows of a range of the order: what one task sorts.
+RANGE_ROWS = 1_000_000
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _in_ranges(df: DataFrame, newest_first: bool, parts: int | None) -> tuple[DataFrame, int]:
+    """``df``, written, with order_place, and order_at: the range of the order that a row is in and its number inside; the number of ranges.
+
+    What ``df`` is made of is worked out once.  Ranges are cut by Spark from a sample of the narrow written table, as many as its rows ask
+    for, so a range doesn't grow with the table, and a hot date or source is cut as well.
+    """
+    rows = _written(df.withColumn("order_place", _place(newest_first)))
+    ranges = parts or max(1, -(-rows.count() // RANGE_ROWS))
+    placed = rows.repartitionByRange(ranges, "order_place").sortWithinPartitions("order_place").withColumn("order_at", F.monotonically_increasing_id())
+    return (_written(placed) if ranges > 1 else placed), ranges
+
+
+def _range() -> Column:
+    return F.shiftright("order_at", 33).cast("int")  # as Spark numbers rows: the task, then the row
+
+
+def _from(values: Mapping, absent: Column) -> Column:
+    """A value for each range, as a literal map; as many as there are ranges."""
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[_range()] if values else absent
+
+
+def ranked(df: DataFrame, newest_first: bool = False, name: str = "rank", parts: int | None = None) -> DataFrame:
+    """A row number along the order: ranges are numbered by themselves, and begin after the rows of those before.
 
-    The cuts come from a sample of bounded size (rows of the smallest hashes), so a hot date or source is cut as well.
+    The columns of ``df`` are written on the way, so it should have those only that are wanted.
     """
-    df = df.withColumn("order_place", _place(newest_first))
-    sample = df.select("order_place", F.xxhash64("order_place").alias("h")).orderBy("h").limit(64 * parts).collect()
-    places = sorted(tuple(r["order_place"]) for r in sample)
-    cuts = sorted({places[len(places) * k // parts] for k in range(1, parts)}) if places else []
-    cut = lambda p: F.struct(*(F.lit(x).cast("long").alias(f"k{k}") for k, x in enumerate(p)))
-    own = F.aggregate(F.array(*map(cut, cuts)), F.lit(0), lambda n, x: n + (x <= F.col("order_place")).cast("int")) if cuts else F.lit(0)
-    return df.withColumn("order_range", own), Window.partitionBy("order_range").orderBy("order_place")
-
-
-def ranked(df: DataFrame, newest_first: bool = False, name: str = "rank", parts: int = 64) -> DataFrame:
-    """A row number along the order: ranges are numbered by themselves, and begin after the rows of those before."""
-    rows, inside = _in_ranges(df, newest_first, parts)
-    counts = rows.groupBy("order_range").count().collect()  # at most ``parts`` rows
+    rows, ranges = _in_ranges(df, newest_first, parts)
     before, start = 0, {}
-    for r in sorted(counts):
-        start[r["order_range"]] = before
-        before += r["count"]
-    base = F.create_map(*(F.lit(x).cast("int" if k % 2 == 0 else "long") for pair in start.items() for k, x in enumerate(pair)))[F.col("order_range")] if start else F.lit(0).cast("long")
-    return rows.withColumn(name, F.row_number().over(inside) + base).drop("order_place", "order_range")
-
-
-def labelled_before(df: DataFrame, label: str, newest_first: bool = False, name: str = "before", parts: int = 64) -> DataFrame:
-    """The label of the row before along the order (null for the first)."""
-    rows, inside = _in_ranges(df, newest_first, parts)
-    last = {r["order_range"]: r["last"] for r in rows.groupBy("order_range").agg(F.max_by(label, "order_place").alias("last")).collect()}  # at most ``parts`` rows
-    edge = {b: last[a] for a, b in zip(sorted(last), sorted(last)[1:], strict=False)}
-    border = F.create_map(*(F.lit(x) for pair in edge.items() for x in pair))[F.col("order_range")] if edge else F.lit(None).cast("string")
-    return rows.withColumn(name, F.coalesce(F.lag(label).over(inside), border)).drop("order_place", "order_range")
+    if ranges > 1:
+        for r in sorted(rows.groupBy(_range().alias("range")).count().collect()):  # a row for each range
+            start[r["range"]] = before
+            before += r["count"]
+    base = _from(start, F.lit(0)).cast("long")
+    return rows.withColumn(name, F.col("order_at").bitwiseAND(2**33 - 1) + 1 + base).drop("order_place", "order_at")
+
+
+def labelled_before(df: DataFrame, label: str, newest_first: bool = False, name: str = "before", parts: int | None = None) -> DataFrame:
+    """The label of the row before along the order (null for the first); columns as for ``ranked``."""
+    rows, ranges = _in_ranges(df, newest_first, parts)
+    edge = {}
+    if ranges > 1:
+        last = {r["range"]: r["last"] for r in rows.groupBy(_range().alias("range")).agg(F.max_by(label, "order_place").alias("last")).collect()}
+        edge = {b: last[a] for a, b in zip(sorted(last), sorted(last)[1:], strict=False)}
+    inside = Window.partitionBy(_range()).orderBy("order_place")
+    return rows.withColumn(name, F.coalesce(F.lag(label).over(inside), _from(edge, F.lit(None).cast("string")))).drop("order_place", "order_at")
 
 
 def neighbour(df: DataFrame, anchor: Mapping, newest_first: bool = False, forward: bool = True) -> DataFrame:

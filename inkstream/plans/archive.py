@@ -108,7 +108,7 @@ _register_queue(
 
 @query(f"WITH {_JOINED} SELECT article_id, published_at, row_number() OVER (ORDER BY {_order(True)}) AS rank FROM j WHERE {_where()}")
 def sequence_rank(spark, d):
-    return sequence.ranked(archive(spark, d).where(scopes.scope_filter()), True).select("article_id", "published_at", F.col("rank").cast("long").alias("rank"))
+    return sequence.ranked(archive(spark, d).where(scopes.scope_filter()).select(*sequence.KEYS), True).select("article_id", "published_at", F.col("rank").cast("long").alias("rank"))
 
 
 _T = "TIMESTAMP '1995-06-01 00:00:00'"
@@ -160,7 +160,7 @@ def queue_counts(spark, d):
 
 @query(f"WITH {_JOINED}, x AS (SELECT *, coalesce(strftime(published_at, '%Y'), 'Undated') AS label FROM j WHERE {_where()}), y AS (SELECT article_id, label, lag(label) OVER (ORDER BY {_order()}) AS b FROM x) SELECT article_id, label, b IS NULL OR b <> label AS header FROM y")
 def year_headers(spark, d):
-    return queue.year_headers(archive(spark, d).where(scopes.scope_filter())).select("article_id", "label", "header")
+    return queue.year_headers(archive(spark, d).where(scopes.scope_filter()).select(*sequence.KEYS)).select("article_id", "label", "header")
 
 
 @query("SELECT article_id FROM fx_notes UNION SELECT article_id FROM fx_highlights")

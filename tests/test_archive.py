@@ -170,10 +170,7 @@ def test_images_wanted(spark):
     assert [(r.article_id, r.url) for r in got] == [(1, "a")]
 
 
-def test_ranks_and_headers_need_no_single_task(spark):
-    for name in ("sequence_rank", "year_headers"):
-        plan = archive.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-        assert "order_range" in plan
+def test_ranks_and_headers_need_no_single_task(spark, monkeypatch):
     rows = archive.archive(spark, SF)
     assert "NestedLoop" not in rows._jdf.queryExecution().executedPlan().toString()
     hot = spark.range(300).selectExpr("id AS article_id", "1L AS source_id", "CAST(id % 3 AS INT) AS source_order", "IF(id % 2 = 0, timestamp_ntz'2020-01-01 00:00:00', NULL) AS published_at")
@@ -181,4 +178,11 @@ def test_ranks_and_headers_need_no_single_task(spark):
         want = [r.article_id for r in hot.orderBy(*sequence.order_keys(newest)).collect()]
         got = sequence.ranked(hot, newest, parts=7).collect()
         assert [r.article_id for r in sorted(got, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in got) == list(range(1, 301))
-
+    # As many ranges as the rows ask for; each is a task, and the labels at their borders are those of one range.
+    monkeypatch.setattr(sequence, "RANGE_ROWS", 50)
+    rows, ranges = sequence._in_ranges(hot, False, None)
+    assert ranges == 6 and 1 < rows.groupBy(sequence._range().alias("r")).count().count() <= 6
+    labels = hot.withColumn("label", F.concat(F.coalesce(F.date_format("published_at", "yyyy"), F.lit("none")), "source_order"))
+    before = lambda parts: sorted((r.article_id, r.before or "") for r in sequence.labelled_before(labels, "label", parts=parts).collect())
+    assert before(None) == before(1) and sum(not b for _, b in before(None)) == 1
+    assert sequence.ranked(hot.limit(0)).count() == 0
