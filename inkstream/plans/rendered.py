@@ -6,12 +6,13 @@ As in ``reading``, the SQL says what went into a page, straight from the table,
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import view
@@ -19,7 +20,7 @@ from ..functions import anchors, bytes_text, html, text, urls
 from ..operators import schedule, upsert
 from ..session import configure, shared_folder
 from ..sources import content, detection, epub, feeds, sinks
-from ..streaming import incremental, parts, stateful
+from ..streaming import incremental, pages, parts, stateful
 from .archive import NOW, NOW_PAGES, query
 from .reading import _AT, _docs, _id
 
@@ -364,3 +365,24 @@ def undated_allowance(spark, d):
             taken = stateful.admitted(stream, known, floor, limits, k // 2 + 1).withColumn("run", F.lit(k // 2 + 1))
             taken.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(F.col("guid").cast("long").alias("doc_id"), "source_id", "run")
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, doc_id % 4 AS site, {_AT} AS posted, (row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id DESC) - 1) // 7 + 1 AS page FROM documents),
+e AS (SELECT site, page FROM x GROUP BY ALL HAVING bool_and(CASE WHEN site % 2 = 0 THEN doc_id % 40 < 32 AND page > 2 ELSE posted < TIMESTAMP '2020-01-01 00:00:00' + to_days(CAST(100 + 20 * site AS INTEGER)) END)),
+s AS (SELECT site, min(page) AS last FROM e GROUP BY 1)
+SELECT x.doc_id, x.site, CAST(x.page AS INTEGER) AS page FROM x LEFT JOIN s ON x.site = s.site WHERE s.last IS NULL OR x.page <= s.last"""
+)
+def pages_until_old(spark, d):
+    """Pages of seven posts that a stream asks four sites for, up to the first page of which all is known (even sites) or older than the floor (odd ones)."""
+    i, folder = F.col("doc_id"), shared_folder(spark)
+    at = Window.partitionBy(i % 4).orderBy(i.desc())
+    rows = _docs(spark, d).select(i, (i % 4).alias("site"), "at", (F.floor((F.row_number().over(at) - 1) / 7) + 1).cast("int").alias("page"))
+    listed = rows.select("site", "page", _id("https://s.example/").alias("link"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), F.lit("").alias("title"))
+    listed.repartition("site").write.partitionBy("site", "page").parquet(f"{folder}/sites")
+    place = f"{folder}/sites/site=".removeprefix("file://")
+    rows.where("site % 2 = 0 AND doc_id % 40 < 32 AND page > 2").select(F.concat(F.lit(place), F.col("site").cast("string")).alias("site"), _id("https://s.example/").alias("url")).write.parquet(f"{folder}/known")
+    floors = {f"{place}{k}": (datetime(2020, 1, 1) + timedelta(days=100 + 20 * k)).isoformat() for k in (1, 3)}
+    how = {"plugin": "parquet_pages", "path": ",".join(f"{place}{k}" for k in range(4)), "notes": f"{folder}/notes".removeprefix("file://"), "known": f"{folder}/known".removeprefix("file://"), "floors": json.dumps(floors)}
+    got = pages.read_run(spark, f"{folder}/out", f"{folder}/checkpoint", **how)
+    return got.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("doc_id"), F.regexp_extract("site", r"(\d+)$", 1).cast("long").alias("site"), "page")

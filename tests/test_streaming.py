@@ -1,11 +1,12 @@
 """Streams with state over batches and restarts, and an archive in parts."""
 
+import json
 import os
 from datetime import datetime, timedelta
 
 import pytest
 from inkstream.operators import upsert
-from inkstream.streaming import incremental, parts, stateful
+from inkstream.streaming import incremental, pages, parts, stateful
 from pyspark.sql import functions as F
 
 POSTS = "source_id long, guid string, published_at timestamp_ntz, pos long"
@@ -136,5 +137,52 @@ def test_a_run_with_limits_that_fails_between_writing_and_counting(spark, tmp_pa
 def test_the_queries_of_streams(spark, twin):
     from inkstream.plans import archive, rendered  # noqa: F401
 
-    for name in ("arrivals_once", "undated_allowance", "incremental_runs"):
+    for name in ("arrivals_once", "undated_allowance", "incremental_runs", "pages_until_old"):
         twin(archive.QUERIES[name](spark, "/root/testdata/sf0.001"), archive.ORACLES[name])
+
+
+def site(top, name, pages):
+    os.makedirs(top / name, exist_ok=True)
+    for k, rows in enumerate(pages, 1):
+        (top / name / f"page-{k}.json").write_text(json.dumps([{"link": u, "date": at and at.isoformat()} for u, at in rows]))
+    return str(top / name)
+
+
+def asked(top, run):
+    return {(f.parent.name.split("%2F")[-1], int(f.name[5:])) for f in (top / "notes" / f"run-{run}").glob("*/page-*")}
+
+
+def test_a_source_stops_asking_after_a_page_of_nothing_new(spark, tmp_path):
+    old, new = DAY - timedelta(days=9), DAY + timedelta(days=9)
+    sites = [
+        site(tmp_path, "a", [[("a1", new), ("a2", new)], [("a3", old), ("a4", new)], [("a5", old), ("a6", old)], [("a7", old)], [("a8", old)]]),  # page 3 is wholly old
+        site(tmp_path, "b", [[("b1", None)], [("b2", None), ("b3", None)], [("b4", None)], [("b5", None)]]),  # page 2 is known
+        site(tmp_path, "c", [[("c1", new)], [("c2", new)]]),  # ends by itself: page 3 is empty
+        site(tmp_path, "d", []),
+    ]
+    spark.createDataFrame([(sites[1], "b2"), (sites[1], "b3"), (sites[2], "b1")], "site string, url string").coalesce(1).write.parquet(f"{tmp_path}/known")
+    how = {"path": ",".join(sites), "notes": f"{tmp_path}/notes", "known": f"{tmp_path}/known", "floors": json.dumps({sites[0]: DAY.isoformat()})}
+    run = lambda n: pages.read_run(spark, f"{tmp_path}/out", f"{tmp_path}/check", **how, run=str(n))
+    first = ["a1", "a2", "a3", "a4", "a5", "a6", "b1", "b2", "b3", "c1", "c2"]
+    assert sorted(r.url for r in run(1).collect()) == first
+    wanted = {("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("c", 1), ("c", 2), ("c", 3), ("d", 1)}
+    assert asked(tmp_path, 1) == wanted
+    # Started again, the same run asks for nothing more.
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "notes").rglob("page-*")}
+    assert sorted(r.url for r in run(1).collect()) == first and {f: f.stat().st_mtime_ns for f in (tmp_path / "notes").rglob("page-*")} == before
+    # A later run begins at the first pages, and stops as soon as they bring nothing new.
+    how["floors"] = json.dumps(dict.fromkeys(sites, (new + timedelta(days=1)).isoformat()))
+    assert len(run(2).collect()) == len(first) + 6 and asked(tmp_path, 2) == {("a", 1), ("b", 1), ("b", 2), ("c", 1), ("d", 1)}
+
+
+def test_a_run_that_was_stopped_goes_on_from_its_notes(spark, tmp_path):
+    top = site(tmp_path, "s", [[(f"p{k}", None)] for k in range(4)])
+    how = {"path": top, "notes": f"{tmp_path}/notes"}
+    reader = pages.PageReader(how)
+    assert reader.latestOffset() == {"run": 0, "pages": {top: 1}}
+    list(reader.read(pages.Page(top, 1)))
+    offset = reader.latestOffset()
+    assert offset["pages"] == {top: 2} and [p.number for p in reader.partitions(reader.initialOffset(), offset)] == [1, 2]
+    assert [p.number for p in reader.partitions({"run": 0, "pages": {top: 1}}, offset)] == [2]
+    assert [p.number for p in reader.partitions({"run": 7, "pages": {top: 9}}, offset)] == [1, 2]
+    assert sorted(r.url for r in pages.read_run(spark, f"{tmp_path}/out", f"{tmp_path}/check", **how).collect()) == ["p0", "p1", "p2", "p3"]
