@@ -11,10 +11,11 @@ A header there is stripped if it is closed and holds no heading.
 
 A line's length is its text outside links; inside an ``article`` or ``main`` a heading or paragraph counts whole, and only the
 lines there are looked at.  Lengths are summed over a window of lines sliding down the page; the text lies between the first
-surge and the last dive, and what stands between is never dropped.  A surge takes ``SURGE`` code points or a tenth of the page's largest sum,
-whichever is less; inside ``article`` or ``main`` the markup vouches for lines, so any sum over nothing is one.  A dive
-is a whole window of linked lines; where the markup vouches for them, fewer linked lines at either end stay.  Headings just before the
-first surge are its title.  Linked lines after the last dive stay if the line before announces them (a heading, or a colon at its end).
+surge and the last dive.  A surge takes ``SURGE`` code points or a tenth of the page's largest sum,
+whichever is less; inside ``article`` or ``main`` the markup vouches for lines, so any sum over nothing is one (a whole window of linked
+lines at the head is a menu), and the dive is the element's end.  Elsewhere a dive is a whole window of linked lines, and such a
+window of lines that are no paragraphs goes between surge and dive as well.  Headings just before the
+first surge are its title.  Linked lines stay if the line before announces them (a heading, or a colon at its end).
 If everything was stripped, what was so only for a name is the text; then what an unclosed element held.
 
 Character references are decoded, white space inside a line becomes one space, lines are joined by a line feed.
@@ -279,7 +280,7 @@ def between(lengths: list[int], surge: int, vouched: bool) -> tuple[int, int] |
     # The text that surged last goes on until a whole window is empty.
     last = next((i for i in range(surges[-1] + 1, n) if not sums[i]), n)
     if vouched:
-        first, last = 0 if first < WINDOW else first, n if n - last < WINDOW else last
+        first, last = 0 if first < WINDOW else first, n  # the element's end is the dive
     return first, last
 
 
@@ -305,9 +306,17 @@ def main_text(page: str) -> str:
     first, last = text
     while first and left[first - 1].heading:
         first -= 1
-    if last < len(left) and (left[last - 1].heading or left[last - 1].text.endswith(":")):
+    announces = lambda x: x.heading or x.text.endswith(":")
+    if last < len(left) and announces(left[last - 1]):
         last = next((i for i in range(last, len(left)) if lengths[i]), len(left))
-    return "\n".join(x.text for x in left[first:last])
+    kept, at = [], first
+    while at < last:
+        end = next((i for i in range(at + 1, last) if (lengths[i] > 0) != (lengths[at] > 0)), last)
+        menu = not vouched and not lengths[at] and end - at >= WINDOW and not any(x.paragraph or x.heading for x in left[at:end])
+        if not menu or at and announces(left[at - 1]):
+            kept += left[at:end]
+        at = end
+    return "\n".join(x.text for x in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
