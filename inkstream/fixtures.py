@@ -114,7 +114,10 @@ def with_views(sql: str) -> str:
     if not head:
         return sql
     body = sql.strip()
-    return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{head}, {body[len(start) :]}"
+    return f"WITH {head} {body}"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

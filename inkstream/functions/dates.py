@@ -189,44 +189,77 @@ def interpolate(older: Column, newer: Column, source: str = "index:bracketed-nei
     return pub_date(F.when(both, middle).otherwise(a), F.when(both, "month").otherwise("year"), "inferred", source)
 
 
-def bracket_once(rows: DataFrame) -> DataFrame:
-    """rows: source_id, pos, published_at.  Undated ones between an older and a newer neighbour at most four years
-    apart get the middle (est).  Index order is newest first."""
-    upto = Window.partitionBy("source_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    beyond = Window.partitionBy("source_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    newer, older = F.last("published_at", ignorenulls=True).over(upto), F.first("published_at", ignorenulls=True).over(beyond)
-    rows = rows.withColumn("newer", newer).withColumn("older", older)
-    fits = F.col("published_at").isNull() & (F.col("older") <= F.col("newer")) & (F.datediff("newer", "older") <= 4 * 366)
-    return rows.withColumn("est", F.when(fits, interpolate(F.col("older"), F.col("newer"))["iso"])).drop("newer", "older")
-
-
-def bracket_all(rows: DataFrame) -> DataFrame:
-    """As ``bracket_once``, but in index order, and an estimate is a neighbour for the rows after it."""
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("pos", kind="stable")
-        dates, est = list(pdf.published_at), []
-        later, out = None, [None] * len(dates)
-        for i in range(len(dates) - 1, -1, -1):
-            out[i] = later
-            later = dates[i] if not pd.isna(dates[i]) else later
-        newer = None
-        for i, at in enumerate(dates):
-            guess = pd.NaT
-            if pd.isna(at):
-                older = out[i]
-                if newer is not None and older is not None and older <= newer and (newer.normalize() - older.normalize()).days <= 4 * 366:
-                    guess = (older + (newer - older) / 2).normalize()
-                    newer = guess
-            else:
-                newer = at
-            est.append(guess)
-        return pdf.assign(est=pd.to_datetime(pd.Series(est, index=pdf.index)))
-
-    # One site's index at a time; an index is a page or a few.
-    return rows.groupBy("source_id").applyInPandas(run, "source_id long, pos long, published_at timestamp_ntz, est timestamp_ntz") if set(rows.columns) == {"source_id", "pos", "published_at"} else bracket_all(rows.select("source_id", "pos", "published_at"))
+#: Positions of an index that are walked as one piece.
+PIECE = 100_000
+#: Fixed value: days that neighbours may lie apart.
+MOST_APART = 4 * 366
+#: Each estimate halves the distance to the older date, rounded down to a day: from ``MOST_APART`` days none is left sooner
+#: than this, and the estimate then stays as it is (or fits no more).
+HALVINGS = 16
+
+
+def _neighbours(rows: DataFrame, piece: int) -> DataFrame:
+    """``rows`` with newer and older, the known dates before and after a row, and gap: its number among the undated rows after ``newer``.
+
+    An index is cut into pieces by position, each walked by itself.  What a piece can't see, the last known date before it,
+    the next one after it and how many undated rows lie between, is carried over from a table of one row for each piece, so
+    a source with a long index is many tasks.
+    """
+    known, seq = F.col("published_at").isNotNull(), F.struct("pos", "published_at")
+    keys = ["source_id", "piece"]
+    inside = Window.partitionBy(*keys).orderBy("pos", "published_at")
+    upto, beyond = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(1, Window.unboundedFollowing)
+    walked = rows.select("source_id", "pos", "published_at", F.floor(F.col("pos") / piece).alias("piece"))
+    walked = walked.withColumn("undated", F.sum((~known).cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    mark = F.struct(F.col("published_at").alias("at"), "undated")
+    walked = walked.withColumns({"before": F.last(F.when(known, mark), ignorenulls=True).over(upto), "after": F.first("published_at", ignorenulls=True).over(beyond)})
+
+    ends = walked.groupBy(*keys).agg(
+        F.max("undated").alias("held"),
+        F.max_by(mark, F.when(known, seq)).alias("last"),
+        F.min_by("published_at", F.when(known, seq)).alias("first"),
+    )
+    along = Window.partitionBy("source_id").orderBy("piece")
+    earlier, later = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.withColumn("base", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
+    total = F.when(F.col("last").isNotNull(), F.struct(F.col("last.at").alias("at"), (F.col("base") + F.col("last.undated")).alias("undated")))
+    ends = ends.select(F.col("source_id").alias("s"), F.col("piece").alias("p"), "base", F.last(total, ignorenulls=True).over(earlier).alias("carried"), F.first("first", ignorenulls=True).over(later).alias("next"))
+
+    out = walked.join(ends, F.col("source_id").eqNullSafe(F.col("s")) & F.col("piece").eqNullSafe(F.col("p")))
+    seen = F.when(F.col("before").isNotNull(), F.col("base") + F.col("before.undated")).otherwise(F.col("carried.undated"))
+    return out.select(
+        "source_id",
+        "pos",
+        "published_at",
+        F.coalesce("before.at", "carried.at").alias("newer"),
+        F.coalesce("after", "next").alias("older"),
+        (F.col("base") + F.col("undated") - seen).alias("gap"),
+    )
+
+
+def _bracketed(newer: Column, older: Column) -> Column:
+    fits = (older <= newer) & (F.datediff(newer, older) <= MOST_APART)
+    return F.when(fits, interpolate(older, newer)["iso"])
+
+
+def bracket_once(rows: DataFrame, piece: int = PIECE) -> DataFrame:
+    """rows: source_id, pos (numbers along the index, newest first), published_at; back with est.
+
+    Undated ones between an older and a newer neighbour at most four years apart get the middle.  Rows of one position
+    are taken by date, undated ones first; rows without a source are one index; other columns don't come back.
+    """
+    est = F.when(F.col("published_at").isNull(), _bracketed(F.col("newer"), F.col("older")))
+    return _neighbours(rows, piece).select("source_id", "pos", "published_at", est.alias("est"))
+
+
+def bracket_all(rows: DataFrame, piece: int = PIECE) -> DataFrame:
+    """As ``bracket_once``, but in index order, and an estimate is a neighbour for the rows after it.
+
+    All undated rows of a gap share the older date, so the estimate of the n-th follows from both ends of the gap in n steps.
+    """
+    steps = F.sequence(F.lit(1), F.least(F.col("gap"), F.lit(HALVINGS)).cast("int"))
+    est = F.aggregate(steps, F.col("newer"), lambda at, _: _bracketed(at, F.col("older")))
+    return _neighbours(rows, piece).select("source_id", "pos", "published_at", F.when(F.col("published_at").isNull() & (F.col("gap") > 0), est).alias("est"))
 
 
 def listing_dates(rows: DataFrame, now: datetime) -> DataFrame:

@@ -486,9 +486,15 @@ def bracket_undated(spark, d):
     return dates.bracket_once(_bracket_rows(spark, d)).select("source_id", "pos", F.col("est").cast("timestamp_ntz").alias("est"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_INDEX}, z AS (SELECT source_id, pos, published_at, first_value(published_at IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS older FROM y),
+walk AS (SELECT source_id, pos, published_at, published_at AS newer, CAST(NULL AS TIMESTAMP) AS est FROM z WHERE pos = 1
+UNION ALL SELECT source_id, pos, published_at, coalesce(published_at, est, newer) AS newer, est FROM (
+  SELECT z.source_id, z.pos, z.published_at, walk.newer, CASE WHEN z.published_at IS NULL AND z.older <= walk.newer AND datediff('day', z.older, walk.newer) <= 1464 THEN date_trunc('day', make_timestamp((epoch_us(z.older) + epoch_us(walk.newer)) // 2)) END AS est
+  FROM walk JOIN z ON z.source_id = walk.source_id AND z.pos = walk.pos + 1))
+SELECT source_id, pos, published_at, est FROM walk"""
+)
 def bracket_sequential(spark, d):
-    configure(spark)
     return dates.bracket_all(_bracket_rows(spark, d))
 
 
