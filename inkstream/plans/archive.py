@@ -511,11 +511,18 @@ def locate_highlights(spark, d):
     return rows.select("highlight_id", anchors.locate_once(F.col("body"), F.col("quote")).alias("at"))
 
 
-@query()
+@query(
+    # One place after another, overlapping ones as well; then the nearest of the first 201 to the stored one.
+    r"""WITH RECURSIVE x AS (SELECT h.highlight_id, h.start_offset, regexp_replace(a.body, '\s+', ' ', 'g') AS t, trim(regexp_replace(h.quote, '\s+', ' ', 'g')) AS q FROM fx_highlights h JOIN fx_articles a ON h.article_id = a.article_id),
+p AS (SELECT highlight_id, 1 AS k, instr(t, q) AS place FROM x WHERE q <> '' AND contains(t, q)
+UNION ALL SELECT x.highlight_id, k + 1, place + instr(substring(t, place + 1), q) FROM p JOIN x ON x.highlight_id = p.highlight_id WHERE k < 201 AND contains(substring(t, place + 1), q)),
+b AS (SELECT x.highlight_id, arg_min(place - 1, (abs(place - 1 - start_offset), place)) AS place FROM p JOIN x ON x.highlight_id = p.highlight_id GROUP BY 1)
+SELECT x.highlight_id, CAST(b.place AS INTEGER) AS at FROM x LEFT JOIN b ON x.highlight_id = b.highlight_id"""
+)
 def locate_with_context(spark, d):
     configure(spark)
-    rows = view(spark, d, "fx_highlights").join(view(spark, d, "fx_articles").select("article_id", "body"), "article_id")
-    return rows.select("highlight_id", anchors.located(F.col("body"), F.col("quote"), F.lit(""), F.lit(""), F.col("start_offset")).alias("at"))
+    marks = view(spark, d, "fx_highlights").withColumns({"prefix": F.lit(""), "suffix": F.lit("")})
+    return anchors.located_in(marks, view(spark, d, "fx_articles")).select("highlight_id", "at")
 
 
 @query()
