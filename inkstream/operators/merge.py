@@ -17,29 +17,47 @@ def route_rank(route: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, ROUTES)), route) - 1
 
 
-def merge(rows: DataFrame) -> DataFrame:
-    """``rows``: guid, url, route, pos, title, html, published_at, date_confidence, foreign (missing ones are null).
-
-    Routes in order; of each guid the first url and order, all routes, the first title and body that aren't empty, the
-    most confident known date (the first of equals), and whether any link led off the site.
-    """
+def states(rows: DataFrame) -> DataFrame:
+    """Each row as what is known by it alone; columns as for ``merge``."""
     for name, kind in (("url", "string"), ("title", "string"), ("html", "string"), ("foreign", "boolean"), ("date_precision", "string")):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    seq = F.struct(route_rank(F.col("route")).alias("r"), F.col("pos").alias("p"))
-    dated = F.when(F.col("published_at").isNotNull(), F.struct("published_at", "date_confidence", "date_precision"))
-    best = F.struct(confidence_rank(F.col("date_confidence")).alias("k"), (-route_rank(F.col("route"))).alias("r"), (-F.col("pos")).alias("p"))
+    rank, pos = route_rank(F.col("route")), F.col("pos")
+    seq = F.struct(rank.alias("r"), pos.alias("p"))
+    best = F.struct(confidence_rank(F.col("date_confidence")).alias("k"), (-rank).alias("r"), (-pos).alias("p"))
     full = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    out = rows.groupBy("guid").agg(
-        F.min_by("url", seq).alias("url"),
-        F.min(seq).alias("seq"),
-        F.array_sort(F.collect_set("route")).alias("evidence"),
-        F.max_by(dated, F.when(dated.isNotNull(), best)).alias("date"),
-        F.min_by(full("title"), F.when(full("title").isNotNull(), seq)).alias("title"),
-        F.min_by(full("html"), F.when(full("html").isNotNull(), seq)).alias("html"),
-        F.coalesce(F.bool_or("foreign"), F.lit(False)).alias("foreign"),
+    first = lambda c: F.when(full(c).isNotNull(), F.struct(seq.alias("seq"), full(c).alias("x"))).alias(c)
+    dated = F.when(F.col("published_at").isNotNull(), F.struct(best.alias("best"), "published_at", "date_confidence", "date_precision"))
+    return rows.select("guid", F.array_compact(F.array("route")).alias("evidence"), F.struct(seq.alias("seq"), F.col("url").alias("x")).alias("url"), dated.alias("date"), first("title"), first("html"), F.coalesce("foreign", F.lit(False)).alias("foreign"))
+
+
+def combined(known: DataFrame) -> DataFrame:
+    """One state a guid.  Least, greatest and union only: any order, any grouping and repeated states give the same."""
+    return known.groupBy("guid").agg(
+        # At most as many different lists as there are sets of routes.
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("evidence"),
+        F.min("url").alias("url"),
+        F.max("date").alias("date"),
+        F.min("title").alias("title"),
+        F.min("html").alias("html"),
+        F.bool_or("foreign").alias("foreign"),
     )
-    return out.select("guid", "url", "seq", "evidence", F.col("date.published_at").alias("published_at"), F.col("date.date_confidence").alias("date_confidence"), F.col("date.date_precision").alias("date_precision"), "title", "html", "foreign")
+
+
+def merged(state: DataFrame) -> DataFrame:
+    """What states say in the end."""
+    dates = [F.col(f"date.{c}").alias(c) for c in ("published_at", "date_confidence", "date_precision")]
+    return state.select("guid", F.col("url.x").alias("url"), F.col("url.seq").alias("seq"), "evidence", *dates, F.col("title.x").alias("title"), F.col("html.x").alias("html"), "foreign")
+
+
+def merge(rows: DataFrame) -> DataFrame:
+    """``rows``: guid, url, route, pos, title, html, published_at, date_confidence, foreign (missing ones are null).
+
+    Routes in order; of each guid the first url and order, all routes, the first title and body that aren't empty, the
+    most confident known date (the first of equals), and whether any link led off the site.  Where rows share route and
+    place, the least url, title and body and the latest date count.
+    """
+    return merged(combined(states(rows)))
 
 
 def probe_order() -> list[Column]:

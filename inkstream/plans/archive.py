@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..fixtures import view, with_views
 from ..functions import anchors, dates, html, text, urls
 from ..operators import lookup, merge, queue, schedule, scopes, sequence, stats, upsert
-from ..session import configure
+from ..session import configure, shared_folder
 from ..sources import content, sinks
+from ..streaming import evidence
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,6 +303,18 @@ def evidence_merge(spark, d):
     return _merged(spark, d).select("guid", F.array_join("evidence", ",").alias("routes"), "published_at", "date_confidence", "title")
 
 
+@query(f"WITH {_MERGED} SELECT guid, routes, d.d AS published_at, d.c AS date_confidence, title FROM m")
+def evidence_in_batches(spark, d):
+    """Routes that come in three batches, the last first, one of them twice, the table compacted between."""
+    rows, path = view(spark, d, "fx_routes"), shared_folder(spark)
+    for number, k in enumerate((2, 0, 2, 1)):
+        evidence.add(rows.where(F.col("pos") % 3 == k), path, number)
+        if number == 1:
+            evidence.compact(spark, path)
+    known = merge.merged(evidence.read(spark, path))
+    return known.select("guid", F.array_join("evidence", ",").alias("routes"), "published_at", "date_confidence", "title")
+
+
 @query(f"WITH {_MERGED} SELECT guid, n_routes FROM m ORDER BY n_routes DESC, seq LIMIT 50")
 def probe_order(spark, d):
     return _merged(spark, d).orderBy(*merge.probe_order()).limit(50).select("guid", F.size("evidence").cast("long").alias("n_routes"))
