@@ -19,7 +19,7 @@ from ..fixtures import view
 from ..functions import anchors, bytes_text, html, text, urls
 from ..operators import schedule, upsert
 from ..session import configure, shared_folder
-from ..sources import content, detection, epub, feeds, sinks
+from ..sources import content, detection, epub, feeds, images, sinks
 from ..streaming import incremental, pages, parts, stateful
 from .archive import NOW, NOW_PAGES, query
 from .reading import _AT, _docs, _id
@@ -241,6 +241,17 @@ def new_images(spark, d):
     return upsert.first_of_digest(own, own.where(F.col("digest").cast("int") < 30).select("digest").distinct(), "doc_id")
 
 
+@query("SELECT DISTINCT doc_id, sha256('GIF89a' || text) AS digest, CAST(strlen(text) + 6 AS BIGINT) AS bytes FROM documents WHERE strlen(text) + 6 >= 900")
+def stored_images(spark, d):
+    """Texts as pictures (equal texts are one): what the store lists, with the size of the file that is there."""
+    configure(spark)
+    path = shared_folder(spark)
+    own = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL")
+    images.store(own.select(F.col("doc_id").cast("string").alias("url"), F.lit("text/plain").alias("mime"), F.encode(F.concat(F.lit("GIF89a"), "text"), "UTF-8").alias("body")), path)
+    listed = images.stored(spark, path).select(F.col("url").cast("long").alias("doc_id"), "digest", "relpath").distinct()
+    return listed.join(images.files(spark, path), "relpath").select("doc_id", "digest", "bytes")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 8 = 7 THEN NULL ELSE ['png', 'jpg', 'gif', 'webp', 'svg', 'avif', NULL][doc_id % 8 + 1] END AS kind FROM documents")
 def image_kinds(spark, d):
     """By how a file begins, else by its declared type; a file that is too small is none."""
