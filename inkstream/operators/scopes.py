@@ -51,11 +51,15 @@ _ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåç
 _PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
 
+def query_words(query: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in query.lower().translate(str.maketrans(_ACCENTED, _PLAIN))).split()
+
+
 def search(query: str, *columns: str) -> Column:
     """Every word of ``query`` begins a word of the columns.  Blank: no filter.  Only punctuation: no row."""
     if not query:
         return F.lit(True)
-    words = "".join(c if c.isalnum() else " " for c in query.lower().translate(str.maketrans(_ACCENTED, _PLAIN))).split()
+    words = query_words(query)
     if not words:
         return F.lit(False)
     own = tokens(*columns)
@@ -76,7 +80,7 @@ def word_index(articles: DataFrame, *columns: str) -> DataFrame:
 
 def search_index(index: DataFrame, query: str) -> DataFrame:
     """article_id of the rows that every word of ``query`` matches."""
-    words = "".join(c if c.isalnum() else " " for c in query.lower().translate(str.maketrans(_ACCENTED, _PLAIN))).split()
+    words = query_words(query)
     hits = None
     for word in words:
         own = index.where(F.startswith("token", F.lit(word))).select("article_id").distinct()

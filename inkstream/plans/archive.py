@@ -13,7 +13,7 @@ from ..functions import anchors, dates, html, text, urls
 from ..operators import lookup, merge, queue, schedule, scopes, sequence, stats, upsert
 from ..session import configure, shared_folder
 from ..sources import content, sinks
-from ..streaming import evidence
+from ..streaming import evidence, word_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,12 +99,22 @@ for _scope in ("unread", "read", "favourites", "skipped", "annotated", "highligh
 _register_queue("queue_hide_read", _queue_sql(hide=True, limit=None), limit=None, hide_read=True)
 _register_queue("queue_by_source", _queue_sql(extra=" AND source_id = 4", limit=None), limit=None, source_id=4)
 _register_queue("queue_page2", _queue_sql(offset=40), offset=40)
-_register_queue(
-    "queue_search_prefix",
-    _queue_sql(extra="".join(f" AND regexp_matches(lower(title || ' ' || {_EXCERPT}), '(^|[^\\p{{L}}\\p{{N}}]){w}')" for w in ("th", "an")), limit=None),
-    limit=None,
-    search="th an",
-)
+_SEARCHED = _queue_sql(extra="".join(f" AND regexp_matches(lower(title || ' ' || {_EXCERPT}), '(^|[^\\p{{L}}\\p{{N}}]){w}')" for w in ("th", "an")), limit=None)
+_register_queue("queue_search_prefix", _SEARCHED, limit=None, search="th an")
+
+
+@query(_SEARCHED)
+def queue_search_index(spark, d):
+    """The same search by the kept index, in which some articles were changed and some deleted."""
+    own, path = archive(spark, d), shared_folder(spark)
+    rows, changed = own.select("article_id", "title", "excerpt"), F.col("article_id") % 5 == 0
+    gone = rows.where("article_id % 7 = 0").select(F.col("article_id") + 10**9, "title", "excerpt").toDF(*rows.columns)
+    before = rows.withColumn("excerpt", F.when(changed, "Then another").otherwise(F.col("excerpt")))
+    word_index.add(before.unionByName(gone), path, 0, "title", "excerpt")
+    word_index.add(rows.where(changed), path, 1, "title", "excerpt")
+    word_index.compact(spark, path)
+    word_index.add(rows.limit(0), path, 2, "title", "excerpt", deleted=gone)
+    return queue.queue(word_index.matching(own, path, "th an"), limit=None).select(SHOWN)
 
 
 @query(f"WITH {_JOINED} SELECT article_id, published_at, row_number() OVER (ORDER BY {_order(True)}) AS rank FROM j WHERE {_where()}")

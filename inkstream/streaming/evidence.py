@@ -25,7 +25,7 @@ STATE = {
 }
 
 
-def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+def written(spark: SparkSession, path: str, kind: str) -> list[int]:
     """Numbers of the tables ``kind``-N that were written whole."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path
@@ -42,8 +42,8 @@ def add(rows: DataFrame, path: str, number: int) -> None:
 
 def _places(spark: SparkSession, path: str, upto: int | None = None) -> list[str]:
     fits = lambda n: upto is None or n <= upto
-    whole = max(filter(fits, _numbers(spark, path, "whole")), default=None)
-    after = [n for n in _numbers(spark, path, "batch") if fits(n) and (whole is None or n > whole)]
+    whole = max(filter(fits, written(spark, path, "whole")), default=None)
+    after = [n for n in written(spark, path, "batch") if fits(n) and (whole is None or n > whole)]
     return [f"{path}/whole-{whole}"] * (whole is not None) + [f"{path}/batch-{n}" for n in after]
 
 
@@ -57,7 +57,7 @@ def read(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
 def compact(spark: SparkSession, path: str) -> int | None:
     """All batches so far as one table, which takes the last one's number; null if there are none.  A batch at or before it that is run
     again with other rows is not seen any more."""
-    number = max(_numbers(spark, path, "batch"), default=None)
-    if number is not None and number not in _numbers(spark, path, "whole"):
+    number = max(written(spark, path, "batch"), default=None)
+    if number is not None and number not in written(spark, path, "whole"):
         read(spark, path, number).write.mode("overwrite").parquet(f"{path}/whole-{number}")
     return number
