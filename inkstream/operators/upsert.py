@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,42 +159,72 @@ def vanished(old: DataFrame, new: DataFrame, used: DataFrame) -> DataFrame:
     titles are matched one to one, each old chapter (in order) taking the nearest new one that is left.  Returns
     article_id, action (move, keep, delete), target, source_order.
     """
-    norm = lambda d, side: d.select("source_id", F.lower(F.trim(F.regexp_replace("title", r"\s+", " "))).alias("t"), F.lit(side).alias("side"), F.col("article_id").cast("long").alias("article_id"), F.col("source_order").cast("long").alias("source_order"))
-    both = norm(old, "old").unionByName(norm(new, "new"))
-
-    def match(pdf):
-        import pandas as pd
-
-        left = pdf[pdf.side == "new"].sort_values(["source_order", "article_id"])
-        orders, ids, n = list(left.source_order), list(left.article_id), len(left)
-        # The free place at or before k, and at or after k, with the ways to them shortened.
-        lower, upper = list(range(n + 1)), list(range(n + 1))
-
-        def free(at: int, way: list[int]) -> int:
-            root = at
-            while way[root] != root:
-                root = way[root]
-            while way[at] != root:
-                way[at], at = root, way[at]
-            return root
-
-        rows = []
-        for o, i in sorted(zip(pdf[pdf.side == "old"].source_order, pdf[pdf.side == "old"].article_id, strict=True)):
-            k = bisect_left(orders, o)
-            after, before = free(k, upper), free(k, lower) - 1  # lower is shifted by one: 0 means none
-            if before >= 0:  # of equal orders the first that is free
-                before = free(bisect_left(orders, orders[before]), upper)
-            best = min((x for x in (before, after) if 0 <= x < n), key=lambda x: (abs(orders[x] - o), x), default=None)
-            if best is not None:
-                upper[best], lower[best + 1] = best + 1, best
-            rows.append((i, None if best is None else int(ids[best])))
-        return pd.DataFrame(rows, columns=["article_id", "target"]).astype({"article_id": "int64", "target": "Int64"})
-
-    # A group is the chapters of one title in one book.
-    found = both.groupBy("source_id", "t").applyInPandas(match, "article_id long, target long")
-    rows = old.select("article_id", "source_order").join(found, "article_id", "left").join(used.select("article_id", F.lit(True).alias("used")).distinct(), "article_id", "left")
+    number = lambda c: F.col(c).cast("long").alias(c)
+    norm = lambda d, new: d.select("source_id", F.lower(F.trim(F.regexp_replace("title", r"\s+", " "))).alias("t"), F.lit(new).alias("new"), number("source_order"), number("article_id"))
+    both = norm(old, False).unionByName(norm(new, True))
+    # A group is the chapters of one title in one book.  The window lays groups one after another, each in order, so a task walks through
+    # all of its groups in one pass and holds the numbers of one.
+    begins = F.row_number().over(Window.partitionBy("source_id", "t").orderBy("new", F.coalesce("source_order", F.lit(0)), "article_id")) == 1
+    found = both.select(begins.alias("begins"), "new", "source_order", "article_id").mapInArrow(_matched, "article_id long, source_order long, target long")
+    rows = found.join(used.select("article_id", F.lit(True).alias("used")).distinct(), "article_id", "left")
     action = F.when(F.col("target").isNotNull(), "move").when(F.col("used"), "keep").otherwise("delete")
-    return rows.select("article_id", action.alias("action"), "target", F.when(action == "keep", F.col("source_order") + 1_000_000).otherwise(F.col("source_order")).alias("source_order"))
+    order = F.when(action == "keep", F.col("source_order") + 1_000_000).otherwise(F.col("source_order"))
+    return rows.select(F.col("article_id").cast(old.schema["article_id"].dataType), action.alias("action"), "target", order.alias("source_order"))
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of old chapters with their target; groups come whole, begun by ``begins``, the old ones first, both in order."""
+
+    def packed() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(orders, pa.int64()), pa.array(targets, pa.int64())], names=["article_id", "source_order", "target"])
+
+    def settle() -> None:
+        ids.extend(old[1])
+        orders.extend(old[0])
+        targets.extend(_nearest(*old, *new) if new[1] and old[1] else [None] * len(old[1]))
+
+    ids, orders, targets, old, new = [], [], [], ([], []), ([], [])
+    for batch in batches:
+        for begins, is_new, order, i in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if begins:
+                settle()
+                old, new = ([], []), ([], [])
+            own = new if is_new else old
+            own[0].append(order)
+            own[1].append(i)
+        if len(ids) >= 10_000:
+            yield packed()
+            ids, orders, targets = [], [], []
+    settle()
+    yield packed()
+
+
+def _nearest(old_orders: list, old_ids: list[int], orders: list, ids: list[int]) -> list[int | None]:
+    """For each old chapter the nearest new one that is left; an unknown place counts as 0."""
+    old_orders, orders = [o or 0 for o in old_orders], [o or 0 for o in orders]  # in order, as unknown ones come where 0 does
+    n = len(ids)
+    # The free place at or before k, and at or after k, with the ways to them shortened.
+    lower, upper = list(range(n + 1)), list(range(n + 1))
+
+    def free(at: int, way: list[int]) -> int:
+        root = at
+        while way[root] != root:
+            root = way[root]
+        while way[at] != root:
+            way[at], at = root, way[at]
+        return root
+
+    out = []
+    for o in old_orders:
+        k = bisect_left(orders, o)
+        after, before = free(k, upper), free(k, lower) - 1  # lower is shifted by one: 0 means none
+        if before >= 0:  # of equal orders the first that is free
+            before = free(bisect_left(orders, orders[before]), upper)
+        best = min((x for x in (before, after) if 0 <= x < n), key=lambda x: (abs(orders[x] - o), x), default=None)
+        if best is not None:
+            upper[best], lower[best + 1] = best + 1, best
+        out.append(None if best is None else ids[best])
+    return out
 
 
 def first_of_digest(images: DataFrame, stored: DataFrame, by: str) -> DataFrame:

@@ -251,3 +251,16 @@ def test_names_of_what_stands_around_an_article():
     own = ["navy", "entry-content", "context", "railway", "postBody", "preshared", "unrelated"]
     assert all(html.JUNK.search(n) for n in around) and not any(html.JUNK.search(n) for n in own)
     assert html.GOOD.search("entry-content") and not html.GOOD.search("context") and html.BAD.search("header-ad") and not html.BAD.search("header-adobe")
+
+
+def test_vanished_walks_all_titles_of_a_task_in_one_pass(spark):
+    from inkstream.operators import upsert
+
+    kind = "article_id int, source_id long, title string, source_order int"
+    old = [(1, 1, "A  b", 5), (2, 1, "a B", 9), (3, 2, "a b", 9), (4, None, None, None), (5, 1, "gone", None), (6, 1, "kept", 2)]
+    new = [(11, 1, "a b ", 8), (12, None, None, 7), (13, 1, "other", 1), (14, 2, "a b", 0), (15, 2, "a b", 10)]
+    got = upsert.vanished(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind), spark.createDataFrame([(6,), (6,), (1,)], "article_id int"))
+    rows = {r.article_id: (r.action, r.target, r.source_order) for r in got.collect()}
+    assert rows == {1: ("move", 11, 5), 2: ("delete", None, 9), 3: ("move", 15, 9), 4: ("move", 12, None), 5: ("delete", None, None), 6: ("keep", None, 1_000_002)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("MapInArrow") == 1  # one call a batch, not one a title
