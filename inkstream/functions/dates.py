@@ -208,22 +208,24 @@ def _neighbours(rows: DataFrame, piece: int) -> DataFrame:
     known, seq = F.col("published_at").isNotNull(), F.struct("pos", "published_at")
     keys = ["source_id", "piece"]
     inside = Window.partitionBy(*keys).orderBy("pos", "published_at")
-    upto, beyond = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(1, Window.unboundedFollowing)
+    # What follows is taken by the order turned round: a frame that ends at the last row would be gone through anew for every row.
+    turned = Window.partitionBy(*keys).orderBy(F.desc("pos"), F.desc("published_at"))
+    upto, beyond = inside.rowsBetween(Window.unboundedPreceding, -1), turned.rowsBetween(Window.unboundedPreceding, -1)
     walked = rows.select("source_id", "pos", "published_at", F.floor(F.col("pos") / piece).alias("piece"))
     walked = walked.withColumn("undated", F.sum((~known).cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     mark = F.struct(F.col("published_at").alias("at"), "undated")
-    walked = walked.withColumns({"before": F.last(F.when(known, mark), ignorenulls=True).over(upto), "after": F.first("published_at", ignorenulls=True).over(beyond)})
+    walked = walked.withColumns({"before": F.last(F.when(known, mark), ignorenulls=True).over(upto), "after": F.last("published_at", ignorenulls=True).over(beyond)})
 
     ends = walked.groupBy(*keys).agg(
         F.max("undated").alias("held"),
         F.max_by(mark, F.when(known, seq)).alias("last"),
         F.min_by("published_at", F.when(known, seq)).alias("first"),
     )
-    along = Window.partitionBy("source_id").orderBy("piece")
-    earlier, later = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    earlier = Window.partitionBy("source_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("source_id").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("base", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
     total = F.when(F.col("last").isNotNull(), F.struct(F.col("last.at").alias("at"), (F.col("base") + F.col("last.undated")).alias("undated")))
-    ends = ends.select(F.col("source_id").alias("s"), F.col("piece").alias("p"), "base", F.last(total, ignorenulls=True).over(earlier).alias("carried"), F.first("first", ignorenulls=True).over(later).alias("next"))
+    ends = ends.select(F.col("source_id").alias("s"), F.col("piece").alias("p"), "base", F.last(total, ignorenulls=True).over(earlier).alias("carried"), F.last("first", ignorenulls=True).over(later).alias("next"))
 
     out = walked.join(ends, F.col("source_id").eqNullSafe(F.col("s")) & F.col("piece").eqNullSafe(F.col("p")))
     seen = F.when(F.col("before").isNotNull(), F.col("base") + F.col("before.undated")).otherwise(F.col("carried.undated"))

@@ -78,3 +78,10 @@ def test_queries_agree_with_sql(spark, twin):
     for name in ("bracket_undated", "bracket_sequential"):
         for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
             twin(entry.queries()[name](spark, sf), entry.oracle_sql()[name], sf)
+
+
+def test_no_frame_is_gone_through_anew_for_every_row(spark):
+    df = spark.createDataFrame(index(1, False), COLUMNS)
+    for f in (dates.bracket_once, dates.bracket_all):
+        plan = f(df)._jdf.queryExecution().analyzed().toString().lower()
+        assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
