@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -112,6 +113,25 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """relpath and bytes of the pictures that are there; their contents aren't read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.*").load(f"{path}/[0-9a-f][0-9a-f]")
-    return found.select(F.regexp_extract("path", r"([0-9a-f]{2}/[^/]+)$", 1).alias("relpath"), F.col("length").alias("bytes"))
+    """relpath and bytes of the pictures that are there; their contents aren't read.
+
+    Each of the 256 folders is listed by a task, so names don't pass through the driver.
+    """
+    top = _plain(path)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                names, sizes = [], []
+                if os.path.isdir(folder := f"{top}/{k:02x}"):
+                    with os.scandir(folder) as found:
+                        for f in found:
+                            if not f.name.startswith(".") and "." in f.name:
+                                names.append(f"{k:02x}/{f.name}")
+                                sizes.append(f.stat().st_size)
+                            if len(names) == 10_000:
+                                yield pa.record_batch([pa.array(names), pa.array(sizes, pa.int64())], names=["relpath", "bytes"])
+                                names, sizes = [], []
+                yield pa.record_batch([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["relpath", "bytes"])
+
+    return spark.range(0, 256, 1, 64).mapInArrow(listed, "relpath string, bytes long")

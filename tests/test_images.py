@@ -69,3 +69,16 @@ def test_a_task_that_was_lost_and_one_that_ran_twice(tmp_path):
 def test_query_agrees_with_sql(spark, twin):
     for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
         twin(entry.queries()["stored_images"](spark, sf), entry.oracle_sql()["stored_images"], sf)
+
+
+def test_pictures_are_listed_by_tasks(spark, tmp_path):
+    path = f"{tmp_path}/s"
+    assert images.files(spark, path).count() == 0
+    images.store(spark.createDataFrame([(f"u{k}", None, bytearray(_gif(k, 900 + k))) for k in range(40)], ROWS), path)
+    folder = next(p for p in os.scandir(path) if len(p.name) == 2)
+    (tmp_path / "s" / folder.name / ".half").write_bytes(b"x")
+    got = images.files(spark, f"file://{path}")
+    assert sorted(r.bytes for r in got.collect()) == [906 + k for k in range(40)]
+    assert {r.relpath for r in got.collect()} == {r.relpath for r in images.stored(spark, path).collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Scan binaryFile" not in plan  # a scan's file names are gathered by the driver
