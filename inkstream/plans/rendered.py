@@ -390,9 +390,10 @@ def pages_until_old(spark, d):
     at = Window.partitionBy(i % 4).orderBy(i.desc())
     rows = _docs(spark, d).select(i, (i % 4).alias("site"), "at", (F.floor((F.row_number().over(at) - 1) / 7) + 1).cast("int").alias("page"))
     listed = rows.select("site", "page", _id("https://s.example/").alias("link"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), F.lit("").alias("title"))
-    listed.repartition("site").write.partitionBy("site", "page").parquet(f"{folder}/sites")
+    pages.write_pages(listed, f"{folder}/sites")
     place = f"{folder}/sites/site=".removeprefix("file://")
-    rows.where("site % 2 = 0 AND doc_id % 40 < 32 AND page > 2").select(F.concat(F.lit(place), F.col("site").cast("string")).alias("site"), _id("https://s.example/").alias("url")).write.parquet(f"{folder}/known")
+    known = rows.where("site % 2 = 0 AND doc_id % 40 < 32 AND page > 2").select(F.concat(F.lit(place), F.col("site").cast("string")).alias("site"), _id("https://s.example/").alias("url"))
+    known.repartitionByRange("site", "url").sortWithinPartitions("site", "url").write.parquet(f"{folder}/known")
     floors = {f"{place}{k}": (datetime(2020, 1, 1) + timedelta(days=100 + 20 * k)).isoformat() for k in (1, 3)}
     how = {"plugin": "parquet_pages", "path": ",".join(f"{place}{k}" for k in range(4)), "notes": f"{folder}/notes".removeprefix("file://"), "known": f"{folder}/known".removeprefix("file://"), "floors": json.dumps(floors)}
     got = pages.read_run(spark, f"{folder}/out", f"{folder}/checkpoint", **how)

@@ -6,7 +6,7 @@ next offset follows from these notes, so a query that is started again goes on w
 those of a batch that wasn't finished.  A new run begins at the first pages again.
 
 Options: ``plugin`` and ``path`` (sites, parted by commas) as for the batch source; ``notes`` (the shared folder), ``run`` (its number), and, where there
-are any, ``known`` (a Parquet folder of site and url) and ``floors`` (JSON: site to ISO time).
+are any, ``known`` (a Parquet folder of site and url, best sorted by them) and ``floors`` (JSON: site to ISO time).
 """
 
 from __future__ import annotations
@@ -18,24 +18,42 @@ from datetime import datetime
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..session import configure
 from ..sources import plugins
 
 SCHEMA = "site string, page int, pos int, url string, title string, published_at timestamp_ntz, date_confidence string, html string"
 
 
+#: Pages of a site that are written as one folder.
+BLOCK = 1_000
+
+
+def write_pages(listed: DataFrame, path: str) -> None:
+    """listed: site, page (from 1), link, date (ISO), title, to ``path``/site=S/block=B, as ``parquet_pages`` reads them.
+
+    A file has the pages of a block in order, so there are as many files as blocks, not as pages, and a page is read from its row groups.
+    """
+    placed = listed.withColumn("block", F.expr(f"(page - 1) div {BLOCK}"))
+    placed = placed.repartition("site", "block").sortWithinPartitions("site", "block", "page")
+    placed.write.option("parquet.block.row.count.limit", BLOCK).partitionBy("site", "block").parquet(path)
+
+
 @plugins.register
 class ParquetPages(plugins.Source):
-    """Pages that Spark wrote below a site's folder as page=1, page=2 ...: columns link, date (ISO), title."""
+    """Pages of a site as ``write_pages`` leaves them: columns page, link, date (ISO), title."""
 
     plugin = "parquet_pages"
 
     def page(self, number: int) -> list[dict]:
         import pyarrow.dataset as ds
 
-        folder = f"{self.options['path'].removeprefix('file://')}/page={number}"
-        return ds.dataset(folder, format="parquet").to_table(columns=["link", "date", "title"]).to_pylist() if os.path.isdir(folder) else []
+        folder = f"{self.options['path'].removeprefix('file://')}/block={(number - 1) // BLOCK}"
+        if not os.path.isdir(folder):
+            return []
+        return ds.dataset(folder, format="parquet").to_table(columns=["link", "date", "title"], filter=ds.field("page") == number).to_pylist()
 
 
 class Page(InputPartition):
@@ -75,7 +93,7 @@ class PageReader(DataSourceStreamReader):
     def read(self, partition: Page) -> Iterator[tuple]:
         site, number = partition.site, partition.number
         rows = plugins.build(self.options.get("plugin", "json_folder"), dict(self.options) | {"path": site}).page(number)
-        known, floor = self._known(site), json.loads(self.options.get("floors", "{}")).get(site)
+        known, floor = self._known(site, [r["link"] for r in rows]), json.loads(self.options.get("floors", "{}")).get(site)
         floor, fresh = floor and datetime.fromisoformat(floor), False
         for pos, r in enumerate(rows):
             at = datetime.fromisoformat(r["date"]) if r.get("date") else None
@@ -88,13 +106,15 @@ class PageReader(DataSourceStreamReader):
             file.write("more" if fresh else "end")
         os.replace(f"{note}.{os.getpid()}", note)
 
-    def _known(self, site: str) -> set[str]:
-        if not self.options.get("known"):
+    def _known(self, site: str, links: list[str]) -> set[str]:
+        """Those of a page's links that are known; where the table is sorted by site and url, its files' least and greatest values leave out the rest."""
+        if not self.options.get("known") or not links:
             return set()
         import pyarrow.dataset as ds
 
-        own = ds.dataset(self.options["known"]).to_table(columns=["url"], filter=ds.field("site") == site)
-        return set(own.column("url").to_pylist())
+        url = ds.field("url")
+        own = (ds.field("site") == site) & (url >= min(links)) & (url <= max(links)) & url.isin(links)
+        return set(ds.dataset(self.options["known"]).to_table(columns=["url"], filter=own).column("url").to_pylist())
 
     def commit(self, end: dict) -> None:
         pass
@@ -116,6 +136,7 @@ class PageStream(DataSource):
 
 def read_run(spark: SparkSession, out: str, checkpoint: str, **options: str) -> DataFrame:
     """Ask for pages, one of each site a batch, until no site has more that is new; all rows that came so far in ``out``."""
+    configure(spark)
     spark.dataSource.register(PageStream)
     stream = spark.readStream.format("site_pages").options(**options).load()
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).start()

@@ -186,3 +186,16 @@ def test_a_run_that_was_stopped_goes_on_from_its_notes(spark, tmp_path):
     assert [p.number for p in reader.partitions({"run": 0, "pages": {top: 1}}, offset)] == [2]
     assert [p.number for p in reader.partitions({"run": 7, "pages": {top: 9}}, offset)] == [1, 2]
     assert sorted(r.url for r in pages.read_run(spark, f"{tmp_path}/out", f"{tmp_path}/check", **how).collect()) == ["p0", "p1", "p2", "p3"]
+
+
+def test_pages_are_written_as_blocks_and_known_links_are_looked_up(spark, tmp_path):
+    listed = spark.range(2 * pages.BLOCK * 3 + 1).selectExpr("id % 2 AS site", "CAST(id div 6 + 1 AS INT) AS page", "CAST(id AS STRING) AS link", "'2024-01-01T00:00:00' AS date", "'' AS title")
+    pages.write_pages(listed, f"{tmp_path}/sites")
+    assert len(list((tmp_path / "sites").rglob("*.parquet"))) == 3  # as many as blocks, not as pages
+    source = pages.ParquetPages({"path": f"file://{tmp_path}/sites/site=0"})
+    last = pages.BLOCK + 1
+    got = {n: [r["link"] for r in source.page(n)] for n in (1, 2, pages.BLOCK, last, last + 1, 9 * pages.BLOCK)}
+    assert got == {1: ["0", "2", "4"], 2: ["6", "8", "10"], pages.BLOCK: ["5994", "5996", "5998"], last: ["6000"], last + 1: [], 9 * pages.BLOCK: []}
+    spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "z")], "site string, url string").write.parquet(f"{tmp_path}/known")
+    reader = pages.PageReader({"path": "a,b", "notes": f"{tmp_path}/notes", "known": f"{tmp_path}/known"})
+    assert reader._known("a", ["x", "y", "q"]) == {"x"} and reader._known("a", []) == set()
