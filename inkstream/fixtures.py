@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels benchmark conversations pages embeddings".split()
 
@@ -120,10 +121,20 @@ def with_views(sql: str) -> str:
     return f"WITH {head} {body}"
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views over the tables in ``sf_dir``."""
+_TITLE = "split_part(d.text, '.', 1)"
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, **early: Column) -> DataFrame:
+    """One of the views over the tables in ``sf_dir``; ``early``: columns of articles beside the view's own, over ``documents``.
+
+    What is made of an article's text, its title and ``early``, is worked out before the join, so whole texts go through it only if ``body`` is wanted.
+    """
     spark.conf.set("spark.sql.timestampType", "TIMESTAMP_NTZ")
     sql, frames = VIEWS[name], {}
+    if name == "fx_articles":
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({"title": F.expr(_TITLE.replace("d.text", "text")), **early})
+        sql = sql.replace(_TITLE, "d.title").replace("d.text AS body", ", ".join(["d.text AS body", *(f"d.{c}" for c in early)])).replace("FROM documents d", "FROM {articles} d")
+        frames["articles"] = docs
     for t in TABLES:
         new = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", sql)
         if new != sql:
