@@ -112,6 +112,50 @@ def test_page(spark):
     assert [n.text() for n in html_tree.select(html_tree.parse('<div class="a b"><p id=x>1</p></div><p>2</p>'), ".b p, #y")] == ["1"]
 
 
+def test_page_extract_of_a_page_that_never_closes_its_elements(spark, tmp_path):
+    import __spark_entry__
+
+    n = 2000
+    deep = f"<html><body><article><h1>T</h1>{'<p><b>some text &amp; more<br>' * n}</article></body></html>"
+    spark.createDataFrame([(1, "https://e.com/p", deep), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in __spark_entry__.queries()["page_extract"](spark, str(tmp_path)).collect()}
+    assert got[1].html == "<h2>T</h2>" + "<p><b>some text &amp; more<br/>" * n + "</b></p>" * n
+    assert got[1].text == " ".join(["T"] + ["some text & more"] * n) and got[1].title == "T"
+    assert (got[2].title, got[2].html, got[2].is_article) == ("Untitled", "", False)
+
+
+def test_page_texts_are_measured_once_however_deep():
+    page = html_tree.parse("<div class=post><p>One, two， three and four and five.<a href=x>six</a><script>no, no</script><a>a<a>b</a></a></p> <p> </p></div>")
+    sizes = html_tree.measures(page)
+    for x in page.walk():
+        m, text = sizes[id(x)], x.text()
+        assert (m.length, m.commas, m.linked) == (len(text), text.count(",") + text.count("，"), sum(len(a.text()) for a in x.find("a")))
+    deep = html.read_page("<body>" + "<div class=post><p>words, and words, of more than twenty five<b>" * 1000, None, NOW)
+    assert deep["html"].count("<p>words") == deep["text"].count("words, and") == 1000
+
+
+@pytest.mark.parametrize(
+    ("part", "want"),
+    [
+        ('<img src="a.png" width="²">', '<img src="https://e.com/a.png" width="²"/>'),
+        ('<img src="a.png" width="012"><i>x</i>', "<i>x</i>"),
+        ('<img srcset="a.png 1.2.3x, b.png 1x">', '<img src="https://e.com/b.png"/>'),
+        ('<a href="http://[x">l</a>', '<a href="http://[x">l</a>'),
+        ('<img src="//[x/a.png">', '<img src="//[x/a.png"/>'),
+        ('<time datetime="9999-12-31T23:59:00-05:00">t</time>', '<time datetime="9999-12-31T23:59:00-05:00">t</time>'),
+        ("a<![foo bar]>b<![>c", "abc"),
+        (f"&#{'9' * 5000};&#{'0' * 5000}65;", "\ufffdA"),
+        ('<script type="application/ld+json">{"@type": [{}, 5]}</script>x', "x"),
+        ('<script type="application/ld+json">{"@type": true}</script>x', "x"),
+        (f'<script type="application/ld+json">{"[" * 100_000}</script>x', "x"),
+    ],
+)
+def test_page_with_a_value_that_cannot_be_read(part, want):
+    got = html.read_page(f"<body><article>{part}<p>{'word ' * 100}</p></article></body>", "https://e.com/p", NOW)
+    assert got["html"].startswith(want + "<p>word ") and got["published_at"] is None and not got["is_article"]
+    assert html.read_page('<article><a href="b">x</a></article>', "http://[x/", NOW)["html"] == '<a href="b">x</a>'
+
+
 RSS = """<rss><channel><item><title><![CDATA[One &amp; all]]></title><link>https://e.com/1</link><pubDate>Thu, 16 Apr 2020 17:25:38 +0000</pubDate><content:encoded><![CDATA[<p>x</p>]]></content:encoded></item>
 <entry ><title>Two</title><link rel="alternate" href="https://e.com/2?a=1&amp;b=2"/><published>2019-01-01T00:00:00Z</published></entry></channel></rss>"""
 
